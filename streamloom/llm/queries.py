@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from streamloom.llm import bpe, chat, matroska, urls
+from streamloom.llm import bpe, chat, langid, matroska, quality, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_chat": chat.op3_chat,
     "op4_matroska": matroska.op4_matroska,
     "op5_url_filter": urls.op5_url_filter,
+    "op7_quality": quality.op7_quality,
+    "op9_langid": langid.op9_langid,
 }
 ORACLES = {"op5_url_filter": urls.OP5_SQL}
