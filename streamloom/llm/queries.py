@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from streamloom.llm import bpe, chat, langid, matroska, quality, urls
+from streamloom.llm import bpe, chat, langid, matroska, mixing, quality, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_url_filter": urls.op5_url_filter,
     "op7_quality": quality.op7_quality,
     "op9_langid": langid.op9_langid,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {"op5_url_filter": urls.OP5_SQL}
