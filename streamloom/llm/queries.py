@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from streamloom.llm import bpe, chat, langid, matroska, mixing, quality, urls
+from streamloom.llm import bpe, chat, langid, matroska, mixing, quality, topk, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,7 +10,8 @@ QUERIES = {
     "op4_matroska": matroska.op4_matroska,
     "op5_url_filter": urls.op5_url_filter,
     "op7_quality": quality.op7_quality,
+    "op8_topk": topk.op8_topk,
     "op9_langid": langid.op9_langid,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op5_url_filter": urls.OP5_SQL}
+ORACLES = {"op5_url_filter": urls.OP5_SQL, "op8_topk": topk.OP8_SQL}
