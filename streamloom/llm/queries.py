@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from streamloom.llm import bpe, chat, langid, matroska, mixing, quality, topk, urls
+from streamloom.llm import bpe, chat, jaccard, langid, matroska, mixing, quality, topk, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_chat": chat.op3_chat,
     "op4_matroska": matroska.op4_matroska,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_quality": quality.op7_quality,
     "op8_topk": topk.op8_topk,
     "op9_langid": langid.op9_langid,
