@@ -17,6 +17,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it stands in the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def percent_encode(value) -> Column:
     """Upper-case escapes of controls, space, ``" # < > & = %``, DEL and non-ASCII bytes; texts without them as they are."""
     value = _col(value)
@@ -107,46 +112,66 @@ def _rest(text: Column, separator: str) -> tuple[Column, Column]:
 
 def decode_context(value) -> Column:
     """The context of a once percent-decoded value: a struct with unused members and, if it is malformed, an error code."""
-    value = _col(value)
-    kind, body = _rest(value, ",")
-    index_text, after_index = _rest(body, ",")
-    payload = F.when(kind == "PART", after_index).otherwise(body)
-    sequence_text, after_sequence = _rest(payload, ",")
-    range_part, url = _rest(after_sequence, ",")
-    start_text, end_text = _rest(range_part, "-")
-    command, after_command = _rest(body, ",")
-    id_of = F.when(kind == "SCTE35", after_command).otherwise(body)
-    daterange_id, target = _rest(id_of, SEPARATOR)
     u64, u32 = (1 << 64) - 1, (1 << 32) - 1
-    sequence, start, end, index = _unsigned(sequence_text, u64), _unsigned(start_text, u64), _unsigned(end_text, u64), _unsigned(index_text, u32)
-    media = kind.isin("SEGMENT", "MAP", "PART")
-    error = (
-        F.when(~kind.isin(*CONTEXT_TYPES), "UnknownContextType")
-        .when(body.isNull(), "EmptyContextValue")
-        .when((kind == "PART") & index.isNull(), "PartIndexParseIntFailure")
-        .when((kind == "PART") & after_index.isNull(), "MissingMediaSequencePart")
-        .when(media & sequence.isNull(), "MediaSequencePartParseIntFailure")
-        .when(media & range_part.isNull(), "MissingRangePart")
-        .when(media & (range_part != "-") & (start.isNull() | end.isNull()), "RangeParseFailure")
-        .when(media & url.isNull(), "MissingUrlPart")
-        .when((kind == "SCTE35") & ~command.isin("OUT", "IN", "CMD"), "InvalidCommandType")
-        .when((kind == "SCTE35") & after_command.isNull(), "MissingDaterangeId")
-        .when((kind == "SCTE35") & target.isNull(), "MissingScte35Message")
-        .when(kind.isin("ASSET_LIST", "DATERANGE_SCHEDULE") & target.isNull(), "MissingAssetListUrl")
-    )
-    fine = error.isNull()
-    return F.struct(
-        F.when(fine, kind).alias("context_type"),
-        F.when(fine & media, url).when(fine & kind.isin("ASSET_LIST", "DATERANGE_SCHEDULE"), target).alias("url"),
-        F.when(fine & media, sequence).alias("media_sequence"),
-        F.when(fine & (kind == "PART"), index.cast("long")).alias("part_index"),
-        F.when(fine & media & (range_part != "-"), start).alias("range_start"),
-        F.when(fine & media & (range_part != "-"), end).alias("range_end"),
-        F.when(fine & ~media, daterange_id).alias("daterange_id"),
-        F.when(fine & (kind == "SCTE35"), command).alias("command_type"),
-        F.when(fine & (kind == "SCTE35"), target).alias("message"),
-        error.alias("error"),
-    )
+
+    def both(text: Column, separator: str, before: str, after: str) -> list[Column]:
+        a, b = _rest(text, separator)
+        return [a.alias(before), b.alias(after)]
+
+    def split_kind(v: Column) -> Column:
+        return let(F.struct(*both(v, ",", "kind", "body")), split_body)
+
+    def split_body(p: Column) -> Column:
+        kind, body = p["kind"], p["body"]
+        return let(F.struct(kind.alias("kind"), body.alias("body"), *both(body, ",", "first", "later")), split_payload)
+
+    def split_payload(p: Column) -> Column:
+        payload = F.when(p["kind"] == "PART", p["later"]).otherwise(p["body"])
+        return let(F.struct(*(p[c].alias(c) for c in ("kind", "body", "first", "later")), *both(payload, ",", "sequence_text", "after_sequence"), *both(F.when(p["kind"] == "SCTE35", p["later"]).otherwise(p["body"]), SEPARATOR, "daterange_id", "target")), split_range)
+
+    def split_range(p: Column) -> Column:
+        return let(F.struct(*(p[c].alias(c) for c in ("kind", "body", "first", "later", "sequence_text", "daterange_id", "target")), *both(p["after_sequence"], ",", "range_part", "url")), numbers)
+
+    def numbers(p: Column) -> Column:
+        start, end = _rest(p["range_part"], "-")
+        return let(F.struct(*(p[c].alias(c) for c in ("kind", "body", "first", "later", "daterange_id", "target", "range_part", "url")), _unsigned(p["sequence_text"], u64).alias("sequence"), _unsigned(p["first"], u32).alias("index"), _unsigned(start, u64).alias("start"), _unsigned(end, u64).alias("end")), checked)
+
+    def checked(p: Column) -> Column:
+        kind = p["kind"]
+        media = kind.isin("SEGMENT", "MAP", "PART")
+        error = (
+            F.when(~kind.isin(*CONTEXT_TYPES), "UnknownContextType")
+            .when(p["body"].isNull(), "EmptyContextValue")
+            .when((kind == "PART") & p["index"].isNull(), "PartIndexParseIntFailure")
+            .when((kind == "PART") & p["later"].isNull(), "MissingMediaSequencePart")
+            .when(media & p["sequence"].isNull(), "MediaSequencePartParseIntFailure")
+            .when(media & p["range_part"].isNull(), "MissingRangePart")
+            .when(media & (p["range_part"] != "-") & (p["start"].isNull() | p["end"].isNull()), "RangeParseFailure")
+            .when(media & p["url"].isNull(), "MissingUrlPart")
+            .when((kind == "SCTE35") & ~p["first"].isin("OUT", "IN", "CMD"), "InvalidCommandType")
+            .when((kind == "SCTE35") & p["later"].isNull(), "MissingDaterangeId")
+            .when((kind == "SCTE35") & p["target"].isNull(), "MissingScte35Message")
+            .when(kind.isin("ASSET_LIST", "DATERANGE_SCHEDULE") & p["target"].isNull(), "MissingAssetListUrl")
+        )
+        return let(F.struct(p.alias("p"), error.alias("error"), media.alias("media")), members)
+
+    def members(x: Column) -> Column:
+        p, fine, media = x["p"], x["error"].isNull(), x["media"]
+        kind = p["kind"]
+        return F.struct(
+            F.when(fine, kind).alias("context_type"),
+            F.when(fine & media, p["url"]).when(fine & kind.isin("ASSET_LIST", "DATERANGE_SCHEDULE"), p["target"]).alias("url"),
+            F.when(fine & media, p["sequence"]).alias("media_sequence"),
+            F.when(fine & (kind == "PART"), p["index"].cast("long")).alias("part_index"),
+            F.when(fine & media & (p["range_part"] != "-"), p["start"]).alias("range_start"),
+            F.when(fine & media & (p["range_part"] != "-"), p["end"]).alias("range_end"),
+            F.when(fine & ~media, p["daterange_id"]).alias("daterange_id"),
+            F.when(fine & (kind == "SCTE35"), p["first"]).alias("command_type"),
+            F.when(fine & (kind == "SCTE35"), p["target"]).alias("message"),
+            x["error"].alias("error"),
+        )
+
+    return let(_col(value), split_kind)
 
 
 #: Error code -> text.
@@ -177,8 +202,12 @@ def encode_definitions(definitions) -> Column:
 
 def decode_definitions(query_value) -> Column:
     """A map of a definitions parameter; the last of equal names wins, a missing value is empty. NULL if it is no UTF-8."""
-    once = percent_decode(query_value)
-    pairs = F.transform(F.split(once, SEPARATOR), lambda p: F.split(percent_decode(p), "=", 2))
-    entries = F.transform(pairs, lambda p: F.struct(p[0].alias("name"), F.coalesce(F.get(p, F.lit(1)), F.lit("")).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["name"] == e["name"]))
-    return F.when(~once.contains("�"), F.map_from_entries(last))
+
+    def read(once: Column) -> Column:
+        pairs = F.transform(F.split(once, SEPARATOR), lambda p: F.split(percent_decode(p), "=", 2))
+        return let(F.transform(pairs, lambda p: F.struct(p[0].alias("name"), F.coalesce(F.get(p, F.lit(1)), F.lit("")).alias("value"))), last_of_each)
+
+    def last_of_each(entries: Column) -> Column:
+        return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["name"] == e["name"])))
+
+    return let(percent_decode(query_value), lambda once: F.when(~once.contains("\ufffd"), read(once)))

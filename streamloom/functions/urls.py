@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from streamloom.functions import codec
 from streamloom.functions.codec import _col
+from streamloom.functions.lazy import lazy_udf
 
 DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21", "file": ""}
 _ABSOLUTE = re.compile(r"([A-Za-z][A-Za-z0-9+.\-]*):(.*)", re.S)
@@ -103,7 +104,7 @@ def join(base: str | None, relative: str | None) -> str | None:
     return serialise(found) if found else None
 
 
-@F.pandas_udf("string")
+@lazy_udf("string")
 def resolve(base: pd.Series, relative: pd.Series) -> pd.Series:
     """``relative`` against ``base``; NULL where either cannot be parsed."""
     roots: dict = {}

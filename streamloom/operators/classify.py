@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from streamloom.functions.codec import _col
+from streamloom.functions.lazy import lazy_udf
 
 MP4_TYPES = ("video/mp4", "video/iso.segment", "audio/mp4", "application/mp4")
 TEXT_TYPES = ("text/vtt", "text/plain")
@@ -53,13 +54,13 @@ def _boxes(data: bytes, skip_bodies: bool) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@lazy_udf("boolean")
 def is_mp4_probe(content: pd.Series) -> pd.Series:
     """A readable ``ftyp`` or a ``moof``; bodies of other boxes are read on as headers."""
     return content.map(lambda c: c is not None and _boxes(bytes(c), False))
 
 
-@F.pandas_udf("boolean")
+@lazy_udf("boolean")
 def is_mp4(content: pd.Series) -> pd.Series:
     """The same with bodies skipped."""
     return content.map(lambda c: c is not None and _boxes(bytes(c), True))

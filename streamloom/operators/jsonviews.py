@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from streamloom.functions import urls
 from streamloom.functions.codec import _col
+from streamloom.functions.lazy import lazy_udf
 
 ASSET_LIST = "struct<ASSETS:array<struct<URI:string,DURATION:double>>,`SKIP-CONTROL`:struct<OFFSET:decimal(20,0),DURATION:decimal(20,0),`LABEL-ID`:string>>"
 
@@ -35,7 +36,7 @@ def _asset_list(text: str | None) -> bool:
     return skip is None or isinstance(skip, dict) and _whole(skip.get("OFFSET")) and _whole(skip.get("DURATION")) and isinstance(skip.get("LABEL-ID"), str)
 
 
-@F.pandas_udf("boolean")
+@lazy_udf("boolean")
 def is_asset_list(text: pd.Series) -> pd.Series:
     return text.map(_asset_list)
 
@@ -73,7 +74,7 @@ def _schedule(text: str | None):
 SCHEDULE = "array<struct<id:string,attributes:array<struct<name:string,value:string>>>>"
 
 
-@F.pandas_udf(SCHEDULE)
+@lazy_udf(SCHEDULE)
 def schedule(text: pd.Series) -> pd.Series:
     """The date ranges of a schedule with their attributes by key: texts raw, other values as compact JSON; else NULL."""
     return text.map(_schedule)
@@ -87,7 +88,7 @@ def schedule_rows(df: DataFrame, json_col: str = "json") -> DataFrame:
     return rows.withColumns({"name": F.col("_a.name"), "value": F.col("_a.value")}).drop("_a").withColumn("link_type", kind)
 
 
-@F.pandas_udf("string")
+@lazy_udf("string")
 def pretty_json(text: pd.Series) -> pd.Series:
     """Indented JSON if the text is JSON, else the text."""
 

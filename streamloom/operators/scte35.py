@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streamloom.functions.lazy import lazy_udf
 from streamloom.operators.box_fields import Malformed, Reader
 
 #: Splice command and segmentation type names.
@@ -141,7 +142,7 @@ _ITEM = ("tag", "identifier", "segmentation_event_id", "cancelled", "duration",
 _FIELDS = tuple(f.split()[0] for f in re.sub(r"<[^>]*>+", "", SCHEMA).split(", "))
 
 
-@F.pandas_udf(SCHEMA)
+@lazy_udf(SCHEMA)
 def scte35_decode(message: pd.Series) -> pd.DataFrame:
     rows = []
     for text in message:
@@ -152,7 +153,7 @@ def scte35_decode(message: pd.Series) -> pd.DataFrame:
     return out
 
 
-@F.pandas_udf("string")
+@lazy_udf("string")
 def scte35_json(message: pd.Series) -> pd.Series:
     """The decoded message as indented JSON, or NULL if it cannot be decoded."""
     show = lambda got: None if got is None or "error" in got else json.dumps(got, indent=2)
