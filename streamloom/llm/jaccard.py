@@ -40,6 +40,8 @@ from streamloom.llm.words import U, mix, shingles
 
 #: Documents of a search block and of a side of a comparison block, about.
 STAR, SIDE = 256, 1024
+#: Bits of the largest bitmap of document ids that is broadcast (32 MB).
+MOST_BITS = 1 << 28
 #: Weight of a heap step against a probe in the choice of long lists.
 MU = 0.02
 
@@ -210,7 +212,8 @@ def _hub_pairs(postings: DataFrame) -> DataFrame:
 def _settled(found: DataFrame) -> DataFrame:
     cut = found.filter("cut").select("key", "doc")
     first = cut.groupBy(F.col("key").alias("cut_key")).agg(F.min("doc").alias("hub"))
-    across = cut.join(first, F.col("key") == F.col("cut_key")).select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    # A task has one first key and one last key, so there are no more of them than twice the tasks.
+    across = cut.join(F.broadcast(first), F.col("key") == F.col("cut_key")).select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     return found.filter("NOT cut").select(F.col("hub").alias("a"), F.col("doc").alias("b")).unionByName(across).filter("a <> b").distinct()
 
 
@@ -296,24 +299,43 @@ def merge_skip(lists: list[list[int]], least: int) -> dict[int, int]:
     return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link. Sets are made anew from the texts of the documents that are in a pair."""
+def _sets(ids: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, elements binary): the sets of the documents in ``ids`` (one column, distinct), made where the texts are.
+
+    A bitmap of the ids' hashes goes to the tasks that read the texts; only sets of documents that it shows are sent on
+    and joined. Its size follows the number of ids up to a bound, beyond which more documents pass it, not fewer.
+    """
+    n = ids.count()
+    bits = min(MOST_BITS, max(1 << 20, 1 << (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(77)), F.lit(bits))
+    marked = ids.select(place(ids.columns[0]).alias("place")).groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bits"))
+    shipped = docs.sparkSession.sparkContext.broadcast({int(r["bucket"]) - 1: bytes(r["bits"]) for r in marked.collect()})
+    per = 8 * 4096
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((bits // per + 1) * 4096, np.uint8)
+        for bucket, raw in shipped.value.items():
+            table[bucket * 4096 : bucket * 4096 + len(raw)] = np.frombuffer(raw, np.uint8)
+        for whole in batches:
+            at = column(whole, "place").to_numpy()
+            shown = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            for b in slices(iter([whole.filter(pa.array(shown.astype(bool)))]), "text", 1 << 20):
+                values, offsets = shingles(*byte_spans(column(b, "text")), rule.words)
+                yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([values[x:y].tobytes() for x, y in zip(offsets, offsets[1:], strict=False)], pa.binary())], ["doc_id", "elements"])
+
+    made = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("place")).mapInArrow(run, "doc_id long, elements binary")
+    return made.join(ids.select(F.col(ids.columns[0]).alias("asked")), F.col("doc_id") == F.col("asked"), "left_semi")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that link, by a search of each hub's set among those of its partners."""
     hubs = pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks"))
-    member = pairs.join(hubs, F.col("a") == F.col("hub")).select(F.col("b").alias("doc"), F.struct("hub", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.lit(True).alias("member")).alias("ask"))
-    head = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("hub").alias("doc"), F.struct("hub", "block", F.lit(False).alias("member")).alias("ask"))
-    asks = member.unionByName(head).groupBy("doc").agg(F.collect_list("ask").alias("asks"))
-    texts = docs.select("doc_id", "text").join(asks, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "asks")
+    member = pairs.join(hubs, F.col("a") == F.col("hub")).select(F.col("b").alias("doc"), "hub", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.lit(True).alias("member"))
+    head = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("hub").alias("doc"), "hub", "block", F.lit(False).alias("member"))
+    asked = member.unionByName(head)
+    made = sets.join(asked, F.col("doc_id") == F.col("doc")).select("hub", "block", "member", "doc_id", "elements")
     names = ["hub", "block", "member", "doc_id", "elements"]
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1 << 20):
-            values, offsets = shingles(*byte_spans(column(b, "text")), rule.words)
-            for i, (doc, asked) in enumerate(zip(column(b, "doc_id").to_pylist(), column(b, "asks").to_pylist(), strict=True)):
-                raw = values[offsets[i] : offsets[i + 1]].tobytes()
-                for a in range(0, len(asked), 64):
-                    some = asked[a : a + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([x["hub"] for x in some], pa.int64()), pa.array([x["block"] for x in some], pa.int32()), pa.array([x["member"] for x in some]), pa.array([doc] * len(some), pa.int64()), pa.array([raw] * len(some), pa.binary())], names)
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heads, members, ids = None, [], [], []
 
@@ -333,10 +355,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
         if now:
             yield done()
 
-    made = texts.mapInArrow(sets, "hub long, block int, member boolean, doc_id long, elements binary")
     return made.repartition("hub", "block").sortWithinPartitions("hub", "block", "member").mapInArrow(search, "a long, b long")
 
 
+def _ends(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents that are in a pair."""
+    return scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+
+
 def _rest_pairs(pairs: DataFrame, roots: DataFrame, info: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of different components, around hubs with several of them, that the bitmaps don't exclude."""
     root = lambda df, name: df.join(roots.select(F.col("node").alias(f"{name}_node"), F.col("root").alias(f"{name}_root")), F.col(name) == F.col(f"{name}_node"), "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name)).drop(f"{name}_node")
@@ -401,10 +427,11 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     likely = scratch.save(_by_bitmap(pairs, info, rule))
     # One id may stand for several sets, and equal sets for several ids: they link without a search.
     alike = named.filter("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = scratch.save(_verified(likely, docs, rule))
+    first = _verified(likely, scratch.save(_sets(_ends(likely, scratch), docs, rule)), rule)
+    links = scratch.save(first)
     roots = components(links, scratch)
     more = scratch.save(_rest_pairs(pairs, roots, info, rule).join(likely, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(more, docs, rule)).unionByName(alike)
+    links = links.unionByName(_verified(more, scratch.save(_sets(_ends(more, scratch), docs, rule)), rule)).unionByName(alike)
     roots = components(links, scratch)
     out = named.join(roots.select("node", "root").withColumnRenamed("node", "of"), F.col("doc_id") == F.col("of"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
