@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any, NamedTuple
 
-from streamloom.operators import drm, id3
+from streamloom.operators import ac4, drm, id3
 
 
 class Hex(bytes):
@@ -505,6 +505,9 @@ def _dec3(r):
     return out
 
 
+box("dac4", "AC4SpecificBox")(ac4.specific_box)
+
+
 def _dolby_vision(r):
     out = read_layout("dv_version_major:u8 dv_version_minor:u8 dv_profile:b7 dv_level:b6 rpu_present_flag:flag el_present_flag:flag bl_present_flag:flag dv_bl_signal_compatibility_id:b4 dv_md_compression:b2 -:b2", r)
     r.take(19)
