@@ -24,6 +24,8 @@ from streamloom.llm.common import byte_spans, column, free_name, held_out, plus,
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 MAX_TEXTS, MAX_LANGUAGES, SAMPLE_CHARS = 6000, 200, 600
 UNKNOWN = "und"
+#: Updates that training makes at least.
+LEAST_STEPS = 400
 #: The pipeline keeps texts of a language with at least this score.
 LEAST_SCORE = 0.4
 LOWER = np.arange(256, dtype=np.uint8)
@@ -80,8 +82,9 @@ class ByteCNN:
         return np.concatenate(pooled, 1) @ self.dense + self.out
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 3, batch: int = 32, rate: float = 0.01, seed: int = 5) -> None:
-        """Adagrad; through max pooling only the places that won get a gradient."""
+        """Adagrad; through max pooling only the places that won get a gradient. Small sets get more epochs."""
         rng = np.random.default_rng(seed)
+        epochs = max(epochs, -(-LEAST_STEPS * batch // max(1, len(x))))
         params = [*self.conv, self.bias, self.dense, self.out]
         seen = [np.full(p.shape, 1e-3, np.float32) for p in params]
 
@@ -146,7 +149,7 @@ def train(docs: DataFrame) -> ByteCNN | None:
     net = ByteCNN(sorted({r["lang"] for r in got}))
     x, row, size = windows(*byte_spans(pa.array([r["part"] for r in got], pa.string())))
     y = np.array([net.languages.index(r["lang"]) for r in got])
-    enough = size >= min(64, int(size.max(initial=1)))
+    enough = (size >= 64) | np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]  # rests of longer texts teach little
     if not enough.any():
         return None
     net.fit(x[enough], y[row[enough]])
