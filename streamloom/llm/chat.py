@@ -162,3 +162,22 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(masked, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def _added(column: str) -> str:
+    """SQL for the characters that escaping adds: one for each backslash and each control string."""
+    counts = [f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in ["\\", *CONTROL]]
+    return " + ".join(counts)
+
+
+OP3_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) AS v(conv_id, turn, role, text)),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+    CAST(sum({len(TURN + BODY + END)} + length(role) + length(text) + {_added("role")} + {_added("text")}) AS BIGINT) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""

@@ -15,4 +15,4 @@ QUERIES = {
     "op9_langid": langid.op9_langid,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op5_url_filter": urls.OP5_SQL, "op8_topk": topk.OP8_SQL}
+ORACLES = {"op3_chat": chat.OP3_SQL, "op5_url_filter": urls.OP5_SQL, "op6_jaccard": jaccard.OP6_SQL, "op8_topk": topk.OP8_SQL}
