@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import column, slices, table
+from streamloom.llm.common import column, map_arrow, slices, table
 
 #: A tokenizer file larger than this is refused rather than broadcast.
 MAX_FILE_BYTES = 64 << 20
-#: Words remembered by a Python worker (some 100 MB); then the store starts anew.
-CACHE_ENTRIES = 400_000
+#: Words remembered by a Python worker (some 40 MB); then the store starts anew.
+CACHE_ENTRIES = 250_000
 #: Texts of these characters need no library normaliser: they are composed already, and their classes never changed.
 SIMPLE = re.compile("[\\t\\n\\r\\x20-\\x7e\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u017e\\u2013\\u2014\\u2018-\\u201e\\u2026]*")
 #: The word pattern of the file, and the same over SIMPLE texts in terms of the standard library.
@@ -105,12 +106,14 @@ class ForcedBoundaryBPE:
             cuts = [0, *(np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist()]
         return [data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)]
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        """The word's ids as 32-bit numbers, one after the other."""
         *parts, last = self.fragments(word.encode())
         out: list[int] = []
         for part in parts:
             out += self._fragment([self.inner[b] for b in part])
-        return out + self._fragment([*(self.inner[b] for b in last[:-1]), self.final[last[-1]]])
+        out += self._fragment([*(self.inner[b] for b in last[:-1]), self.final[last[-1]]])
+        return struct.pack(f"={len(out)}i", *out)
 
     def _fragment(self, ids: list[int]) -> list[int]:
         """Merges by lowest rank, leftmost first."""
@@ -148,27 +151,26 @@ class ForcedBoundaryBPE:
                     heapq.heappush(heap, (r, a))
         return [x for x in ids if x >= 0]
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if self.specials is None or "<" not in text:
-            return self._plain(text)
-        out: list[int] = []
-        at = 0
+            return np.frombuffer(self._plain(text), np.int32)
+        out, at = [], 0
         for m in self.specials.finditer(text):
-            out += self._plain(text[at : m.start()])
-            out.append(self.special[m.group()])
+            out += [self._plain(text[at : m.start()]), struct.pack("=i", self.special[m.group()])]
             at = m.end()
-        return out + self._plain(text[at:])
+        return np.frombuffer(b"".join([*out, self._plain(text[at:])]), np.int32)
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         if SIMPLE.fullmatch(text):
             words = SIMPLE_WORDS.findall(text.lower())
         else:  # any other script: the library's own normaliser and word splitter
             pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
             words = [bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in pieces]
-        return list(chain.from_iterable(map(self.by_word.__getitem__, words)))
+        return b"".join(map(self.by_word.__getitem__, words))
 
     def decode(self, ids) -> str:
         """Tokens joined by one space, special ones kept; ids outside the vocabulary give nothing."""
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         try:
             return " ".join(map(self.token_of.__getitem__, ids))
         except KeyError:
@@ -200,10 +202,10 @@ def _shipped(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(spec)
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -216,7 +218,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([column(b, "id"), _lists([codec.encode(t or "") for t in column(b, "text").to_pylist()])], ["id", "ids"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -230,7 +232,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
             yield pa.RecordBatch.from_arrays([column(b, "id"), _lists(ids), pa.array([codec.decode(i) for i in ids], pa.string())], ["id", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -243,7 +245,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
             yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array([codec.decode(i or ()) for i in column(b, "ids").to_pylist()], pa.string())], ["id", "decoded"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, decoded string")
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, decoded string")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from streamloom.llm.common import column, plus, slices, table
+from streamloom.llm.common import column, map_arrow, plus, slices, table
 
 #: Strings that may not stand in a text unescaped: this template's marks and those of common chat templates.
 CONTROL = ["<|turn|>", "<|body|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
@@ -104,7 +104,7 @@ def canonical(df: DataFrame, record_col: str = "record", known: dict[str, dict]
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in keep), pa.array(marks, pa.string()), pa.array(turns, turn)], [*keep, "fingerprint", "turns"])
 
     rows = df.select(*keep, record_col)
-    return rows.mapInArrow(run, plus(df.select(*keep).schema, fingerprint="string", turns=TURNS))
+    return map_arrow(rows, run, plus(df.select(*keep).schema, fingerprint="string", turns=TURNS))
 
 
 def escape(text) -> F.Column:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import Scratch, byte_spans, column, free_name, slices, table
+from streamloom.llm.common import Scratch, byte_spans, column, free_name, map_arrow, slices, table
 from streamloom.llm.graph import components
 from streamloom.llm.words import U, mix, shingles
 
@@ -168,7 +168,7 @@ def _sketches(docs: DataFrame, rule: Rule) -> DataFrame:
             at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(n)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n.astype(np.int64)), *marks, pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64)))], ["doc_id", "n", "fp1", "fp2", "bits", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, bits binary, keys array<long>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, fp1 long, fp2 long, bits binary, keys array<long>")
 
 
 def _hub_pairs(postings: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def _hub_pairs(postings: DataFrame) -> DataFrame:
             yield rows(True, np.array([key]), np.array([hub]), np.array([hub]))
 
     dealt = postings.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
-    return dealt.mapInArrow(run, ddl)
+    return map_arrow(dealt, run, ddl)
 
 
 def _settled(found: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _by_bitmap(pairs: DataFrame, info: DataFrame, rule: Rule) -> DataFrame:
                 keep[i] = can_link(na[i], nb[i], int(np.bitwise_count(fold(x, width) ^ fold(y, width)).sum()), rule)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return map_arrow(both.select("a", "b", "na", "nb", "bits_a", "bits_b"), run, "a long, b long")
 
 
 def t_occurrence(query: np.ndarray, sets: list[np.ndarray], rule: Rule) -> list[int]:
@@ -323,7 +323,7 @@ def _sets(ids: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 values, offsets = shingles(*byte_spans(column(b, "text")), rule.words)
                 yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([values[x:y].tobytes() for x, y in zip(offsets, offsets[1:], strict=False)], pa.binary())], ["doc_id", "elements"])
 
-    made = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("place")).mapInArrow(run, "doc_id long, elements binary")
+    made = map_arrow(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("place")), run, "doc_id long, elements binary")
     return made.join(ids.select(F.col(ids.columns[0]).alias("asked")), F.col("doc_id") == F.col("asked"), "left_semi")
 
 
@@ -355,7 +355,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         if now:
             yield done()
 
-    return made.repartition("hub", "block").sortWithinPartitions("hub", "block", "member").mapInArrow(search, "a long, b long")
+    return map_arrow(made.repartition("hub", "block").sortWithinPartitions("hub", "block", "member"), search, "a long, b long")
 
 
 def _ends(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -403,7 +403,7 @@ def _rest_pairs(pairs: DataFrame, roots: DataFrame, info: DataFrame, rule: Rule)
         if now:
             yield done()
 
-    found = blocks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "doc").mapInArrow(run, "a long, b long")
+    found = map_arrow(blocks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "doc"), run, "a long, b long")
     return found.distinct()
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import byte_spans, column, free_name, held_out, plus, slices, table
+from streamloom.llm.common import byte_spans, column, free_name, held_out, map_arrow, plus, slices, table
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 MAX_TEXTS, MAX_LANGUAGES, SAMPLE_CHARS = 6000, 200, 600
@@ -173,7 +173,7 @@ def identify(df: DataFrame, net: ByteCNN | None, text_col: str = "text", lang_na
                 scores = np.where(letters, p.max(1), 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs.tolist(), pa.string()), pa.array(scores, pa.float64())], [*keep, lang_name, score_name])
 
-    return df.mapInArrow(run, plus(df.schema, **{lang_name: "string", score_name: "double"}))
+    return map_arrow(df, run, plus(df.schema, **{lang_name: "string", score_name: "double"}))
 
 
 def keep_known(df: DataFrame) -> DataFrame:

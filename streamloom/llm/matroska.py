@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import column, plus, slices, table
+from streamloom.llm.common import column, map_arrow, plus, slices, table
 
 #: Samples of a frame, frames of a block, blocks of a cluster.
 FRAME, LACE, CLUSTER = 576, 8, 32
@@ -264,7 +264,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lacing:
             yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array([n for n, _ in made], pa.int64()), pa.array([mux(p, lacing=lacing) for _, p in made], pa.binary())], ["id", "n_bytes", "media"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 PACKET_DDL = "track int, timestamp long, offset long, size long, keyframe boolean, lacing string, cluster int"
@@ -289,7 +289,7 @@ def packets(df: DataFrame, id_col: str = "id", media_col: str = "media") -> Data
     names = ["id", "packet_no", *(c.split()[0] for c in PACKET_DDL.split(", ")), "cued"]
     id_type = rows.schema["id"].dataType.simpleString()
     types = [{"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string()), pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.bool_(), pa.string(), pa.int32(), pa.bool_()]
-    return rows.mapInArrow(run, f"id {id_type}, packet_no long, {PACKET_DDL}, cued boolean")
+    return map_arrow(rows, run, f"id {id_type}, packet_no long, {PACKET_DDL}, cued boolean")
 
 
 def feature(parsed: Parsed, payload: bytes) -> str:
@@ -316,7 +316,7 @@ def read_back(df: DataFrame, id_col: str = "id", media_col: str = "media", keep:
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("id", *keep, "media")), pa.array(payloads, pa.binary()), pa.array(features), pa.array(errors, pa.string())], ["id", *keep, "media", "payload", "feature", "error"])
 
     rows = df.select(F.col(id_col).alias("id"), *keep, F.col(media_col).alias("media"))
-    return rows.mapInArrow(run, plus(rows.schema, payload="binary", feature="string", error="string"))
+    return map_arrow(rows, run, plus(rows.schema, payload="binary", feature="string", error="string"))
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

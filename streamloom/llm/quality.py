@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import byte_spans, column, free_name, held_out, plus, slices, table
+from streamloom.llm.common import byte_spans, column, free_name, held_out, map_arrow, plus, slices, table
 from streamloom.llm.words import word_hashes
 
 MAX_POSITIVE, MAX_UNLABELLED = 2500, 5000
@@ -47,8 +47,8 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(raw):
         return out
     length = np.diff(offsets)
-    row = np.repeat(np.arange(n), length)
-    kind = KIND[raw].astype(np.int64)
+    row = np.repeat(np.arange(n, dtype=np.int32), length)  # a slice's counters fit: rows * 576 stays far below 2^31
+    kind = KIND[raw].astype(np.int32)
     per = np.maximum(length, 1)[:, None]
     out[:, :KINDS] = np.sqrt(np.bincount(row * KINDS + kind, minlength=n * KINDS).reshape(n, KINDS) / per)
     same = row[1:] == row[:-1]
@@ -100,7 +100,7 @@ def _feature_rows(df: DataFrame) -> DataFrame:
             x = features(*byte_spans(column(b, "text")))
             yield pa.RecordBatch.from_arrays([column(b, "part"), pa.array([r.tobytes() for r in x], pa.binary())], ["part", "x"])
 
-    return df.select("part", "text").mapInArrow(run, "part int, x binary")
+    return map_arrow(df.select("part", "text"), run, "part int, x binary")
 
 
 def _smallest(ids: DataFrame, n: int, most: int) -> DataFrame:
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     chosen = docs.sparkSession.createDataFrame([tuple(r) for part in (trusted, web) for r in part.collect()], "doc_id long, part int").distinct()
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = _feature_rows(sample).collect()
-    parts = [np.array(sorted(np.frombuffer(r.x, np.float32).tolist() for r in rows if r.part == k), np.float32) for k in (1, 0)]
+    parts = [np.frombuffer(b"".join(sorted(bytes(r.x) for r in rows if r.part == k)), np.float32).reshape(-1, SIZE) for k in (1, 0)]
     return fit_nnpu(parts[0], parts[1], min(max(prior, 0.01), 0.99)) if all(map(len, parts)) else None
 
 
@@ -135,7 +135,7 @@ def score(df: DataFrame, scorer: Scorer | None, text_col: str = "text", name: st
             s = model(x).astype(np.float64) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*keep, name])
 
-    return df.mapInArrow(run, plus(df.schema, **{name: "double"}))
+    return map_arrow(df, run, plus(df.schema, **{name: "double"}))
 
 
 def keep_good(df: DataFrame, labels: DataFrame) -> DataFrame:

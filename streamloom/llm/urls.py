@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import column, free_name, plus, table
+from streamloom.llm.common import column, free_name, map_arrow, plus, table
 
 #: Rules are broadcast as a trie only up to these bounds; beyond, they are joined by trie node.
 MAX_TRIE_RULES, MAX_TRIE_CHARS = 200_000, 16 << 20
@@ -109,7 +109,7 @@ def _judge_by_trie(df: DataFrame, rules: list, default: str) -> DataFrame:
             rule, verdict = pa.array([f[1] for f in found], pa.string()), pa.array([f[0] or default for f in found], pa.string())
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in keep), rule, verdict], [*keep, "rule", "verdict"])
 
-    return df.mapInArrow(run, plus(df.schema, rule="string", verdict="string"))
+    return map_arrow(df, run, plus(df.schema, rule="string", verdict="string"))
 
 
 def _judge_by_join(df: DataFrame, rules: DataFrame, default: str) -> DataFrame:
