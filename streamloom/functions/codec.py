@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What percent encoding escapes besides controls, DEL and everything outside ASCII.
@@ -26,8 +26,11 @@ def percent_encode(value) -> Column:
     """Upper-case escapes of controls, space, ``" # < > & = %``, DEL and non-ASCII bytes; texts without them as they are."""
     value = _col(value)
     pairs = F.regexp_extract_all(F.hex(F.encode(value, "UTF-8")), F.lit(".."), F.lit(0))
-    escaped = F.transform(pairs, lambda b: F.when((b < "20") | (b > "7F") | b.isin(_ESCAPED_HEX), F.concat(F.lit("%"), b)).otherwise(F.unhex(b).cast("string")))
-    return F.when(value.rlike(r'[^\x21-\x7e]|["#<>&=%]'), F.array_join(escaped, "")).otherwise(value)
+    by_byte = F.array_join(F.transform(pairs, lambda b: F.when((b < "20") | (b > "7F") | b.isin(_ESCAPED_HEX), F.concat(F.lit("%"), b)).otherwise(F.unhex(b).cast("string"))), "")
+    printable = F.replace(value, F.lit("%"), F.lit("%25"))
+    for c in ESCAPED.replace("%", ""):
+        printable = F.replace(printable, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.when(value.rlike(r"[^\x20-\x7e]"), by_byte).otherwise(printable)
 
 
 def lossy_utf8(data) -> Column:
@@ -40,7 +43,8 @@ def percent_decode(value) -> Column:
     value = _col(value)
     tokens = F.regexp_extract_all(value, F.lit(r"(?s)%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
     as_hex = F.transform(tokens, lambda t: F.when((F.length(t) == 3) & t.startswith("%") & t.rlike("^%[0-9A-Fa-f]{2}$"), F.substring(t, 2, 2)).otherwise(F.hex(F.encode(t, "UTF-8"))))
-    return F.when(value.contains("%"), lossy_utf8(F.unhex(F.array_join(as_hex, "")))).otherwise(value)
+    ascii_only = F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+    return F.when(~value.contains("%"), value).when(~value.rlike("%(?![0-7][0-9A-Fa-f])"), ascii_only).otherwise(lossy_utf8(F.unhex(F.array_join(as_hex, ""))))
 
 
 def hex_encode(data) -> Column:
@@ -110,68 +114,58 @@ def _rest(text: Column, separator: str) -> tuple[Column, Column]:
     return F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(text), F.when(at > 0, F.substr(text, at + len(separator)))
 
 
-def decode_context(value) -> Column:
-    """The context of a once percent-decoded value: a struct with unused members and, if it is malformed, an error code."""
-    u64, u32 = (1 << 64) - 1, (1 << 32) - 1
+def decode_contexts(df: DataFrame, source: str, out: str = "context") -> DataFrame:
+    """Adds ``out``, the context of a once percent-decoded column: a struct with unused members NULL and an error code.
 
-    def both(text: Column, separator: str, before: str, after: str) -> list[Column]:
-        a, b = _rest(text, separator)
-        return [a.alias(before), b.alias(after)]
-
-    def split_kind(v: Column) -> Column:
-        return let(F.struct(*both(v, ",", "kind", "body")), split_body)
-
-    def split_body(p: Column) -> Column:
-        kind, body = p["kind"], p["body"]
-        return let(F.struct(kind.alias("kind"), body.alias("body"), *both(body, ",", "first", "later")), split_payload)
-
-    def split_payload(p: Column) -> Column:
-        payload = F.when(p["kind"] == "PART", p["later"]).otherwise(p["body"])
-        return let(F.struct(*(p[c].alias(c) for c in ("kind", "body", "first", "later")), *both(payload, ",", "sequence_text", "after_sequence"), *both(F.when(p["kind"] == "SCTE35", p["later"]).otherwise(p["body"]), SEPARATOR, "daterange_id", "target")), split_range)
-
-    def split_range(p: Column) -> Column:
-        return let(F.struct(*(p[c].alias(c) for c in ("kind", "body", "first", "later", "sequence_text", "daterange_id", "target")), *both(p["after_sequence"], ",", "range_part", "url")), numbers)
-
-    def numbers(p: Column) -> Column:
-        start, end = _rest(p["range_part"], "-")
-        return let(F.struct(*(p[c].alias(c) for c in ("kind", "body", "first", "later", "daterange_id", "target", "range_part", "url")), _unsigned(p["sequence_text"], u64).alias("sequence"), _unsigned(p["first"], u32).alias("index"), _unsigned(start, u64).alias("start"), _unsigned(end, u64).alias("end")), checked)
-
-    def checked(p: Column) -> Column:
-        kind = p["kind"]
-        media = kind.isin("SEGMENT", "MAP", "PART")
-        error = (
-            F.when(~kind.isin(*CONTEXT_TYPES), "UnknownContextType")
-            .when(p["body"].isNull(), "EmptyContextValue")
-            .when((kind == "PART") & p["index"].isNull(), "PartIndexParseIntFailure")
-            .when((kind == "PART") & p["later"].isNull(), "MissingMediaSequencePart")
-            .when(media & p["sequence"].isNull(), "MediaSequencePartParseIntFailure")
-            .when(media & p["range_part"].isNull(), "MissingRangePart")
-            .when(media & (p["range_part"] != "-") & (p["start"].isNull() | p["end"].isNull()), "RangeParseFailure")
-            .when(media & p["url"].isNull(), "MissingUrlPart")
-            .when((kind == "SCTE35") & ~p["first"].isin("OUT", "IN", "CMD"), "InvalidCommandType")
-            .when((kind == "SCTE35") & p["later"].isNull(), "MissingDaterangeId")
-            .when((kind == "SCTE35") & p["target"].isNull(), "MissingScte35Message")
-            .when(kind.isin("ASSET_LIST", "DATERANGE_SCHEDULE") & p["target"].isNull(), "MissingAssetListUrl")
-        )
-        return let(F.struct(p.alias("p"), error.alias("error"), media.alias("media")), members)
-
-    def members(x: Column) -> Column:
-        p, fine, media = x["p"], x["error"].isNull(), x["media"]
-        kind = p["kind"]
-        return F.struct(
-            F.when(fine, kind).alias("context_type"),
-            F.when(fine & media, p["url"]).when(fine & kind.isin("ASSET_LIST", "DATERANGE_SCHEDULE"), p["target"]).alias("url"),
-            F.when(fine & media, p["sequence"]).alias("media_sequence"),
-            F.when(fine & (kind == "PART"), p["index"].cast("long")).alias("part_index"),
-            F.when(fine & media & (p["range_part"] != "-"), p["start"]).alias("range_start"),
-            F.when(fine & media & (p["range_part"] != "-"), p["end"]).alias("range_end"),
-            F.when(fine & ~media, p["daterange_id"]).alias("daterange_id"),
-            F.when(fine & (kind == "SCTE35"), p["first"]).alias("command_type"),
-            F.when(fine & (kind == "SCTE35"), p["target"]).alias("message"),
-            x["error"].alias("error"),
-        )
-
-    return let(_col(value), split_kind)
+    Each stage is a projection of its own, so that no part is worked out twice.
+    """
+    u64, u32 = (1 << 64) - 1, (1 << 32) - 1
+    c = lambda name: F.col(f"_ctx_{name}")
+
+    def stage(frame: DataFrame, **columns: Column) -> DataFrame:
+        return frame.withColumns({f"_ctx_{k}": v for k, v in columns.items()})
+
+    def parts(text: Column, separator: str, before: str, after: str) -> dict[str, Column]:
+        return dict(zip((before, after), _rest(text, separator), strict=True))
+
+    keep = df.columns
+    df = stage(df, **parts(F.col(source), ",", "kind", "body"))
+    df = stage(df, **parts(c("body"), ",", "first", "later"))
+    df = stage(df, payload=F.when(c("kind") == "PART", c("later")).otherwise(c("body")), tail=F.when(c("kind") == "SCTE35", c("later")).otherwise(c("body")))
+    df = stage(df, **parts(c("payload"), ",", "sequence_text", "after"), **parts(c("tail"), SEPARATOR, "id", "target"))
+    df = stage(df, **parts(c("after"), ",", "range", "url"))
+    df = stage(df, **parts(c("range"), "-", "start_text", "end_text"))
+    df = stage(df, sequence=_unsigned(c("sequence_text"), u64), index=_unsigned(c("first"), u32), start=_unsigned(c("start_text"), u64), end=_unsigned(c("end_text"), u64), media=c("kind").isin("SEGMENT", "MAP", "PART"))
+    kind, media, part = c("kind"), c("media"), c("kind") == "PART"
+    df = stage(
+        df,
+        error=F.when(~kind.isin(*CONTEXT_TYPES), "UnknownContextType")
+        .when(c("body").isNull(), "EmptyContextValue")
+        .when(part & c("index").isNull(), "PartIndexParseIntFailure")
+        .when(part & c("later").isNull(), "MissingMediaSequencePart")
+        .when(media & c("sequence").isNull(), "MediaSequencePartParseIntFailure")
+        .when(media & c("range").isNull(), "MissingRangePart")
+        .when(media & (c("range") != "-") & (c("start").isNull() | c("end").isNull()), "RangeParseFailure")
+        .when(media & c("url").isNull(), "MissingUrlPart")
+        .when((kind == "SCTE35") & ~c("first").isin("OUT", "IN", "CMD"), "InvalidCommandType")
+        .when((kind == "SCTE35") & c("later").isNull(), "MissingDaterangeId")
+        .when((kind == "SCTE35") & c("target").isNull(), "MissingScte35Message")
+        .when(kind.isin("ASSET_LIST", "DATERANGE_SCHEDULE") & c("target").isNull(), "MissingAssetListUrl"),
+    )
+    fine, ranged = c("error").isNull(), media & (c("range") != "-")
+    context = F.struct(
+        F.when(fine, kind).alias("context_type"),
+        F.when(fine & media, c("url")).when(fine & kind.isin("ASSET_LIST", "DATERANGE_SCHEDULE"), c("target")).alias("url"),
+        F.when(fine & media, c("sequence")).alias("media_sequence"),
+        F.when(fine & part, c("index").cast("long")).alias("part_index"),
+        F.when(fine & ranged, c("start")).alias("range_start"),
+        F.when(fine & ranged, c("end")).alias("range_end"),
+        F.when(fine & ~media, c("id")).alias("daterange_id"),
+        F.when(fine & (kind == "SCTE35"), c("first")).alias("command_type"),
+        F.when(fine & (kind == "SCTE35"), c("target")).alias("message"),
+        c("error").alias("error"),
+    )
+    return df.select(*(k for k in keep if k != out), context.alias(out))
 
 
 #: Error code -> text.

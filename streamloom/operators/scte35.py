@@ -24,12 +24,23 @@ SCHEMA = (
 )
 
 
+def _crc_table() -> list[int]:
+    table = []
+    for n in range(256):
+        crc = n << 24
+        for _ in range(8):
+            crc = crc << 1 ^ (0x04C11DB7 if crc & 0x80000000 else 0)
+        table.append(crc & 0xFFFFFFFF)
+    return table
+
+
+_CRC = _crc_table()
+
+
 def crc32_mpeg(data: bytes) -> int:
     crc = 0xFFFFFFFF
     for b in data:
-        crc ^= b << 24
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+        crc = (crc << 8 & 0xFFFFFFFF) ^ _CRC[crc >> 24 ^ b]
     return crc
 
 

@@ -55,11 +55,12 @@ def examples(spark: SparkSession) -> DataFrame:
 
 def requests(rows: DataFrame, url_col: str = "url") -> DataFrame:
     """What a viewer's address asks for: playlist_url and context decoded once, definitions as they stand."""
-    return rows.withColumns({
+    rows = rows.withColumns({
         "playlist_url": codec.percent_decode(urls.query_value(url_col, "playlist_url")),
         "definitions_query": urls.query_value(url_col, "imported_definitions"),
-        "context": codec.decode_context(codec.percent_decode(urls.query_value(url_col, "supplemental_view_context"))),
+        "_asked": codec.percent_decode(urls.query_value(url_col, "supplemental_view_context")),
     })
+    return codec.decode_contexts(rows, "_asked").drop("_asked")
 
 
 def with_fetch_errors(responses: DataFrame) -> DataFrame:
