@@ -87,19 +87,31 @@ def range_header(start, end) -> Column:
 # --- view contexts
 
 
-def encode_segment(kind: str, url, media_sequence, start, end, part_index=None) -> Column:
-    """SEGMENT, MAP or PART context of a resource, percent-encoded."""
+def segment_context(kind: str, url, media_sequence, start, end, part_index=None) -> Column:
+    """SEGMENT, MAP or PART context of a resource, as it is before encoding."""
     head = [F.lit(f"{kind},")] + ([_col(part_index).cast("string"), F.lit(",")] if kind == "PART" else [])
-    return percent_encode(F.concat(*head, F.concat_ws(",", _col(media_sequence).cast("string"), range_text(start, end), _col(url))))
+    return F.concat(*head, F.concat_ws(",", _col(media_sequence).cast("string"), range_text(start, end), _col(url)))
+
+
+def scte35_context(message, daterange_id, command) -> Column:
+    return F.concat(F.lit("SCTE35,"), _col(command), F.lit(","), _col(daterange_id), F.lit(SEPARATOR), _col(message))
+
+
+def json_context(kind: str, url, daterange_id) -> Column:
+    """ASSET_LIST or DATERANGE_SCHEDULE context."""
+    return F.concat(F.lit(f"{kind},"), _col(daterange_id), F.lit(SEPARATOR), _col(url))
+
+
+def encode_segment(kind: str, url, media_sequence, start, end, part_index=None) -> Column:
+    return percent_encode(segment_context(kind, url, media_sequence, start, end, part_index))
 
 
 def encode_scte35(message, daterange_id, command) -> Column:
-    return percent_encode(F.concat(F.lit("SCTE35,"), _col(command), F.lit(","), _col(daterange_id), F.lit(SEPARATOR), _col(message)))
+    return percent_encode(scte35_context(message, daterange_id, command))
 
 
 def encode_json(kind: str, url, daterange_id) -> Column:
-    """ASSET_LIST or DATERANGE_SCHEDULE context."""
-    return percent_encode(F.concat(F.lit(f"{kind},"), _col(daterange_id), F.lit(SEPARATOR), _col(url)))
+    return percent_encode(json_context(kind, url, daterange_id))
 
 
 def _unsigned(text: Column, most: int) -> Column:

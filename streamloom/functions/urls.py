@@ -140,7 +140,8 @@ def playlist_link(resolved, definitions) -> Column:
     return F.concat(F.lit("?playlist_url="), codec.percent_encode(resolved), own)
 
 
-def context_link(playlist_url, definitions_query, context) -> Column:
-    """The playlist itself with a context; the definitions parameter passes as it came."""
+def context_link(playlist_url, definitions_query, context, encoded: bool = False) -> Column:
+    """The playlist itself with a context; the definitions parameter passes as it came. ``encoded``: the url already is."""
     given = F.when(_col(definitions_query).isNotNull(), F.concat(F.lit("&imported_definitions="), _col(definitions_query))).otherwise("")
-    return F.concat(F.lit("?playlist_url="), codec.percent_encode(playlist_url), given, F.lit("&supplemental_view_context="), _col(context))
+    base = _col(playlist_url) if encoded else codec.percent_encode(playlist_url)
+    return F.concat(F.lit("?playlist_url="), base, given, F.lit("&supplemental_view_context="), _col(context))

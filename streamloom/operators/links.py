@@ -23,9 +23,8 @@ def extension(uri: Column) -> Column:
     return F.lower(F.element_at(F.split(path, r"\."), -1))
 
 
-def daterange_target(name: Column, value: Column, attrs: Column) -> Column:
+def daterange_target(name: Column, value: Column, has_id: Column, cls: Column, target: Column) -> Column:
     """What a date-range attribute leads to: SCTE35, PLAYLIST, ASSET_LIST, DATERANGE_SCHEDULE, or NULL for no link."""
-    has_id, cls, target = lex.last_quoted(attrs, "ID").isNotNull(), lex.last_quoted(attrs, "CLASS"), lex.last_quoted(attrs, "X-TARGET-CLASS")
     preload = F.when((target == INTERSTITIAL) & (extension(value) == "json"), "ASSET_LIST").when((target == INTERSTITIAL) & (extension(value) == "m3u8"), "PLAYLIST").when(target == SCHEDULE, "DATERANGE_SCHEDULE")
     return (
         F.when(name == "X-ASSET-URI", "PLAYLIST")
@@ -50,25 +49,32 @@ def link_rows(playlists: DataFrame) -> DataFrame:
     uri_line = F.array(candidate(F.lit(0), none, F.when(F.col("is_media"), "SEGMENT").otherwise("PLAYLIST"), F.col("raw")))
     kind_of = F.when(F.col("tag_name") == state.MAP, "MAP").when(F.col("tag_name") == state.PART, "PART").otherwise("PLAYLIST")
     uri_attrs = F.transform("attrs", lambda a, i: candidate(i, a["name"], F.when(a["name"] == "URI", kind_of), a["value"]))
-    range_attrs = F.transform("attrs", lambda a, i: candidate(i, a["name"], F.when(a["name"].isin(*LINK_ATTRIBUTES), daterange_target(a["name"], a["value"], F.col("attrs"))), a["value"]))
+    of_range = {f"_{k}": F.when(F.col("tag_name") == DATERANGE, lex.last_quoted(F.col("attrs"), name)) for k, name in (("id", "ID"), ("class", "CLASS"), ("target", "X-TARGET-CLASS"))}
+    rows = rows.withColumns(of_range)
+    target_of = lambda a: daterange_target(a["name"], a["value"], F.col("_id").isNotNull(), F.col("_class"), F.col("_target"))
+    range_attrs = F.transform("attrs", lambda a, i: candidate(i, a["name"], F.when(a["name"].isin(*LINK_ATTRIBUTES), target_of(a)), a["value"]))
     found = F.when(F.col("kind") == "uri", uri_line).when(F.col("tag_name") == DATERANGE, range_attrs).when(F.col("attrs").isNotNull(), uri_attrs)
-    rows = rows.withColumn("daterange_id", F.when(F.col("tag_name") == DATERANGE, lex.last_quoted(F.col("attrs"), "ID"))).withColumn("_l", F.explode(F.filter(found, lambda c: c["link_type"].isNotNull())))
-    rows = rows.select("*", "_l.*").drop("_l", "attrs")
+    rows = rows.withColumn("_l", F.explode(F.filter(found, lambda c: c["link_type"].isNotNull())))
+    rows = rows.select("*", "_l.*", F.col("_id").alias("daterange_id")).drop("_l", "attrs", "_id", "_class", "_target")
     needs = F.col("link_type") != "SCTE35"
     base = urls.resolve(F.col("playlist_url"), F.lit(""))
     rows = rows.withColumns({"base_url": base, "resolved": urls.resolve(F.col("playlist_url"), F.when(needs, urls.replace_variables("text", "definitions")))})
     sequence = (F.col("media_sequence"), "range_start", "range_end")
-    context = (
-        F.when(F.col("link_type") == "SEGMENT", codec.encode_segment("SEGMENT", "resolved", *sequence))
-        .when(F.col("link_type") == "MAP", codec.encode_segment("MAP", "resolved", *sequence))
-        .when(F.col("link_type") == "PART", codec.encode_segment("PART", "resolved", *sequence, "part_index"))
-        .when(F.col("link_type") == "SCTE35", codec.encode_scte35("text", "daterange_id", F.substring("attribute", 8, 3)))
-        .when(F.col("link_type") == "ASSET_LIST", codec.encode_json("ASSET_LIST", "resolved", "daterange_id"))
-        .when(F.col("link_type") == "DATERANGE_SCHEDULE", codec.encode_json("DATERANGE_SCHEDULE", "resolved", "daterange_id"))
+    kind = F.col("link_type")
+    plain = (
+        F.when(kind == "SEGMENT", codec.segment_context("SEGMENT", "resolved", *sequence))
+        .when(kind == "MAP", codec.segment_context("MAP", "resolved", *sequence))
+        .when(kind == "PART", codec.segment_context("PART", "resolved", *sequence, "part_index"))
+        .when(kind == "SCTE35", codec.scte35_context("text", "daterange_id", F.substring("attribute", 8, 3)))
+        .when(kind == "ASSET_LIST", codec.json_context("ASSET_LIST", "resolved", "daterange_id"))
+        .when(kind == "DATERANGE_SCHEDULE", codec.json_context("DATERANGE_SCHEDULE", "resolved", "daterange_id"))
     )
-    rows = rows.withColumn("context", context)
-    href = F.when(F.col("link_type") == "PLAYLIST", urls.playlist_link("resolved", "definitions")).otherwise(urls.context_link("base_url", "definitions_query", "context"))
-    return rows.withColumn("href", href).filter(F.col("href").isNotNull()).drop("kind", "value", "error", "define_error")
+    # Texts stand in columns of their own before they are encoded, so that each is put together once.
+    rows = rows.withColumns({"_plain": plain, "_url": F.when(kind == "PLAYLIST", F.col("resolved")).otherwise(F.col("base_url"))})
+    rows = rows.withColumns({"context": codec.percent_encode("_plain"), "_url": codec.percent_encode("_url")})
+    own = F.when(F.size("definitions") > 0, F.concat(F.lit("&imported_definitions="), codec.encode_definitions("definitions"))).otherwise("")
+    href = F.when(kind == "PLAYLIST", F.concat(F.lit("?playlist_url="), F.col("_url"), own)).otherwise(urls.context_link("_url", "definitions_query", "context", encoded=True))
+    return rows.withColumn("href", href).filter(F.col("href").isNotNull()).drop("kind", "value", "error", "define_error", "_plain", "_url")
 
 
 def highlighted(links: DataFrame, context_type: str, media_sequence: int | None = None, url: str | None = None, part_index: int | None = None, daterange_id: str | None = None, command: str | None = None, first_only: bool = False) -> DataFrame:
