@@ -383,3 +383,55 @@ ORACLES["scte35_messages"] = "SELECT o_orderkey, 'time_signal' AS command, o_ord
 @query("SELECT 'spatial' AS section, 6 AS n UNION ALL SELECT 'advanced', 3 UNION ALL SELECT 'packager', 3 UNION ALL SELECT 'drm and low latency', 3")
 def example_catalogue(spark, sf_dir: str) -> DataFrame:
     return readers.examples(spark).groupBy("section").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""
+SELECT p_partkey, CAST(p_size % 128 AS VARCHAR) AS dv_profile, CAST(p_partkey % 64 AS VARCHAR) AS dv_level, CASE WHEN p_partkey % 2 = 1 THEN 'true' ELSE 'false' END AS el_present_flag, CAST(p_size % 16 AS VARCHAR) AS dv_bl_signal_compatibility_id FROM part
+""")
+def dolby_vision_bits(spark, sf_dir: str) -> DataFrame:
+    """Dolby Vision records packed from the columns of ``part``."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
+    packed = size % 128 * 512 + key % 64 * 8 + 4 + key % 2 * 2 + 1
+    body = F.concat(raw("0100"), be(packed, 2), be(size % 16 * 16, 1), raw("00" * 19))
+    rows = boxes.box_properties(table(spark, sf_dir, "part").select(key.cast("string").alias("media_id"), box("dvvC", body).alias("content")))
+    wanted = ["dv_profile", "dv_level", "el_present_flag", "dv_bl_signal_compatibility_id"]
+    return rows.groupBy("media_id").pivot("key", wanted).agg(F.first("value")).select(F.col("media_id").cast("bigint").alias("p_partkey"), *wanted)
+
+
+@query("""
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS ordinal, l_suppkey AS count, CAST(l_quantity AS BIGINT) AS delta, l_partkey AS sample_size FROM lineitem
+""")
+def sample_tables(spark, sf_dir: str) -> DataFrame:
+    """Times and sizes of the samples of each order, out of ``stts`` and ``stsz`` boxes."""
+    items = synth.ordered_lineitem(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("ord", "qty", "l_partkey", "l_suppkey"))).alias("items"))
+    joined = lambda f: F.aggregate(F.transform("items", f), raw(""), lambda a, x: F.concat(a, x))
+    stts = box("stts", raw("00000000"), be(F.size("items"), 4), joined(lambda i: F.concat(be(i["l_suppkey"], 4), be(i["qty"], 4))))
+    stsz = box("stsz", raw("0000000000000000"), be(F.size("items"), 4), joined(lambda i: be(i["l_partkey"], 4)))
+    rows = boxes.box_properties(items.select(F.col("l_orderkey").cast("string").alias("media_id"), F.concat(stts, stsz).alias("content")))
+    per = rows.groupBy("media_id").agg(F.first(F.when(F.col("key") == "entries", F.col("rows")), ignorenulls=True).alias("times"), F.first(F.when(F.col("key") == "sample_sizes", F.split("value", ", ")), ignorenulls=True).alias("sizes"))
+    each = per.select("media_id", "sizes", F.posexplode("times").alias("k", "time"))
+    number = lambda c: c.cast("bigint")
+    return each.select(number(F.col("media_id")).alias("l_orderkey"), (F.col("k") + 1).alias("ordinal"), number(F.col("time")[0]).alias("count"), number(F.col("time")[1]).alias("delta"), number(F.get("sizes", F.col("k"))).alias("sample_size"))
+
+
+@query("""
+SELECT o_orderkey, lower(lpad(hex(o_orderkey), 16, '0')) AS iv, CAST(o_custkey % 60000 AS VARCHAR) || '/' || CAST(o_orderkey % 1000 AS VARCHAR) AS clear_and_protected FROM orders
+""")
+def sample_encryption(spark, sf_dir: str) -> DataFrame:
+    """The only sample of a ``senc`` box per order: its IV and its one subsample."""
+    o = table(spark, sf_dir, "orders")
+    body = F.concat(raw("0000000200000001"), be("o_orderkey", 8), be(1, 2), be(F.col("o_custkey") % 60000, 2), be(F.col("o_orderkey") % 1000, 4))
+    rows = boxes.box_properties(o.select(F.col("o_orderkey").cast("string").alias("media_id"), box("senc", body).alias("content"))).filter("rows IS NOT NULL")
+    return rows.select(F.col("media_id").cast("bigint").alias("o_orderkey"), F.substring(F.col("rows")[0][1], 3, 16).alias("iv"), F.col("rows")[1][1].alias("clear_and_protected"))
+
+
+@query("SELECT p_partkey, lower(lpad(hex(p_partkey), 32, '0')) AS key_id, 'Widevine Content Protection' AS system_ref, lower(hex(encode(p_name))) AS content_key FROM part WHERE octet_length(encode(p_name)) < 128")
+def protection_headers(spark, sf_dir: str) -> DataFrame:
+    """A Widevine header per part: its key id, and the name carried as a key id of the message."""
+    p = table(spark, sf_dir, "part").filter(F.octet_length("p_name") < 128)
+    message = F.concat(raw("12"), be(F.octet_length("p_name"), 1), F.encode("p_name", "UTF-8"))
+    body = F.concat(raw("01000000"), raw(drm.WIDEVINE.hex()), be(1, 4), be("p_partkey", 16), be(F.length(message), 4), message)
+    rows = boxes.box_properties(p.select(F.col("p_partkey").cast("string").alias("media_id"), box("pssh", body).alias("content")))
+    value = lambda key, c: F.first(F.when(F.col("key") == key, c), ignorenulls=True)
+    out = rows.groupBy("media_id").agg(value("key_ids", F.col("rows")[0][0]).alias("key_id"), value("system_ref", F.col("value")).alias("system_ref"), value("pssh_data", F.col("rows")[0][1]).alias("content_key"))
+    return out.select(F.col("media_id").cast("bigint").alias("p_partkey"), "key_id", "system_ref", "content_key")
