@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from streamloom.llm import bpe, chat, jaccard, langid, matroska, mixing, quality, topk, urls
+from streamloom.llm import bpe, chat, jaccard, langid, matroska, mixing, packing, quality, topk, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_packing": packing.op2_packing,
     "op3_chat": chat.op3_chat,
     "op4_matroska": matroska.op4_matroska,
     "op5_url_filter": urls.op5_url_filter,
