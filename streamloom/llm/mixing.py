@@ -94,11 +94,15 @@ def fit(counts: dict[int, int], budget: int, order: dict[int, int]) -> dict[int,
                 rest -= n
                 progress = True
     left = [(n, counts[n] - taken[n]) for n in by_seed if counts[n] > taken[n]]
-    reach = rest + min((n for n, _ in left), default=0)  # one document over may come nearer than none
-    if reach > 4 * FIT_WORDS:
-        reach = rest
-    for n, more in _knapsack([(n, c) for n, c in left if n <= reach], rest, reach).items():
-        taken[n] += more
+    # Taking none more is ``rest`` words off, so the nearest sum is at most twice ``rest``.
+    if rest > 2 * FIT_WORDS:
+        # All documents left are longer than rest - FIT_WORDS / 2: any two are further off than the best one or none.
+        one = min((n for n, _ in left), key=lambda n: (abs(n - rest), n), default=0)
+        more = {one: 1} if abs(one - rest) < rest else {}
+    else:
+        more = _knapsack([(n, c) for n, c in left if n <= 2 * rest], rest, 2 * rest)
+    for n, k in more.items():
+        taken[n] += k
     return {n: t for n, t in taken.items() if t}
 
 
@@ -114,7 +118,7 @@ def _knapsack(items: list[tuple[int, int]], target: int, reach: int) -> dict[int
             c, unit = c - k, unit * 2
         if sums >> target & 1:
             break
-    best = min((s for d in range(reach + 1) for s in (target - d, target + d) if 0 <= s <= reach and sums >> s & 1), key=lambda s: (abs(s - target), s), default=0) if not sums >> target & 1 else target
+    best = next(s for d in range(target + 1) for s in (target - d, target + d) if s <= reach and sums >> s & 1)
     out: Counter = Counter()
     for before, n, k in reversed(steps):
         if not before >> best & 1:

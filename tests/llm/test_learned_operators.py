@@ -159,6 +159,24 @@ def test_fit_is_exact_where_it_can_be(seed):
         assert all(k <= counts[n] for n, k in whole.items()) and abs(sum(n * k for n, k in whole.items()) - budget) <= max(counts)
 
 
+@pytest.mark.parametrize(
+    ("counts", "budget", "want"),
+    [
+        ({200_000: 1}, 180_000, {200_000: 1}),
+        ({200_000: 1}, 100_000, {}),
+        ({100_000: 3}, 180_000, {100_000: 2}),
+        ({70_000: 1, 95_000: 1}, 80_000, {70_000: 1}),
+        ({10_000_000: 1, 9_000_000: 2}, 6_000_000, {9_000_000: 1}),
+        ({5: 1, 94: 1}, 50, {94: 1}),
+    ],
+)
+def test_fit_of_few_long_documents(counts, budget, want):
+    assert mixing.fit(counts, budget, {n: n for n in counts}) == want
+    if len(counts) == 1 and want:
+        plan = mixing._plan_source(mixing.pd.DataFrame({"source": ["a"], "size": list(counts), "n": list(counts.values()), "source_size": [sum(n * c for n, c in counts.items())], "target": [float(budget)]}))
+        assert dict(zip(plan["size"], plan["want"], strict=True)) == want
+
+
 # --- top-k
 
 
