@@ -1,5 +1,6 @@
 """Boxes: golden vectors, every layout read without error, broken files, protection headers, messages, JSON views."""
 
+import json
 import struct
 
 import pytest
@@ -168,6 +169,54 @@ def test_scte35_column(spark):
     assert got[2].error.startswith("Hex") and got[1].command is None
 
 
+def splice(command, body, *descriptors):
+    loop = b"".join(bytes([tag, len(b) + 4]) + b"CUEI" + b for tag, b in descriptors)
+    part = bytes(7) + b"\0" + struct.pack(">I", 0x00C << 20 | len(body) << 8 | command)[:4] + body + struct.pack(">H", len(loop)) + loop
+    data = b"\xfc" + struct.pack(">H", 0x3000 | len(part) + 3) + part[1:]
+    return data + struct.pack(">I", scte35.crc32_mpeg(data))
+
+
+def test_scte35_whole_sections(spark):
+    tail = bytes.fromhex("0102" + "03" + "04")
+    timed = splice(5, bytes.fromhex("00000007 7F EF FE00000100 FE00015F90") + tail)
+    immediate_components = splice(5, bytes.fromhex("00000008 7F 9F 02 0A 0B") + tail)
+    timed_components = splice(5, bytes.fromhex("00000009 7F 8F 02 0A FF00000005 0B 7F") + tail)
+    schedule = splice(4, bytes.fromhex("02 00000001 7F FF 00000064 7E00000200") + tail + bytes.fromhex("00000002 FF"))
+    private = splice(255, b"ABCDxyz")
+    marks = splice(
+        6,
+        bytes.fromhex("FE00000001"),
+        (0, bytes.fromhex("000000FF")),
+        (1, b"\x05\x7f12#"),
+        (2, bytes.fromhex("00000003 7F 4B 01 2A FF00000006 000000000A 00 00 34 01 02 03 04")),
+        (2, bytes.fromhex("00000004 7F BF 00 00 34 01 02")),
+        (3, bytes.fromhex("000000000010 00000020 0025")),
+        (4, b"\x1f\x07eng" + bytes([0b010_0011_1])),
+        (9, b"\xab"),
+    )
+    texts = [d.hex() for d in (timed, immediate_components, timed_components, schedule, private, marks)]
+    got = [r.s for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, m string").select("k", scte35.scte35_decode("m").alias("s")).orderBy("k").collect()]
+    assert [s.error for s in got] == [None] * 6 and all(s.crc_ok and s.stuffing is None for s in got)
+    a, b, c, d, e, f = got
+    for s in (a, b, c, d.splices[0]):
+        assert (s.unique_program_id, s.avail_num, s.avails_expected) == (0x102, 3, 4)
+    assert (a.splice_event_id, a.out_of_network, a.program_splice, a.splice_immediate, a.pts_time, a.auto_return, a.break_duration) == (7, True, True, False, 256, True, 90000)
+    assert b.splice_immediate and [tuple(x) for x in b.components] == [(10, None), (11, None)] and b.break_duration is None
+    assert not c.splice_immediate and [tuple(x) for x in c.components] == [(10, 0x100000005), (11, None)]
+    assert (d.splices[0].utc_splice_time, d.splices[0].auto_return, d.splices[0].break_duration) == (100, False, 512)
+    assert (d.splices[1].splice_event_id, d.splices[1].splice_event_cancelled, d.splices[1].avail_num) == (2, True, None)
+    assert (e.private_identifier, e.private_bytes) == ("ABCD", b"xyz".hex())
+    avail, dtmf, seg, old, tai, audio, other = f.descriptors
+    assert avail.provider_avail_id == 255 and (dtmf.preroll, dtmf.dtmf) == (5, "12#")
+    assert (seg.delivery_not_restricted, seg.web_delivery_allowed, seg.no_regional_blackout, seg.archive_allowed, seg.device_restrictions) == (False, False, True, False, 3)
+    assert [tuple(x) for x in seg.components] == [(42, 0x100000006)] and (seg.duration, seg.sub_segment_num, seg.sub_segments_expected) == (10, 3, 4)
+    assert (old.delivery_not_restricted, old.segments_expected, old.sub_segment_num) == (True, 2, None)
+    assert (tai.tai_seconds, tai.tai_ns, tai.utc_offset) == (16, 32, 37)
+    assert [tuple(x) for x in audio.audio] == [(7, "eng", 2, 3, True)] and other.private_bytes == "ab"
+    shown = spark.createDataFrame([(texts[3],)], "m string").select(scte35.scte35_json("m")).first()[0]
+    assert json.loads(shown)["splices"][0]["utc_splice_time"] == 100
+
+
 def test_id3():
     frame = b"TIT2" + struct.pack(">I", 6) + b"\0\0" + b"\3title"
     tag = b"ID3\4\0\0" + bytes([0, 0, 0, len(frame)]) + frame
