@@ -6,8 +6,11 @@ keep tight boxes. A box's bound for query q is the sum of max(q lo, q hi) over t
 the highest bound, until it lies below the kth score found, or equals it and the box has no smaller id than the kth.
 First each block searches one shard; the kth score found there is where its searches of all other shards begin.
 
-Null vectors, vectors with null or non-finite components, with components of 2^27 or more in magnitude, and rows without
-an id take no part. Vectors meet only vectors of their own length. Ties go to the smaller id. Rows that repeat an id are
+Rows with components of 2^27 or more in magnitude are searched apart from the others, in Python integers where 64 bits are
+too few. As in the SQL, a component that does not fit into 64 bits is an error, and so is a score among the best k of
+2^63 - 1 or more in magnitude.
+
+Null vectors, vectors with null or non-finite components, and rows without an id take no part. Vectors meet only vectors of their own length. Ties go to the smaller id. Rows that repeat an id are
 candidates each, but never of a query of that id; a query id that repeats asks once, with its smallest vector.
 An empty table gives no rows.
 """
@@ -26,7 +29,9 @@ from streamloom.llm.common import Scratch, table
 K = 20
 #: Rows of a shard and queries of a block, about; they bound a task's memory.
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 8192, 2048, 128
-LIMIT = 1 << 27
+#: Components from here on are wide: their rows and queries are searched on their own, so that they slow no others.
+WIDE = 1 << 27
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 class KDTree:
@@ -48,21 +53,21 @@ class KDTree:
             span.append((a, b))
             kids.append([0, 0])
             if b - a > leaf and part.shape[1]:
-                wide = int(np.argmax(high[-1] - low[-1]))
+                wide = int(np.argmax((high[-1] - low[-1]).astype(np.float64)))
                 mid = (b - a) // 2
-                order[a:b] = order[a:b][np.argpartition(part[:, wide], mid)]
+                order[a:b] = order[a:b][np.argpartition(part[:, wide].astype(np.float64), mid)]
                 todo += [(a, a + mid, node, 0), (a + mid, b, node, 1)]
         self.vectors, self.ids = vectors[order], ids[order]
         self.low, self.high = np.array(low), np.array(high)
         self.least, self.span, self.kids = [int(x) for x in least], span, kids
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, k: int = K) -> list[list[tuple[int, int]]]:
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, floors: list[int], k: int = K) -> list[list[tuple[int, int]]]:
         """For each query its k best (score, id) of this shard that reach its floor, without rows of its own id."""
         bounds = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
         rows = self.vectors.T.copy()
         return [self._one(queries[i], int(query_ids[i]), floors[i], bounds[i], rows, k) for i in range(len(queries))]
 
-    def _one(self, q, own: int, floor: float, bound, rows, k: int) -> list[tuple[int, int]]:
+    def _one(self, q, own: int, floor: int, bound, rows, k: int) -> list[tuple[int, int]]:
         best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst kept first
         kth, kth_id = floor, None
         heap = [(-bound[0], 0)]
@@ -98,10 +103,20 @@ class KDTree:
 
 def _matrix(t: pa.Table) -> np.ndarray:
     flat = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = flat.reshape(t.num_rows, -1 if t.num_rows and len(flat) else 0)
-    most = float(np.abs(out).max(initial=0))
+    return flat.reshape(t.num_rows, -1 if t.num_rows and len(flat) else 0)
+
+
+def _most(x: np.ndarray) -> np.ndarray:
+    """The greatest magnitude of each row, as a double: int64 has none for its least number."""
+    return np.abs(x.astype(np.float64)).max(1, initial=0)
+
+
+def _exact(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in the fastest type that keeps all scores and bounds exact."""
+    most = float(_most(x).max()) * float(_most(q).max()) * max(1, x.shape[1])
     # Sums below 2^53 are exact in doubles, which multiply far faster.
-    return out.astype(np.float64) if most * most * max(1, out.shape[1]) < 2.0**52 else out
+    kind = np.float64 if most < 2.0**52 else np.int64 if most < 2.0**62 else object
+    return x.astype(kind), q.astype(kind)
 
 
 def _search_pair(rows: pa.Table, asked: pa.Table) -> pa.Table:
@@ -109,12 +124,15 @@ def _search_pair(rows: pa.Table, asked: pa.Table) -> pa.Table:
     if not rows.num_rows or not asked.num_rows:
         return schema.empty_table()
     x, q = _matrix(rows), _matrix(asked)
-    if x.dtype != q.dtype:
-        x, q = x.astype(np.int64), q.astype(np.int64)
-    query_ids = asked["query_id"].to_numpy()
-    floors = np.nan_to_num(asked["floor"].cast(pa.float64()).to_numpy(), nan=-np.inf)
-    found = KDTree(x, rows["vec_id"].to_numpy()).search(q, query_ids, floors)
-    flat = [(int(i), v, s) for i, hits in zip(query_ids, found, strict=True) for s, v in hits]
+    ids, query_ids = rows["vec_id"].to_numpy(), asked["query_id"].to_numpy()
+    floors = asked["floor"].fill_null(LEAST).to_numpy()
+    wide_x, wide_q, flat = _most(x) >= WIDE, _most(q) >= WIDE, []
+    for r in (~wide_x, wide_x):
+        for a in (~wide_q, wide_q):
+            if r.any() and a.any():
+                some, of = _exact(x[r], q[a])
+                found = KDTree(some, ids[r]).search(of, query_ids[a], floors[a].tolist())
+                flat += [(int(i), v, min(max(s, LEAST), MOST)) for i, hits in zip(query_ids[a], found, strict=True) for s, v in hits]
     return pa.Table.from_arrays([pa.array([f[c] for f in flat], pa.int64()) for c in range(3)], schema=schema)
 
 
@@ -128,10 +146,11 @@ def _search(shards: DataFrame, asked: DataFrame) -> DataFrame:
 def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``is_query`` holds, against all other rows."""
     scratch = Scratch(df.sparkSession, "topk")
-    scaled = F.transform(vec_col, lambda x: x.cast("double") * 64)
-    sound = F.forall(F.col("w"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(LIMIT)))
-    rows = df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("w"), is_query.alias("is_query")).filter(sound)
-    rows = scratch.save(rows.select("vec_id", F.transform("w", lambda x: F.floor(x).cast("long")).alias("v"), "is_query").withColumn("dim", F.size("v")))
+    sound = F.forall(F.col("w"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: x.cast("double")).alias("w"), is_query.alias("is_query")).filter(sound)
+    fits = lambda x: (x * 64 >= -(2.0**63)) & (x * 64 < 2.0**63)
+    floored = F.transform("w", lambda x: F.when(fits(x), F.floor(x * 64).cast("long")).otherwise(F.raise_error(F.lit("top_k: a component does not fit into 64 bits")).cast("long")))
+    rows = scratch.save(rows.select("vec_id", floored.alias("v"), "is_query").withColumn("dim", F.size("v")))
     n, asked_n = rows.agg(F.count("*"), F.sum(F.col("is_query").cast("long"))).first()
     n_shards, n_blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-(asked_n or 0) // BLOCK_QUERIES))
     shard = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n_shards)).cast("int")
@@ -140,13 +159,15 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embed
     block = F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(n_blocks)).cast("int")
     asked = scratch.save(asked.withColumn("block", block))
     home = F.pmod(F.col("block"), F.lit(n_shards)).cast("int")
-    first = scratch.save(_search(shards, asked.withColumn("shard", home).withColumn("floor", F.lit(None).cast("double"))))
-    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+    first = scratch.save(_search(shards, asked.withColumn("shard", home).withColumn("floor", F.lit(None).cast("long"))))
+    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     others = F.filter(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: s != home)
     rest = asked.join(floors, "query_id", "left").withColumn("shard", F.explode(others))
     hits = first.unionByName(_search(shards, rest)) if n_shards > 1 else first
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    score = F.when(F.col("score").isin(LEAST, MOST), F.raise_error(F.lit("top_k: a score does not fit into 64 bits")).cast("long")).otherwise(F.col("score"))
+    return best.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

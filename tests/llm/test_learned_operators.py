@@ -200,6 +200,28 @@ def test_top_k_equals_brute_force(spark, shape, monkeypatch):
     assert got == sorted(want)
 
 
+def test_top_k_of_wide_components(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (200, 4))
+    x[[20, 33, 140]] = [[3e6, 0, 1, 0], [5e6, 4e6, 0, -3e6], [2.5e6, -3e6, 0, 0]]
+    x[57] = [-1e12, 0, 0, 0]  # scores beyond 64 bits with wide queries, never among the best
+    x[60] = [0, 2.0**27, 0, 0]  # of scores over 2^53
+    rows = [(int(k), [float(v) for v in r]) for k, r in enumerate(x)] + [(201, [float("inf")] * 4)]
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect())
+    whole = [(k, [int(np.floor(64 * v)) for v in r]) for k, r in rows[:-1]]
+    want = []
+    for qid, q in whole[::20]:
+        hits = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), k) for k, v in whole if k != qid)[:20]
+        want += [(qid, n + 1, k, -s) for n, (s, k) in enumerate(hits)]
+    assert got == sorted(want)
+    for far in (1e12, 1e30):
+        more = df.unionByName(spark.createDataFrame([(202, [far, 0.0, 0.0, 0.0])], df.schema))
+        with pytest.raises(Exception, match="does not fit into 64 bits"):
+            topk.top_k(more, F.col("vec_id") % 20 == 0).collect()
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, F.col("vec_id") % 20 == 0).count() == 0
