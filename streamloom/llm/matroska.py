@@ -2,7 +2,9 @@
 
 ``parse`` reads variable-length EBML elements: ids and sizes (unknown sizes too), clusters, simple blocks and block
 groups, all four kinds of lacing (none, Xiph, fixed, EBML), and cues. Each frame becomes a packet with its track,
-timestamp, byte range in the file and key-frame mark. ``mux`` writes 8-bit PCM into laced blocks with cues.
+timestamp, byte range in the file and key-frame mark. A packet's timestamp is its block's, in ticks; its time is its own, in
+nanoseconds: the block's timestamp times TimestampScale and, for frame k of a lace, k times the track's DefaultDuration
+(the block's time where a track has none). ``mux`` writes 8-bit PCM into laced blocks with cues.
 
 Nulls: a null text is an empty payload before padding; a null media value gives no packets. Broken files give the
 packets read so far and an error text. Long payloads are written cluster by cluster. Equal input, equal bytes.
@@ -29,7 +31,7 @@ RATE = 8000
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
-AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH, FLAG_LACING = 0xE1, 0xB5, 0x9F, 0x6264, 0x9C
+AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH, FLAG_LACING, DEFAULT_DURATION = 0xE1, 0xB5, 0x9F, 0x6264, 0x9C, 0x23E383
 CLUSTER_ID, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
@@ -46,6 +48,7 @@ class Packet(NamedTuple):
     keyframe: bool
     lacing: str
     cluster: int
+    time: int
 
 
 # --- writing
@@ -83,11 +86,11 @@ def lace(frames: list[bytes], kind: str) -> bytes:
 
 
 def mux(payload: bytes, frame: int = FRAME, per_block: int = LACE, per_cluster: int = CLUSTER, lacing: str = "ebml") -> bytes:
-    """A Matroska file of one PCM track; frame k starts at k * frame samples, in milliseconds rounded down."""
+    """A Matroska file of one PCM track; frame k starts at k * frame samples, blocks in milliseconds rounded down."""
     head = element(EBML, element(DOC_TYPE, b"matroska") + uint(DOC_TYPE_VERSION, 4) + uint(DOC_TYPE_READ_VERSION, 2))
     info = element(INFO, uint(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) * 1000 / RATE)))
     audio = element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + uint(DEFAULT_DURATION, frame * 1_000_000_000 // RATE) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
     frames = [payload[i : i + frame] for i in range(0, len(payload), frame)]
     at, clusters, cues, flags = len(info) + len(tracks), [], [], 0x80 | {"none": 0, "xiph": 2, "fixed": 4, "ebml": 6}[lacing]
     per_block = 1 if lacing == "none" else per_block
@@ -158,28 +161,31 @@ def _block(data: bytes, at: int, end: int, base: int, key: bool | None, cluster:
         if min(sizes) < 0:
             raise Broken(f"laces at {at} pass the block's end")
     out = []
-    for size in sizes:
-        out.append(Packet(track or 0, base + delta, at, size, key, kind, cluster))
+    for k, size in enumerate(sizes):
+        out.append(Packet(track or 0, base + delta, at, size, key, kind, cluster, k))  # the time is put in when all tracks are read
         at += size
     return out, kind
 
 
 class Parsed:
-    """Packets, cues [(time, track, byte offset of the cluster)], tracks {number: {...}}, and the first error."""
+    """Packets, cues [(time, track, byte offset of the cluster)], tracks {number: {...}}, nanoseconds of a frame by track, and the first error."""
 
     def __init__(self, data: bytes):
         self.packets: list[Packet] = []
         self.cues: list[tuple[int, int, int]] = []
         self.tracks: dict[int, dict] = {}
+        self.durations: dict[int, int] = {}
         self.scale, self.clusters, self.error = 1_000_000, 0, None
         try:
             self._read(data)
         except (Broken, IndexError) as e:
             self.error = str(e)
+        self.packets = [Packet(*p[:-1], p.timestamp * self.scale + p.time * self.durations.get(p.track, 0)) for p in self.packets]
 
     def _read(self, data: bytes) -> None:
         at, stack, segment, base = 0, [], 0, 0
         entry: dict = {}
+        duration = 0
         cue = [0, 0]
         group_at, group_end, group_key = 0, 0, True
 
@@ -187,6 +193,7 @@ class Parsed:
             nonlocal entry
             if eid == TRACK_ENTRY:
                 self.tracks[entry.get("number", 0)] = entry
+                self.durations[entry.get("number", 0)] = duration
             if eid == BLOCK_GROUP and group_end:
                 self.packets += _block(data, group_at, group_end, base, group_key, self.clusters - 1)[0]
 
@@ -207,7 +214,7 @@ class Parsed:
                 elif eid == CLUSTER_ID:
                     self.clusters, base = self.clusters + 1, 0
                 elif eid == TRACK_ENTRY:
-                    entry = {}
+                    entry, duration = {}, 0
                 elif eid == BLOCK_GROUP:
                     group_end, group_key = 0, True
                 at = body
@@ -229,6 +236,8 @@ class Parsed:
                 entry["number"] = number
             elif eid == TRACK_TYPE:
                 entry["type"] = number
+            elif eid == DEFAULT_DURATION:
+                duration = number
             elif eid == CODEC_ID:
                 entry["codec"] = data[body:end].decode("ascii", "replace")
             elif eid == BIT_DEPTH:
@@ -267,11 +276,11 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lacing:
     return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-PACKET_DDL = "track int, timestamp long, offset long, size long, keyframe boolean, lacing string, cluster int"
+PACKET_DDL = "track int, timestamp long, offset long, size long, keyframe boolean, lacing string, cluster int, time long"
 
 
 def packets(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """The packet table: (id, packet_no, track, timestamp, offset, size, keyframe, lacing, cluster, cued)."""
+    """The packet table: (id, packet_no, track, timestamp, offset, size, keyframe, lacing, cluster, time, cued); times beyond 64 bits are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media"):
@@ -280,7 +289,8 @@ def packets(df: DataFrame, id_col: str = "id", media_col: str = "media") -> Data
                 parsed = Parsed(data or b"")
                 cued, before = {(t, k) for t, k, _ in parsed.cues}, -1
                 for k, p in enumerate(parsed.packets):
-                    out.append((key, k, *p, p.cluster != before and (p.timestamp, p.track) in cued))
+                    time = p.time if -(1 << 63) <= p.time < 1 << 63 else None
+                    out.append((key, k, *p[:-1], time, p.cluster != before and (p.timestamp, p.track) in cued))
                     before = p.cluster
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -288,17 +298,17 @@ def packets(df: DataFrame, id_col: str = "id", media_col: str = "media") -> Data
     rows = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
     names = ["id", "packet_no", *(c.split()[0] for c in PACKET_DDL.split(", ")), "cued"]
     id_type = rows.schema["id"].dataType.simpleString()
-    types = [{"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string()), pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.bool_(), pa.string(), pa.int32(), pa.bool_()]
+    types = [{"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string()), pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.bool_()]
     return map_arrow(rows, run, f"id {id_type}, packet_no long, {PACKET_DDL}, cued boolean")
 
 
 def feature(parsed: Parsed, payload: bytes) -> str:
-    """Counts of packets, clusters and cues, the last timestamp, and mean, spread and turns of the samples."""
+    """Counts of packets, clusters and cues, the last packet's time in ticks, and mean, spread and turns of the samples."""
     x = np.frombuffer(payload, np.uint8)
     total = int(x.sum(dtype=np.int64))
     squares = int((x.astype(np.int64) ** 2).sum())
     turns = int(np.count_nonzero(np.diff(x > 127)))
-    last = parsed.packets[-1].timestamp if parsed.packets else -1
+    last = parsed.packets[-1].time // max(1, parsed.scale) if parsed.packets else -1
     return f"packets={len(parsed.packets)};clusters={parsed.clusters};cues={len(parsed.cues)};last={last};sum={total};squares={squares};turns={turns}"
 
 

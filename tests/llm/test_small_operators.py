@@ -162,6 +162,18 @@ def test_mux_and_parse(lacing):
         assert parsed.tracks == {1: {"number": 1, "type": 2, "codec": "A_PCM/INT/LIT", "bits": 8}}
 
 
+@pytest.mark.parametrize("lacing", matroska.LACINGS)
+def test_times_of_laced_frames(spark, lacing):
+    data = matroska.mux(bytes(576 * 300), lacing=lacing)
+    parsed = matroska.Parsed(data)
+    assert [p.time for p in parsed.packets] == [k * 72_000_000 for k in range(300)] and parsed.durations == {1: 72_000_000}
+    assert ";last=21528;" in matroska.feature(parsed, parsed.payload(data))
+    table = matroska.packets(spark.createDataFrame([(1, bytearray(data))], "id int, media binary"))
+    assert [r.time for r in table.orderBy("packet_no").limit(9).collect()] == [k * 72_000_000 for k in range(9)]
+    scaled = data.replace(matroska.uint(matroska.TIMESTAMP_SCALE, 1_000_000), matroska.uint(matroska.TIMESTAMP_SCALE, 2_000_000), 1)
+    assert [p.time for p in matroska.Parsed(scaled).packets[:: 8 if lacing != "none" else 1][:2]] == [0, 2 * parsed.packets[8 if lacing != "none" else 1].time]
+
+
 def test_unequal_laces_and_groups():
     frames = [b"a" * 300, b"b" * 1, b"c" * 900, b"d" * 255, b"e" * 7]
     el = matroska.element
