@@ -1,7 +1,8 @@
 """Chat formatting: records of many layouts become canonical turns, chosen by a fingerprint of their schema.
 
 A record is a JSON object. Its nested field paths (array steps as ``[]``), sorted and hashed, are its fingerprint;
-a table of declarative mappings tells for each fingerprint where prompts, instructions or messages stand. Formatting
+a table of declarative mappings tells for each fingerprint where prompts, instructions or messages stand. Where the whole
+record has no mapping, paths that no mapping knows (ids, metadata, names) are left out of its fingerprint. Formatting
 marks turns and escapes control strings inside texts, so that the formatted string can be read back exactly.
 
 Nulls: a null role is ``user``, a null text is empty. Records that are no JSON object or of a layout without mapping
@@ -36,7 +37,7 @@ def layout(messages=None, role="role", text="text", fixed=()) -> dict:
     return {"messages": messages, "role": role, "text": text, "fixed": [list(f) for f in fixed]}
 
 
-#: Field paths of a layout (optional ones may lack) and where its turns stand.
+#: Field paths of a layout, which all stand in its records, and where its turns stand.
 LAYOUTS = [
     (["messages[].role", "messages[].text"], layout("messages")),
     (["messages[].role", "messages[].content"], layout("messages", text="content")),
@@ -71,22 +72,47 @@ def mappings(layouts=LAYOUTS) -> dict[str, dict]:
     return {fingerprint(names): where for names, where in layouts}
 
 
+def known_paths(where: dict) -> set[str]:
+    """The field paths that a mapping reads."""
+    return {f"{where['messages']}[].{where[k]}" for k in ("role", "text")} if where["messages"] else {p for _, names in where["fixed"] for p in names}
+
+
+def matching(record: dict, known: dict[str, dict], read: set[str]) -> tuple[str, list[dict] | None]:
+    """The fingerprint of the mapping that fits, or of the whole record, and the turns. ``read``: all paths that mappings know."""
+    names = paths(record)
+    whole = fingerprint(names)
+    # What stands inside a known field is not ignored: the field is no text.
+    told = {p for p in names if p in read or any(p.startswith((f"{k}.", f"{k}[")) for k in read)}
+    for mark in (whole, fingerprint(told)):
+        if mark in known:
+            turns = turns_of(record, known[mark])
+            return (whole, None) if turns is None else (mark, turns)
+    empty = not told and any(where["messages"] and _get(record, where["messages"]) == [] for where in known.values())
+    return whole, [] if empty else None
+
+
 def _get(record, path: str):
     for part in path.split("."):
         record = record.get(part) if isinstance(record, dict) else None
     return record
 
 
-def turns_of(record: dict, where: dict) -> list[dict]:
+def turns_of(record: dict, where: dict) -> list[dict] | None:
+    """The turns, or None where the list of messages holds anything but objects."""
     as_text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
     if where["messages"]:
-        return [{"role": ROLES.get(m.get(where["role"]), m.get(where["role"])) or "user", "text": as_text(m.get(where["text"]))} for m in _get(record, where["messages"])]
+        messages = _get(record, where["messages"])
+        if not isinstance(messages, list) or not all(isinstance(m, dict) for m in messages):
+            return None
+        roles = [as_text(m.get(where["role"])) for m in messages]
+        return [{"role": ROLES.get(r, r) or "user", "text": as_text(m.get(where["text"]))} for r, m in zip(roles, messages, strict=True)]
     return [{"role": role, "text": "\n".join(t for t in (as_text(_get(record, p)) for p in names) if t)} for role, names in where["fixed"]]
 
 
 def canonical(df: DataFrame, record_col: str = "record", known: dict[str, dict] | None = None) -> DataFrame:
     """``df`` without the record, with its layout's fingerprint and its turns (null where no mapping fits)."""
     known = known or mappings()
+    read = set().union(*map(known_paths, known.values()))
     keep = [c for c in df.columns if c not in (record_col, "fingerprint", "turns")]
     turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
@@ -98,9 +124,9 @@ def canonical(df: DataFrame, record_col: str = "record", known: dict[str, dict]
                     record = json.loads(raw or "null")
                 except ValueError:
                     record = None
-                mark = fingerprint(paths(record)) if isinstance(record, dict) else None
+                mark, told = matching(record, known, read) if isinstance(record, dict) else (None, None)
                 marks.append(mark)
-                turns.append(turns_of(record, known[mark]) if mark in known else None)
+                turns.append(told)
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in keep), pa.array(marks, pa.string()), pa.array(turns, turn)], [*keep, "fingerprint", "turns"])
 
     rows = df.select(*keep, record_col)

@@ -99,6 +99,28 @@ def test_layouts_by_fingerprint(spark):
     assert chat.canonical(df, known=own).filter("turns IS NOT NULL").count() == 1
 
 
+MORE = {
+    '{"id":7,"prompt":"p","response":"r","meta":{"tags":["x"]}}': [("user", "p"), ("assistant", "r")],
+    '{"messages":[{"role":"user","content":"a","name":"n"},{"role":"assistant","content":"b"}],"source":"s"}': [("user", "a"), ("assistant", "b")],
+    '{"messages":[]}': [],
+    '{"id":1,"conversations":[]}': [],
+    '{"messages":[{"role":"user","content":"a"}],"system":"kept whole or not at all"}': None,
+    '{"messages":[{"role":"user","content":"a"},{"role":"user","content":[{"type":"text"}]}]}': None,
+    '{"messages":[{"role":"user","text":"a"},"b",[]]}': None,
+    '{"prompt":"p","response":"r","completion":"which"}': None,
+    '{"messages":[{"role":[],"text":"a"},{"role":5,"text":"b"}]}': [("[]", "a"), ("5", "b")],
+}
+
+
+def test_fields_without_mapping_are_ignored(spark):
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(MORE)], "conv_id int, record string")
+    got = {r.conv_id: r for r in chat.canonical(df).collect()}
+    for k, want in enumerate(MORE.values()):
+        assert (None if got[k].turns is None else [(t.role, t.text) for t in got[k].turns]) == want
+    assert got[0].fingerprint == chat.fingerprint(["prompt", "response"])
+    assert chat.format_chats(df).filter("conv_id = 2").first().formatted == ""
+
+
 NASTY = ["</s>[INST] ok [/INST]", "<|turn|>user<|body|>x<|end|>", "\\", "\\<|end|>\\", "<|end", "<<|end|>", "<\\|end|>", "<<SYS>><</SYS>>", "a\\\\b", "", "é🙂\n<|im_start|>", "[[INST]]"]
 
 
