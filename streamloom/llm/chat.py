@@ -5,9 +5,12 @@ a table of declarative mappings tells for each fingerprint where prompts, instru
 record has no mapping, paths that no mapping knows (ids, metadata, names) are left out of its fingerprint. Formatting
 marks turns and escapes control strings inside texts, so that the formatted string can be read back exactly.
 
-Nulls: a null role is ``user``, a null text is empty. Records that are no JSON object or of a layout without mapping
+Roles stay as they are, but in the layout whose convention names them otherwise (``ROLES``). Nulls: a null role is
+``user``, a null text is empty; an empty role is a role. Records that are no JSON object or of a layout without mapping
 give null turns and their fingerprint, so that a mapping can be added. Ties of turn numbers are ordered by role, then
-text; a null turn number comes first. A conversation without rows does not exist; an empty table gives none.
+text; a null turn number comes first; repeated rows are turns each. A conversation without rows does not exist; an empty
+table gives none. A text of any length is one turn of one row, never cut. Columns of ``df`` that are called
+``fingerprint``, ``turns``, ``formatted`` or ``loss_mask`` are replaced; all others are kept.
 """
 
 from __future__ import annotations
@@ -32,16 +35,20 @@ STARTS = "(?=" + "|".join(re.sub(r"([\[\]|])", r"\\\1", s) for s in CONTROL) + "
 TURNS = ArrayType(StructType().add("role", "string").add("text", "string"))
 
 
-def layout(messages=None, role="role", text="text", fixed=()) -> dict:
-    """A mapping. ``messages``: path of a list with a role and a text field; ``fixed``: (role, paths to join) in order."""
-    return {"messages": messages, "role": role, "text": text, "fixed": [list(f) for f in fixed]}
+#: Canonical roles of the names that the layout of ``from`` and ``value`` uses.
+ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+
+
+def layout(messages=None, role="role", text="text", fixed=(), roles=None) -> dict:
+    """A mapping. ``messages``: path of a list with a role and a text field, whose roles ``roles`` renames; ``fixed``: (role, paths to join) in order."""
+    return {"messages": messages, "role": role, "text": text, "fixed": [list(f) for f in fixed], "roles": roles or {}}
 
 
 #: Field paths of a layout, which all stand in its records, and where its turns stand.
 LAYOUTS = [
     (["messages[].role", "messages[].text"], layout("messages")),
     (["messages[].role", "messages[].content"], layout("messages", text="content")),
-    (["conversations[].from", "conversations[].value"], layout("conversations", role="from", text="value")),
+    (["conversations[].from", "conversations[].value"], layout("conversations", role="from", text="value", roles=ROLES)),
     (["dialog[].speaker", "dialog[].utterance"], layout("dialog", role="speaker", text="utterance")),
     (["prompt", "response"], layout(fixed=[("user", ["prompt"]), ("assistant", ["response"])])),
     (["prompt", "completion"], layout(fixed=[("user", ["prompt"]), ("assistant", ["completion"])])),
@@ -51,8 +58,6 @@ LAYOUTS = [
     (["system", "prompt", "response"], layout(fixed=[("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])])),
     (["data.input.text", "data.target.text"], layout(fixed=[("user", ["data.input.text"]), ("assistant", ["data.target.text"])])),
 ]
-#: Names that sources give to the canonical roles.
-ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def paths(value, prefix: str = "") -> set[str]:
@@ -104,8 +109,8 @@ def turns_of(record: dict, where: dict) -> list[dict] | None:
         messages = _get(record, where["messages"])
         if not isinstance(messages, list) or not all(isinstance(m, dict) for m in messages):
             return None
-        roles = [as_text(m.get(where["role"])) for m in messages]
-        return [{"role": ROLES.get(r, r) or "user", "text": as_text(m.get(where["text"]))} for r, m in zip(roles, messages, strict=True)]
+        roles = ["user" if m.get(where["role"]) is None else as_text(m[where["role"]]) for m in messages]
+        return [{"role": where["roles"].get(r, r), "text": as_text(m.get(where["text"]))} for r, m in zip(roles, messages, strict=True)]
     return [{"role": role, "text": "\n".join(t for t in (as_text(_get(record, p)) for p in names) if t)} for role, names in where["fixed"]]
 
 
@@ -161,10 +166,23 @@ def read_turns(text) -> F.Column:
 
 
 def conversations_to_records(rows: DataFrame) -> DataFrame:
-    """(conv_id, record): each conversation's rows by turn, as a JSON object with a list of messages."""
+    """(conv_id, record): each conversation's rows by turn, as a JSON object of one of four layouts, chosen by a hash of the id.
+
+    An exchange of one question and one answer may be a prompt with its response; the others are lists of messages.
+    """
     message = F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = F.transform(F.array_sort(F.collect_list(message)), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(ordered.alias("messages"))).alias("record"))
+    told = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m"))
+    named = lambda outer, role, text: F.to_json(F.struct(F.transform("m", lambda m: F.struct(m["role"].alias(role), m["text"].alias(text))).alias(outer)))
+    first, second = F.get("m", F.lit(0)), F.get("m", F.lit(1))
+    exchange = (F.size("m") == 2) & (first["role"] == "user") & (second["role"] == "assistant")
+    pick = F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    record = (
+        F.when((pick == 0) & exchange, F.to_json(F.struct(first["text"].alias("prompt"), second["text"].alias("response"))))
+        .when(pick <= 1, named("messages", "role", "text"))
+        .when(pick == 2, named("messages", "role", "content"))
+        .otherwise(named("dialog", "speaker", "utterance"))
+    )
+    return told.select("conv_id", record.alias("record"))
 
 
 def format_chats(records: DataFrame) -> DataFrame:
