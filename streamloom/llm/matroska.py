@@ -7,7 +7,9 @@ nanoseconds: the block's timestamp times TimestampScale and, for frame k of a la
 (the block's time where a track has none). ``mux`` writes 8-bit PCM into laced blocks with cues.
 
 Nulls: a null text is an empty payload before padding; a null media value gives no packets. Broken files give the
-packets read so far and an error text. Long payloads are written cluster by cluster. Equal input, equal bytes.
+packets read so far and an error text; a master element that passes the end of a file is read as far as it goes. Long
+payloads are written cluster by cluster, each in memory once more. Equal input, equal bytes; repeated rows and ids of any
+type are kept, each row on its own, so nothing can tie. An empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -176,10 +178,11 @@ class Parsed:
         self.tracks: dict[int, dict] = {}
         self.durations: dict[int, int] = {}
         self.scale, self.clusters, self.error = 1_000_000, 0, None
+        self.cluster_at: list[int] = []
         try:
             self._read(data)
         except (Broken, IndexError) as e:
-            self.error = str(e)
+            self.error = self.error or str(e)
         self.packets = [Packet(*p[:-1], p.timestamp * self.scale + p.time * self.durations.get(p.track, 0)) for p in self.packets]
 
     def _read(self, data: bytes) -> None:
@@ -206,13 +209,16 @@ class Parsed:
                 close(stack.pop()[0])  # an element of unknown size ends where one of its parent's begins
             end = None if size is None else body + size
             if end is not None and end > len(data):
-                raise Broken(f"element {eid:X} at {at} passes the end")
+                if eid not in MASTERS:
+                    raise Broken(f"element {eid:X} at {at} passes the end")
+                self.error, end = self.error or f"element {eid:X} at {at} passes the end", len(data)
             if eid in MASTERS:
                 stack.append((eid, end))
                 if eid == SEGMENT:
                     segment = body
                 elif eid == CLUSTER_ID:
                     self.clusters, base = self.clusters + 1, 0
+                    self.cluster_at.append(at)
                 elif eid == TRACK_ENTRY:
                     entry, duration = {}, 0
                 elif eid == BLOCK_GROUP:
@@ -280,25 +286,30 @@ PACKET_DDL = "track int, timestamp long, offset long, size long, keyframe boolea
 
 
 def packets(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """The packet table: (id, packet_no, track, timestamp, offset, size, keyframe, lacing, cluster, time, cued); times beyond 64 bits are null."""
+    """The packet table: (id, packet_no, track, timestamp, offset, size, keyframe, lacing, cluster, time, cued).
+
+    ``cued``: the first packet that a cue leads to, by track, time and the place of its cluster. Times beyond 64 bits are null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media"):
             out: list[tuple] = []
-            for key, data in zip(column(b, "id").to_pylist(), column(b, "media").to_pylist(), strict=True):
+            for row, data in enumerate(column(b, "media").to_pylist()):
                 parsed = Parsed(data or b"")
-                cued, before = {(t, k) for t, k, _ in parsed.cues}, -1
+                open_cues = set(parsed.cues)
                 for k, p in enumerate(parsed.packets):
                     time = p.time if -(1 << 63) <= p.time < 1 << 63 else None
-                    out.append((key, k, *p[:-1], time, p.cluster != before and (p.timestamp, p.track) in cued))
-                    before = p.cluster
+                    cue = (p.timestamp, p.track, parsed.cluster_at[p.cluster] if p.cluster >= 0 else -1)
+                    out.append((row, k, *p[:-1], time, cue in open_cues))
+                    open_cues.discard(cue)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                rows_of, *rest = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([column(b, "id").take(pa.array(rows_of)), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))], names)
 
     rows = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
     names = ["id", "packet_no", *(c.split()[0] for c in PACKET_DDL.split(", ")), "cued"]
     id_type = rows.schema["id"].dataType.simpleString()
-    types = [{"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string()), pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.bool_()]
+    types = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.bool_()]
     return map_arrow(rows, run, f"id {id_type}, packet_no long, {PACKET_DDL}, cued boolean")
 
 
