@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import os
@@ -27,20 +28,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only in one process without it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "streamloom-scratch")
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _leave(spark: SparkSession, root: str) -> None:
+    """At the end of the process, if its session still runs; a session stopped before leaves its tables to the folder's owner."""
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, root)
+
+
 class Scratch:
-    """Intermediate tables as Parquet in the shared folder: lineage ends there, so a lost executor costs one stage."""
+    """Intermediate tables as Parquet in the shared folder: lineage ends there, so a lost executor costs one stage.
+
+    Results read some of these tables, so they stay until the process ends; ``drop`` and ``keep`` remove what nothing reads.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.paths = 0, set()
+        atexit.register(_leave, spark, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -48,13 +65,29 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.add(path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Removes a saved table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *dfs: DataFrame) -> None:
+        """Removes saved tables that nothing reads any more."""
+        for df in dfs:
+            self.paths.discard(df._scratch_path)
+            _delete(self.spark, df._scratch_path)
+
+    def keep(self, *dfs: DataFrame) -> None:
+        """Removes all saved tables but these."""
+        for path in self.paths - {df._scratch_path for df in dfs}:
+            self.paths.discard(path)
+            _delete(self.spark, path)
+
+
+def apart(key) -> F.Column:
+    """The same number as an expression that the planner does not see through.
+
+    A join on it shuffles both sides itself, instead of building on the shuffle of an aggregate below, so that adaptive
+    execution may split a key with very many rows over tasks.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -87,7 +120,11 @@ def release_memory() -> None:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches bounded in rows and bytes and workers that hand back memory after each task."""
+    """``df.mapInArrow`` with batches bounded in rows and bytes and workers that hand back memory after each task.
+
+    Spark reads these bounds from the session when the plan runs, so they are lowered there, for other plans too; lower
+    bounds that are set already stay.
+    """
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = re.fullmatch("[0-9]+", str(conf.get(key, None)).strip())

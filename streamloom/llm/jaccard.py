@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import Scratch, byte_spans, column, free_name, map_arrow, slices, table
+from streamloom.llm.common import Scratch, apart, byte_spans, column, free_name, map_arrow, slices, table
 from streamloom.llm.graph import components
 from streamloom.llm.words import U, mix, shingles
 
 #: Documents of a search block and of a side of a comparison block, about.
 STAR, SIDE = 256, 1024
+#: Bytes of sets that are searched at a time (one set may be larger).
+STAR_BYTES = 32 << 20
 #: Bits of the largest bitmap of document ids that is broadcast (32 MB).
 MOST_BITS = 1 << 28
 #: Weight of a heap step against a probe in the choice of long lists.
@@ -217,6 +219,11 @@ def _settled(found: DataFrame) -> DataFrame:
     return found.filter("NOT cut").select(F.col("hub").alias("a"), F.col("doc").alias("b")).unionByName(across).filter("a <> b").distinct()
 
 
+def _of_set(df: DataFrame, name: str, node_of: DataFrame, out: str) -> DataFrame:
+    """Adds df[name]'s node: ``node_of`` holds those that are not their own."""
+    return df.join(node_of.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")), df[name] == F.col("_id"), "left").withColumn(out, F.coalesce("_node", name)).drop("_id", "_node")
+
+
 def _with_node(df: DataFrame, name: str, nodes: DataFrame, **columns: str) -> DataFrame:
     """Joins ``nodes`` on df[name]; ``columns``: new name -> column of nodes."""
     right = nodes.select(F.col(nodes.columns[0]).alias("_node"), *(F.col(c).alias(new) for new, c in columns.items()))
@@ -329,7 +336,7 @@ def _sets(ids: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that link, by a search of each hub's set among those of its partners."""
-    hubs = pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks"))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks")).select(apart("a").alias("hub"), "blocks")
     member = pairs.join(hubs, F.col("a") == F.col("hub")).select(F.col("b").alias("doc"), "hub", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.lit(True).alias("member"))
     head = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("hub").alias("doc"), "hub", "block", F.lit(False).alias("member"))
     asked = member.unionByName(head)
@@ -337,7 +344,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     names = ["hub", "block", "member", "doc_id", "elements"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, heads, members, ids = None, [], [], []
+        now, heads, members, ids, held = None, [], [], [], 0
 
         def done() -> pa.RecordBatch:
             hits = sorted({j for q in heads for j in t_occurrence(q, members, rule)}) if members else []
@@ -348,10 +355,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 if (hub, block) != now:
                     if now:
                         yield done()
-                    now, heads, members, ids = (hub, block), [], [], []
-                (members if is_member else heads).append(np.frombuffer(raw, U))
+                    now, heads, members, ids, held = (hub, block), [], [], [], 0
+                elif held >= STAR_BYTES:
+                    yield done()
+                    members, ids, held = [], [], 0
+                (members if is_member else heads).append(np.frombuffer(raw, U))  # heads come first
                 if is_member:
                     ids.append(doc)
+                    held += len(raw)
         if now:
             yield done()
 
@@ -367,7 +378,7 @@ def _rest_pairs(pairs: DataFrame, roots: DataFrame, info: DataFrame, rule: Rule)
     """Pairs of different components, around hubs with several of them, that the bitmaps don't exclude."""
     root = lambda df, name: df.join(roots.select(F.col("node").alias(f"{name}_node"), F.col("root").alias(f"{name}_root")), F.col(name) == F.col(f"{name}_node"), "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name)).drop(f"{name}_node")
     known = root(root(pairs.select("a", "b"), "a"), "b")
-    hubs = known.groupBy(F.col("a").alias("hub")).agg(F.max(F.col("a_root") != F.col("b_root")).alias("open"), F.ceil((F.count("*") + 1) / SIDE).cast("int").alias("sides"), F.count("*").alias("n_pairs")).filter("open AND n_pairs > 1").select("hub", "sides")
+    hubs = known.groupBy("a").agg(F.max(F.col("a_root") != F.col("b_root")).alias("open"), F.ceil((F.count("*") + 1) / SIDE).cast("int").alias("sides"), F.count("*").alias("n_pairs")).filter("open AND n_pairs > 1").select(apart("a").alias("hub"), "sides")
     member = known.join(hubs, F.col("a") == F.col("hub")).select("hub", "sides", F.col("b").alias("doc"), F.col("b_root").alias("root"))
     head = root(hubs.select("hub", "sides", F.col("hub").alias("doc")), "doc").select("hub", "sides", "doc", F.col("doc_root").alias("root"))
     all_of = _with_node(member.unionByName(head), "doc", info, n="n", bits="bits")
@@ -413,16 +424,17 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     docs = docs.select("doc_id", "text")
     sketch = scratch.save(_sketches(docs, rule))
     sets = sketch.filter("n > 0 AND doc_id IS NOT NULL")
-    same = sets.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("node"))
-    # Every row's node: the smallest id with the same set.
-    named = sketch.select("doc_id", "n", "fp1", "fp2").join(same.select(F.col("n").alias("n2"), F.col("fp1").alias("x1"), F.col("fp2").alias("x2"), "node"), (F.col("n") == F.col("n2")) & (F.col("fp1") == F.col("x1")) & (F.col("fp2") == F.col("x2")), "left")
-    named = scratch.save(named.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")))
-    node_of = named.filter("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("node"))
+    # The smallest id of each set that several rows have is their node; any other row is its own.
+    same = sets.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+    same = same.select(F.col("n").alias("n2"), apart("fp1").alias("x1"), F.col("fp2").alias("x2"), "least")
+    named = sketch.select("doc_id", "n", "fp1", "fp2").join(same, (F.col("n") == F.col("n2")) & (F.col("fp1") == F.col("x1")) & (F.col("fp2") == F.col("x2")), "left")
+    named = scratch.save(named.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("node")))
+    node_of = scratch.save(named.filter("node <> doc_id").groupBy("doc_id").agg(F.min("node").alias("node")))
     found = scratch.save(_hub_pairs(sets.select(F.explode("keys").alias("key"), "doc_id")))
-    pairs = _with_node(_with_node(_settled(found), "a", node_of, node_a="node"), "b", node_of, node_b="node")
+    pairs = _of_set(_of_set(_settled(found), "a", node_of, "node_a"), "b", node_of, "node_b")
     pairs = scratch.save(pairs.filter("node_a <> node_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     scratch.drop(found)
-    info = scratch.save(sets.select("doc_id", "n", "bits").join(node_of.filter("doc_id = node").select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]))
+    info = scratch.save(sets.select("doc_id", "n", "bits").join(node_of.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"]))
     scratch.drop(sketch)
     likely = scratch.save(_by_bitmap(pairs, info, rule))
     # One id may stand for several sets, and equal sets for several ids: they link without a search.
@@ -433,15 +445,21 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     more = scratch.save(_rest_pairs(pairs, roots, info, rule).join(likely, ["a", "b"], "left_anti"))
     links = links.unionByName(_verified(more, scratch.save(_sets(_ends(more, scratch), docs, rule)), rule)).unionByName(alike)
     roots = components(links, scratch)
+    scratch.keep(named, roots)
     out = named.join(roots.select("node", "root").withColumnRenamed("node", "of"), F.col("doc_id") == F.col("of"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """The rows of each class's smallest id, one of them if the id repeats, with the same columns; rows without id stay."""
+    """The rows of each class's smallest id, with the same columns; rows without id stay.
+
+    If the id repeats, the row whose columns have the smallest hash is kept: any order of the rows gives the same.
+    """
     name = free_name(docs, "kept_id")
     kept = classes(docs, rule).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    first = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col(name)).drop(name)
+    rows = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(name))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = rows.groupBy(name).agg(F.min_by(whole, F.xxhash64(whole)).alias("_row")).select("_row.*")
     return first.unionByName(docs.filter("doc_id IS NULL"))
 
 

@@ -1,23 +1,24 @@
 """Vectorised word hashes: words are runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z.
 
-A word's hash is a sum of random 64-bit values of its bytes times powers of an odd base, mixed at the end: prefix sums
-over a whole batch give the hash of every word at once. 64-bit hashes stand for words and shingles throughout.
+A word's hash takes its bytes eight at a time, as little-endian numbers, through a mixer that is one-to-one, and its length
+at the end: all words of a batch go through a step at once. Words of up to eight bytes and equal length never share a hash;
+long words are hashed one by one by XXH3. 64-bit hashes stand for words and shingles throughout.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
-_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-_VALUES[65:91] = _VALUES[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] = LOWER[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Bytes hashed at a time; a longer single word is hashed whole.
-PIECE = 4 << 20
-_powers: list[np.ndarray] = []
+#: The lowest 0 to 8 bytes of a number.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Words of more bytes than this are hashed one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,25 +29,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            row = np.full(size, base, U)
-            row[0] = 1
-            with np.errstate(over="ignore"):
-                np.multiply.accumulate(row, out=row)
-            _powers[k:k] = [row]
-        del _powers[2:]
-        _powers.sort(key=lambda r: int(r[1]) != int(_BASE))
-    return _powers
-
-
-def _hash_piece(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    power, inverse = _power_tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, U)
-    np.cumsum(_VALUES[raw] * power[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    low = np.concatenate([LOWER[raw], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", low, strides=(1,))  # the eight bytes from each place on
+    length = ends - starts
+    out = mix(eight[starts] & KEEP[np.minimum(length, 8)])
+    some = np.flatnonzero((length > 8) & (length <= LONG))
+    at = 8
+    while len(some):
+        out[some] = mix(out[some] ^ (eight[starts[some] + at] & KEEP[np.minimum(length[some] - at, 8)]))
+        at += 8
+        some = some[length[some] > at]
+    for k in np.flatnonzero(length > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(low[starts[k] : ends[k]].data)
+    return mix(out ^ length.astype(U))
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,13 +60,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     finish[inner - 1] |= word[inner - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finish) + 1
     rows = np.searchsorted(offsets, starts, "right") - 1
-    out, at = [], 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
-        a, b = int(starts[at]), int(ends[stop - 1])
-        out.append(_hash_piece(raw[a:b], starts[at:stop] - a, ends[at:stop] - a))
-        at = stop
-    return np.concatenate(out) if out else np.zeros(0, U), rows
+    return _hashes(raw, starts, ends), rows
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
