@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.operators.box_fields import FIXED, Malformed, Mask, Reader, Table, describe, render
+from streamloom.operators.box_fields import FIXED, VARIABLE, Malformed, Mask, Reader, Table, describe, render
 from streamloom.operators.drm import BadHeader
 
 #: FourCC -> name of boxes that only hold boxes.
@@ -84,7 +84,10 @@ def walk(data: bytes) -> Iterator[Box]:
 
 
 def box_name(fourcc: str) -> str | None:
-    return CONTAINERS.get(fourcc) or VISUAL.get(fourcc) or AUDIO.get(fourcc)
+    if fourcc == "mdat":
+        return "MediaDataBox"
+    leaf = FIXED.get(fourcc) or VARIABLE.get(fourcc)
+    return CONTAINERS.get(fourcc) or VISUAL.get(fourcc) or AUDIO.get(fourcc) or (leaf[0] if leaf else None)
 
 
 def properties(data: bytes, box: Box) -> tuple[str, list]:
