@@ -68,8 +68,10 @@ def is_mp4(content: pd.Series) -> pd.Series:
 
 def segment_type(content_type, url, content) -> Column:
     """WebVtt, Mp4, Image or Unknown."""
-    by_data = F.when(is_webvtt(content), "WebVtt").when(is_mp4_probe(_col(content)), "Mp4")
-    return F.coalesce(by_content_type(content_type), by_url(url), by_data, F.lit("Unknown"))
+    told = F.coalesce(by_content_type(content_type), by_url(url), F.when(is_webvtt(content), "WebVtt"))
+    # A body goes to Python only where nothing else tells; a NULL is no body.
+    probed = is_mp4_probe(F.when(told.isNull(), _col(content)))
+    return F.coalesce(told, F.when(probed, "Mp4"), F.lit("Unknown"))
 
 
 def fetch_error(status, status_text, content_type, body) -> Column:
@@ -82,5 +84,12 @@ def fetch_error(status, status_text, content_type, body) -> Column:
     return F.when(~status.between(200, 299), bad)
 
 
+def fetch_failure(kind, name, message) -> Column:
+    """(error, extra_info) of a request without an answer: type and DOM errors show as ``name: message``, others as they are."""
+    known = _col(kind).isin("TypeError", "DOMException")
+    shown = F.concat_ws(": ", _col(name), F.nullif(_col(message), F.lit("")))
+    return F.when(_col(kind).isNotNull(), F.struct(F.when(known, shown).otherwise(F.concat(F.lit("Fetch failed: "), F.coalesce(_col(message), F.lit("")))).alias("error"), F.lit(None).cast("string").alias("extra_info")))
+
+
 def data_uri(content_type, content) -> Column:
     return F.concat(F.lit("data:"), _col(content_type), F.lit(";base64,"), F.regexp_replace(F.base64(_col(content)), r"[\r\n]", ""))

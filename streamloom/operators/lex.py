@@ -6,7 +6,7 @@ the header gives one row with ``error`` set.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEADER_ERROR = "Error: playlist identifier (#EXTM3U) not present"
@@ -49,12 +49,22 @@ def length_and_offset(text: Column) -> tuple[Column, Column]:
     return byte_count(F.get(parts, F.lit(0))), byte_count(F.get(parts, F.lit(1)))
 
 
+def whole_lines(body: Column) -> Column:
+    """The lines up to the first that cannot be read: one with a carriage return that no line feed follows."""
+    readable = F.split(F.get(F.split(body, "\r(?!\n)", 2), F.lit(0)), "\r?\n")
+    return F.when(body.rlike("\r(?!\n)"), F.slice(readable, F.lit(1), F.size(readable) - 1)).otherwise(F.split(body, "\r?\n"))
+
+
 def lines(playlists: DataFrame) -> DataFrame:
-    """One row per line: line_no, raw, kind (tag, comment, blank, uri), tag_name (without ``#EXT``), value, error."""
-    split = playlists.filter(F.col("body") != "").select("*", F.posexplode(F.split("body", "\r?\n")).alias("line_no", "raw")).drop("body")
-    bad = split.withColumn("_headed", F.first("raw").over(Window.partitionBy("playlist_url").orderBy("line_no")).rlike("^#EXTM3U$"))
+    """One row per line: line_no, raw, kind (tag, comment, blank, uri), tag_name (without ``#EXT``), value, error.
+
+    A line that cannot be read ends the playlist silently; the lines before it are kept.
+    """
+    rows = playlists.filter(F.col("body") != "").withColumn("_lines", whole_lines(F.col("body"))).withColumn("_headed", F.coalesce(F.get("_lines", F.lit(0)) == "#EXTM3U", F.lit(False)))
+    first = F.array(F.get(F.split("body", "\r?\n", 2), F.lit(0)))
+    rows = rows.select("*", F.posexplode(F.when(F.col("_headed"), F.col("_lines")).otherwise(first)).alias("line_no", "raw"))
+    rows = rows.withColumn("error", F.when(~F.col("_headed"), HEADER_ERROR)).drop("body", "_lines", "_headed")
     kind = F.when(F.col("raw") == "", "blank").when(F.col("raw").startswith("#EXT"), "tag").when(F.col("raw").startswith("#"), "comment").otherwise("uri")
-    rows = bad.filter(F.col("_headed") | (F.col("line_no") == 0)).withColumn("error", F.when(~F.col("_headed"), HEADER_ERROR)).drop("_headed")
     is_tag = F.col("kind") == "tag"
     return rows.withColumn("kind", kind).withColumns({
         "tag_name": F.when(is_tag, F.regexp_extract("raw", "^#EXT([^:]*)", 1)),

@@ -101,3 +101,19 @@ def highlighted(links: DataFrame, context_type: str, media_sequence: int | None
         before = Window.partitionBy("playlist_url").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn("is_highlighted", F.col("is_highlighted") & ~F.coalesce(F.max("is_highlighted").over(before), F.lit(False)))
     return out
+
+
+def with_highlights(links: DataFrame, context: str = "context_asked") -> DataFrame:
+    """Adds ``is_highlighted`` for the decoded context in a column of each row; rows without one have none."""
+    c, kind, name = F.col(context), F.col("link_type"), F.col("attribute")
+    same = F.col("media_sequence") == c["media_sequence"]
+    of_range = F.col("daterange_id") == c["daterange_id"]
+    match = (
+        F.when(c["context_type"] == "SEGMENT", name.isNull() & same)
+        .when(c["context_type"] == "MAP", (kind == "MAP") & (F.col("media_sequence") >= c["media_sequence"]) & (F.col("resolved") == c["url"]))
+        .when(c["context_type"] == "PART", (kind == "PART") & same & (F.col("part_index") == c["part_index"]))
+        .when(c["context_type"] == "SCTE35", of_range & (name == F.concat(F.lit("SCTE35-"), c["command_type"])))
+        .when(c["context_type"] == "ASSET_LIST", of_range & (name == "X-ASSET-LIST"))
+        .when(c["context_type"] == "DATERANGE_SCHEDULE", of_range & (name == "X-URI"))
+    )
+    return links.withColumn("is_highlighted", F.coalesce(match, F.lit(False)))

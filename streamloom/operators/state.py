@@ -93,10 +93,12 @@ def definitions(rows: DataFrame) -> DataFrame:
     value = lex.first_quoted(F.col("_d"), "VALUE")
     rows = rows.withColumn("_def", F.when(name.isNotNull(), F.struct(name.alias("name"), F.coalesce(value, F.lit("")).alias("value"))).when(imported.isNotNull(), F.struct(imported.alias("name"), look("imported_definitions", imported).alias("value"))).when(param.isNotNull(), F.struct(param.alias("name"), look("viewer_query", param).alias("value"))))
     rows = rows.withColumn("define_error", F.when(F.col("_def").isNotNull() & F.col("_def.value").isNull(), F.concat(F.lit("no value for "), F.col("_def.name"))))
-    valid = F.when(F.col("_def.value").isNotNull(), F.struct("line_no", F.col("_def.name").alias("name"), F.col("_def.value").alias("value")))
-    every = F.collect_list(valid).over(Window.partitionBy("playlist_url"))
-    rows = rows.withColumn("_all", F.array_sort(every))
-    seen = F.filter("_all", lambda d: d["line_no"] < F.col("line_no"))
-    names = F.array_distinct(F.transform(seen, lambda d: d["name"]))
-    folded = F.transform(names, lambda n: F.struct(n.alias("name"), F.element_at(F.filter(seen, lambda d: d["name"] == n), -1)["value"].alias("value")))
-    return rows.withColumn("definitions", F.when(F.size("_all") == 0, F.array().cast("array<struct<name:string,value:string>>")).otherwise(folded)).drop("_d", "_def", "_all")
+    # Only lines that define fold what was defined so far; every line then takes the last fold before it.
+    valid = F.when(F.col("_def.value").isNotNull(), F.struct(F.col("_def.name").alias("name"), F.col("_def.value").alias("value")))
+    rows = rows.withColumns({"_valid": valid, "_defines": F.col("_d").isNotNull()})
+    rows = rows.withColumn("_seen", F.when(F.col("_defines"), F.collect_list("_valid").over(_upto("_defines"))))
+    names = F.array_distinct(F.transform("_seen", lambda d: d["name"]))
+    folded = F.transform(names, lambda n: F.struct(n.alias("name"), F.element_at(F.filter("_seen", lambda d: d["name"] == n), -1)["value"].alias("value")))
+    rows = rows.withColumn("_now", F.when(F.col("_defines"), folded))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    return rows.withColumn("definitions", F.coalesce(F.last("_now", ignorenulls=True).over(_before()), none)).drop("_d", "_def", "_valid", "_defines", "_seen", "_now")

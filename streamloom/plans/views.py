@@ -9,6 +9,7 @@ from streamloom.functions import codec
 from streamloom.operators import boxes, classify, jsonviews, lex, links, scte35, state
 
 UNSUPPORTED = "Error: unsupported segment type"
+BAD_CONTEXT = "Error: unable to parse query parameter for supplemental view"
 UNSUPPORTED_DETAIL = "Currently only WebVTT and Fragmented MPEG-4 segments are supported"
 
 
@@ -21,6 +22,46 @@ def links_of(playlists: DataFrame) -> DataFrame:
     return links.link_rows(playlists)
 
 
+def rendered(playlists: DataFrame, context: str | None = None) -> DataFrame:
+    """(playlist_url, line_no, kind, runs): each line as it is shown, with links and, for a decoded context, highlights.
+
+    ``runs`` are (kind, text, href, highlighted). Texts stay as written; a tag whose attributes are not read is one run.
+    """
+    found = links.link_rows(playlists)
+    found = links.with_highlights(found, context) if context else found.withColumn("is_highlighted", F.lit(False))
+    link = F.struct("href", F.col("is_highlighted").alias("highlighted"))
+    per_line = found.groupBy(F.col("playlist_url").alias("_url"), F.col("line_no").alias("_line")).agg(F.map_from_entries(F.collect_list(F.struct("ordinal", link))).alias("_links"))
+    shown = lex.with_attributes(lex.lines(playlists), *links.PLAYLIST_TAGS, state.MAP, state.PART, links.DATERANGE)
+    shown = shown.join(per_line, (F.col("playlist_url") == F.col("_url")) & (F.col("line_no") == F.col("_line")), "left")
+    of_attrs = F.transform("attrs", lambda a, i: F.try_element_at("_links", i))
+    of_uri = F.try_element_at("_links", F.lit(0))
+    run = lambda kind, href, lit: F.array(F.struct(F.lit(kind).alias("kind"), F.col("raw").alias("text"), href.alias("href"), lit.alias("highlighted")))
+    plain = run("string", F.lit(None).cast("string"), F.lit(None).cast("boolean"))
+    linked = run("link", of_uri["href"], of_uri["highlighted"])
+    runs = F.when(F.col("attrs").isNotNull(), lex.markup(F.col("raw"), F.col("tag_name"), F.col("attrs"), of_attrs)).when((F.col("kind") == "uri") & of_uri.isNotNull(), linked).otherwise(plain)
+    return shown.select("playlist_url", "line_no", "kind", runs.alias("runs"))
+
+
+def dispatch(rows: DataFrame) -> DataFrame:
+    """What each request shows, from its ``fetch_error`` (error, extra_info) and decoded ``context`` (NULL if none is asked for).
+
+    Adds view (FAILED, PLAYLIST, BAD_CONTEXT or the context's type), shows_playlist, target (the address to fetch for the view),
+    range_header, error and detail. No row is dropped.
+    """
+    failed, context = F.col("fetch_error").isNotNull(), F.col("context")
+    view = F.when(failed, "FAILED").when(context.isNull(), "PLAYLIST").when(context["error"].isNotNull(), "BAD_CONTEXT").otherwise(context["context_type"])
+    texts = F.create_map(*(F.lit(x) for pair in codec.CONTEXT_ERRORS.items() for x in pair))
+    rows = rows.withColumn("view", view)
+    bad, ranged = F.col("view") == "BAD_CONTEXT", F.col("view").isin("SEGMENT", "MAP", "PART") & context["range_start"].isNotNull()
+    return rows.withColumns({
+        "shows_playlist": ~failed,
+        "target": F.when(~failed & ~bad, context["url"]),
+        "range_header": F.when(ranged, codec.range_header(context["range_start"], context["range_end"])),
+        "error": F.when(failed, F.col("fetch_error.error")).when(bad, BAD_CONTEXT),
+        "detail": F.when(failed, F.col("fetch_error.extra_info")).when(bad, F.try_element_at(texts, context["error"])),
+    })
+
+
 def segments(playlists: DataFrame) -> DataFrame:
     """(playlist_url, ordinal, uri, media_sequence, range_start, range_end) of every uri line."""
     from pyspark.sql import Window

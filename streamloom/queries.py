@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streamloom import box_queries, view_queries  # noqa: F401 - they register their queries
 from streamloom.functions import codec, urls
 from streamloom.operators import boxes, classify, drm, lex, links, scte35
 from streamloom.plans import synth, views
 from streamloom.plans.synth import be, box, raw, table
+from streamloom.registry import ORACLES, QUERIES, query
 from streamloom.sources import readers
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 # --- playlists
 
 _SEGMENTS_SQL = """

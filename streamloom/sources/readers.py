@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import http.client
+import urllib.error
+import urllib.request
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from streamloom.functions import codec, urls
 from streamloom.operators import classify
@@ -42,11 +49,70 @@ def read_media(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def byte_range(media: DataFrame, start_col: str = "range_start", end_col: str = "range_end") -> DataFrame:
-    """The asked part of each content: both ends count; without a range all of it."""
-    part = F.substr("content", (F.col(start_col) + 1).cast("int"), (F.col(end_col) - F.col(start_col) + 1).cast("int"))
+    """The asked part of each content: both ends count; without a range all of it. What lies beyond the content is empty."""
+    size = F.length("content").cast("bigint")
+    start, end = F.least(F.col(start_col), size), F.least(F.col(end_col) + 1, size)
+    part = F.substr("content", (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
     return media.withColumn("content", F.when(F.col(start_col).isNull() | F.col(end_col).isNull(), F.col("content")).otherwise(part))
 
 
+def fetch(rows: DataFrame, url_col: str = "url", start_col: str | None = None, end_col: str | None = None, timeout: float = 30.0) -> DataFrame:
+    """Adds status, status_text, content_type, final_url, content and fetch_error: one request a row, made where the row is.
+
+    An empty url is an empty answer without a request. Both ends of a range count; without both, all is asked for. An answer that
+    is no success, and a request without an answer, are errors in ``fetch_error`` (error, extra_info). Partition the rows as
+    widely as the servers can bear.
+    """
+    names = {"status": "int", "status_text": "string", "content_type": "string", "final_url": "string", "content": "binary", "failure": "struct<kind:string,name:string,message:string>"}
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.struct([(k, pa.string()) for k in ("kind", "name", "message")])]
+    span = [F.col(c).cast("bigint") if c else F.lit(None).cast("bigint") for c in (start_col, end_col)]
+    asked = rows.withColumns({"_asked": F.col(url_col), "_start": span[0], "_end": span[1]})
+    keep = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                one = b.slice(k, 1)
+                url, start, end = (one.column(len(keep) + c)[0].as_py() for c in range(3))
+                got = _request(url, start, end, timeout)
+                yield pa.RecordBatch.from_arrays([*one.columns[: len(keep)], *(pa.array([v], t) for v, t in zip(got, kinds, strict=True))], [*keep, *names])
+
+    schema = StructType(rows.schema.fields + [StructField(n, DataType.fromDDL(t)) for n, t in names.items()])
+    out = asked.mapInArrow(run, schema)
+    refused = classify.fetch_error("status", "status_text", "content_type", codec.lossy_utf8("content"))
+    failed = classify.fetch_failure("failure.kind", "failure.name", "failure.message")
+    return out.withColumn("fetch_error", F.coalesce(failed, refused)).drop("failure")
+
+
+def _request(url: str | None, start: int | None, end: int | None, timeout: float) -> tuple:
+    """(status, status text, content type, final url, content, failure)."""
+    if not url:
+        return 200, "", None, url, b"", None
+    headers = {"Range": f"bytes={start}-{end}"} if start is not None and end is not None else {}
+    try:
+        if not url.startswith(("http://", "https://")):
+            raise ValueError(f"no http address: {url}")
+        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as answer:  # noqa: S310
+            return answer.status, answer.reason, answer.headers.get("Content-Type"), answer.url, answer.read(), None
+    except urllib.error.HTTPError as e:
+        with e:
+            return e.code, e.reason, e.headers.get("Content-Type"), e.url, e.read(), None
+    except (OSError, ValueError, http.client.HTTPException) as e:
+        kind = "DOMException" if isinstance(e, TimeoutError) else "TypeError" if isinstance(e, OSError | ValueError) else "other"
+        return None, None, None, None, None, {"kind": kind, "name": "TimeoutError" if kind == "DOMException" else "TypeError", "message": str(getattr(e, "reason", e))}
+
+
+def is_playlist_address(value) -> Column:
+    """Whether a reader's input is an address that the form takes: http or https, and parsed as a url."""
+    value = codec._col(value)
+    return F.coalesce(value.rlike("^https?://.*$") & urls.resolve(value, F.lit("")).isNotNull(), F.lit(False))
+
+
+def submitted(value) -> Column:
+    """The viewer's address after the form is sent; NULL if the form does not take the input."""
+    return F.when(is_playlist_address(value), F.concat(F.lit("?playlist_url="), F.url_encode(codec._col(value))))
+
+
 def examples(spark: SparkSession) -> DataFrame:
     """The catalogue with each stream's link; the address stands in it as it is."""
     rows = spark.createDataFrame(EXAMPLES, "section string, description string, playlist_url string")
@@ -54,13 +120,14 @@ def examples(spark: SparkSession) -> DataFrame:
 
 
 def requests(rows: DataFrame, url_col: str = "url") -> DataFrame:
-    """What a viewer's address asks for: playlist_url and context decoded once, definitions as they stand."""
+    """What a viewer's address asks for: playlist_url and context decoded once (NULL without one), definitions as they stand."""
     rows = rows.withColumns({
         "playlist_url": codec.percent_decode(urls.query_value(url_col, "playlist_url")),
         "definitions_query": urls.query_value(url_col, "imported_definitions"),
         "_asked": codec.percent_decode(urls.query_value(url_col, "supplemental_view_context")),
     })
-    return codec.decode_contexts(rows, "_asked").drop("_asked")
+    rows = codec.decode_contexts(rows, "_asked")
+    return rows.withColumn("context", F.when(F.col("_asked").isNotNull(), F.col("context"))).drop("_asked")
 
 
 def with_fetch_errors(responses: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def read_snapshots(spark: SparkSession, path: str, files_per_trigger: int = 1000
 
 def snapshot_lines(snapshots: DataFrame) -> DataFrame:
     """Lines without state: row by row, so any output mode will do."""
-    split = snapshots.filter("body <> ''").select("snapshot", "seen_at", F.posexplode(F.split("body", "\r?\n")).alias("line_no", "raw"))
+    split = snapshots.filter("body <> ''").select("snapshot", "seen_at", F.posexplode(lex.whole_lines(F.col("body"))).alias("line_no", "raw"))
     kind = F.when(F.col("raw") == "", "blank").when(F.col("raw").startswith("#EXT"), "tag").when(F.col("raw").startswith("#"), "comment").otherwise("uri")
     return split.withColumn("kind", kind).withColumn("tag_name", F.when(F.col("kind") == "tag", F.regexp_extract("raw", "^#EXT([^:]*)", 1)))
 
