@@ -1,14 +1,16 @@
 """BPE encoding and decoding with forced boundaries.
 
 A byte pair that stands inside no vocabulary token can never be merged over. Each word is therefore cut at every such
-pair, the fragments are encoded on their own (and remembered), and their ids are concatenated. Short fragments keep the
-merge loop short and repeat far more often than words do.
+pair, the fragments are encoded on their own, and their ids are concatenated. A batch of texts is encoded at once: its
+distinct runs of non-space characters are looked up in a bounded store, the words of those not met before are cut into
+fragments, and all fragments are merged side by side in numpy, a merge of each a round.
 
 Supports the word-end kind of BPE file: normaliser, word pattern, byte alphabet, merges with an end-of-word suffix, no
 decoder. Special tokens standing in a text become their ids, as the file says.
 
-Nulls count as empty texts: no ids, empty decoded text. Very long words are cut first and merged with a heap, so time
-stays near linear. Repeated rows give repeated results; empty tables give empty tables; other columns are not read.
+Nulls count as empty texts: no ids, empty decoded text. Very long fragments are merged with a heap, so time stays near
+linear. Of merges of equal rank the leftmost comes first. Repeated rows give repeated results; empty tables give empty
+tables; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,12 @@ from streamloom.llm.common import column, map_arrow, slices, table
 
 #: A tokenizer file larger than this is refused rather than broadcast.
 MAX_FILE_BYTES = 64 << 20
-#: Words remembered by a Python worker (some 40 MB); then the store starts anew.
-CACHE_ENTRIES = 250_000
+#: Runs and words that a Python worker's stores remember in each of two generations (some 60 MB), and the longest of them.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+#: Fragments of more bytes than this are merged with a heap.
+LONG = 40
+#: The rank of pairs that do not merge.
+NEVER = np.int64(1 << 62)
 #: Texts of these characters need no library normaliser: they are composed already, and their classes never changed.
 SIMPLE = re.compile("[\\t\\n\\r\\x20-\\x7e\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u017e\\u2013\\u2014\\u2018-\\u201e\\u2026]*")
 #: The word pattern of the file, and the same over SIMPLE texts in terms of the standard library.
@@ -45,17 +51,38 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
 
 
-class _Memo(dict):
-    """A dictionary that works out what it lacks and never grows past a bound."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
+class Store:
+    """Ids by text in two generations: what is met goes to the young one; when that is full, the old one is forgotten."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def known(self, wanted: set[str]) -> dict[str, bytes]:
+        """What the store has of them."""
+        out = {}
+        for part in (self.old, self.young):
+            found = part.keys() & wanted
+            out.update(zip(found, map(part.__getitem__, found), strict=True))
+        return out
+
+    def take(self, wanted: set[str], make) -> dict[str, bytes]:
+        """Everything wanted, and what was made on the way; what the store lacks is made, long texts each time."""
+        if len(self.young) >= CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        texts = list(wanted)
+        found = list(map(self.young.get, texts))
+        out = dict(zip(texts, found, strict=True))
+        lacking = set(compress(texts, map(not_, found)))
+        again = self.old.keys() & lacking
+        back = dict(zip(again, map(self.old.__getitem__, again), strict=True))
+        out |= back
+        self.young |= back
+        if lacking := lacking.difference(again):
+            made = make(lacking)
+            out |= made
+            self.young |= made if max(map(len, made)) <= CACHE_CHARS else {t: ids for t, ids in made.items() if len(t) <= CACHE_CHARS}
+        return out
 
 
 class ForcedBoundaryBPE:
@@ -72,18 +99,22 @@ class ForcedBoundaryBPE:
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         #: left id * 2**32 + right id -> rank; rank -> merged id
         self.ranks = {self.vocab[a] << 32 | self.vocab[b]: rank for rank, (a, b) in enumerate(merges)}
-        self.merged = [self.vocab[a + b] for a, b in merges]
+        self.merged = np.array([self.vocab[a + b] for a, b in merges], np.int64)
+        pairs = np.array(list(self.ranks), np.int64)
+        by_pair = np.argsort(pairs)
+        self.pairs, self.rank_of_pair = pairs[by_pair], np.array(list(self.ranks.values()), np.int64)[by_pair]
         self.special = {t["content"]: t["id"] for t in raw["added_tokens"]}
         self.token_of = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
         self.alphabet = byte_alphabet()
         self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
-        self.inner = [self.vocab[c] for c in self.alphabet]
-        self.final = [self.vocab[c + self.suffix] for c in self.alphabet]
+        self.inner = np.array([self.vocab[c] for c in self.alphabet], np.int64)
+        self.final = np.array([self.vocab[c + self.suffix] for c in self.alphabet], np.int64)
         library = Tokenizer.from_str(spec)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.specials = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.joined = self._pairs_inside_tokens()
-        self.by_word = _Memo(self._word)
+        #: Ids as 32-bit numbers, one after the other, of runs and of words in them.
+        self.store = Store()
 
     def _pairs_inside_tokens(self) -> np.ndarray:
         """[a, b] is True where byte b follows byte a inside some vocabulary token; all other pairs are certain cuts."""
@@ -95,41 +126,80 @@ class ForcedBoundaryBPE:
                 joined[data[:-1], data[1:]] = True
         return joined
 
-    def fragments(self, data: bytes) -> list[bytes]:
-        if len(data) < 2:
-            return [data]
-        if len(data) < 48:
-            joined, cuts = self.joined, [0]
-            cuts += [i for i in range(1, len(data)) if not joined[data[i - 1], data[i]]]
-        else:
-            b = np.frombuffer(data, np.uint8)
-            cuts = [0, *(np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist()]
-        return [data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)]
-
-    def _word(self, word: str) -> bytes:
-        """The word's ids as 32-bit numbers, one after the other."""
-        *parts, last = self.fragments(word.encode())
-        out: list[int] = []
-        for part in parts:
-            out += self._fragment([self.inner[b] for b in part])
-        out += self._fragment([*(self.inner[b] for b in last[:-1]), self.final[last[-1]]])
-        return struct.pack(f"={len(out)}i", *out)
-
-    def _fragment(self, ids: list[int]) -> list[int]:
-        """Merges by lowest rank, leftmost first."""
-        if len(ids) > 40:
-            return self._merge_long(ids)
-        none, rank = 1 << 62, self.ranks.get
-        found = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while found and (least := min(found)) < none:
-            i = found.index(least)
-            ids[i : i + 2] = [self.merged[least]]
-            del found[i]
-            if i:
-                found[i - 1] = rank(ids[i - 1] << 32 | ids[i], none)
-            if i < len(found):
-                found[i] = rank(ids[i] << 32 | ids[i + 1], none)
-        return ids
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; NEVER for pairs that do not merge."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.rank_of_pair[at], NEVER)
+
+    def _words(self, wanted: set[str]) -> dict[str, bytes]:
+        """The ids of each word (none is empty)."""
+        words = list(wanted)
+        if not words:
+            return {}
+        encoded = [w.encode() for w in words]
+        ends = np.cumsum([len(w) for w in encoded])
+        raw = np.frombuffer(b"".join(encoded), np.uint8)
+        ids = self.inner[raw]
+        ids[ends - 1] = self.final[raw[ends - 1]]
+        cut = np.ones(len(raw), bool)
+        cut[1:] = ~self.joined[raw[:-1], raw[1:]]
+        cut[ends[:-1]] = True
+        place, ids = self._merge(ids, cut)
+        upto = np.searchsorted(place, ends) * 4
+        out, data, at = {}, ids.astype(np.int32).tobytes(), 0
+        for word, end in zip(words, upto.tolist(), strict=True):
+            out[word] = data[at:end]
+            at = end
+        return out
+
+    def _merge(self, ids: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges inside fragments, which begin at ``cut``: by lowest rank, leftmost first. Places (of first bytes) and ids."""
+        place, begin = np.arange(len(ids)), np.flatnonzero(cut)
+        length = np.diff(np.append(begin, len(ids)))
+        done = []
+        if (length > LONG).any():
+            for a, n in zip(begin[length > LONG].tolist(), length[length > LONG].tolist(), strict=True):
+                merged = np.array(self._merge_long(ids[a : a + n].tolist()), np.int64)
+                done.append((np.arange(a, a + len(merged)), merged))
+            short = np.repeat(length <= LONG, length)
+            ids, place, length = ids[short], place[short], length[length <= LONG]
+        begin = np.cumsum(length) - length
+        rank = np.full(len(ids), NEVER)
+        rank[:-1] = self._ranks(ids[:-1], ids[1:])
+        rank[begin[1:] - 1] = NEVER
+        rank[-1:] = NEVER
+        while len(ids):
+            least = np.minimum.reduceat(rank, begin)
+            if (idle := least == NEVER).any():
+                over = np.repeat(idle, length)
+                done.append((place[over], ids[over]))
+                ids, place, rank, length, least = ids[~over], place[~over], rank[~over], length[~idle], least[~idle]
+                begin = np.cumsum(length) - length
+                if not len(ids):
+                    break
+            fragment = np.repeat(np.arange(len(length)), length)
+            at = np.flatnonzero(rank == least[fragment])
+            first = np.ones(len(at), bool)
+            first[1:] = fragment[at[1:]] != fragment[at[:-1]]
+            at = at[first]  # one of each fragment
+            ids[at] = self.merged[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            rank[at] = rank[at + 1]  # NEVER if the pair stood last; else put right below
+            ids, place, rank = ids[keep], place[keep], rank[keep]
+            at -= np.arange(len(at))  # as many places before each went
+            length = length - 1
+            begin = np.cumsum(length) - length
+            right = at[at < begin + length - 1]
+            left = at[at > begin] - 1
+            rank[right] = self._ranks(ids[right], ids[right + 1])
+            rank[left] = self._ranks(ids[left], ids[left + 1])
+        if not done:
+            return place, ids
+        place, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(place)
+        return place[order], ids[order]
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list: n log n instead of n squared."""
@@ -142,7 +212,7 @@ class ForcedBoundaryBPE:
             j = after[i]
             if ids[i] < 0 or j < 0 or rank(ids[i] << 32 | ids[j]) != r:
                 continue
-            ids[i], ids[j] = self.merged[r], -1
+            ids[i], ids[j] = int(self.merged[r]), -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
@@ -151,22 +221,44 @@ class ForcedBoundaryBPE:
                     heapq.heappush(heap, (r, a))
         return [x for x in ids if x >= 0]
 
-    def encode(self, text: str) -> np.ndarray:
+    def _runs(self, text: str) -> list[str]:
+        """Runs of non-space characters in lower case; behind one space: a word as it is; behind two: a special token."""
         if self.specials is None or "<" not in text:
-            return np.frombuffer(self._plain(text), np.int32)
+            return self._plain(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
-            out += [self._plain(text[at : m.start()]), struct.pack("=i", self.special[m.group()])]
+            out += [*self._plain(text[at : m.start()]), f"  {m.group()}"]
             at = m.end()
-        return np.frombuffer(b"".join([*out, self._plain(text[at:])]), np.int32)
+        return out + self._plain(text[at:])
 
-    def _plain(self, text: str) -> bytes:
+    def _plain(self, text: str) -> list[str]:
         if SIMPLE.fullmatch(text):
-            words = SIMPLE_WORDS.findall(text.lower())
-        else:  # any other script: the library's own normaliser and word splitter
-            pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
-            words = [bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in pieces]
-        return b"".join(map(self.by_word.__getitem__, words))
+            return text.lower().split()
+        # Any other script: the library's own normaliser and word splitter.
+        pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
+        return [" " + bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in pieces]
+
+    def _learn(self, runs: set[str]) -> dict[str, bytes]:
+        """The ids of runs that the store lacks, and of words in them."""
+        mixed = [r for r in runs if not r.isalpha()]
+        plain = [r for r in mixed if r[0] != " "]
+        words = list(map(SIMPLE_WORDS.findall, plain))
+        marked = [r for r in mixed if r[0] == " "]
+        wanted = runs.difference(mixed).union(*words, (r[1:] for r in marked if r[1] != " "))
+        known = self.store.known(wanted)
+        ids_of = known | self._words(wanted.difference(known))
+        made = {r: b"".join([ids_of[w] for w in ws]) for r, ws in zip(plain, words, strict=True)}
+        made |= {r: ids_of[r[1:]] if r[1] != " " else np.int32(self.special[r[2:]]).tobytes() for r in marked}
+        return ids_of | made
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        runs = [self._runs(t) for t in texts]
+        ids_of = self.store.take(set(chain.from_iterable(runs)), self._learn).__getitem__
+        return [np.frombuffer(b"".join(map(ids_of, r)), np.int32) for r in runs]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """Tokens joined by one space, special ones kept; ids outside the vocabulary give nothing."""
@@ -215,7 +307,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec.value)
         for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([column(b, "id"), _lists([codec.encode(t or "") for t in column(b, "text").to_pylist()])], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([column(b, "id"), _lists(codec.encode_all([t or "" for t in column(b, "text").to_pylist()]))], ["id", "ids"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
@@ -228,7 +320,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec.value)
         for b in slices(batches, "text"):
-            ids = [codec.encode(t or "") for t in column(b, "text").to_pylist()]
+            ids = codec.encode_all([t or "" for t in column(b, "text").to_pylist()])
             yield pa.RecordBatch.from_arrays([column(b, "id"), _lists(ids), pa.array([codec.decode(i) for i in ids], pa.string())], ["id", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -78,8 +78,8 @@ def best_fit(lengths: list[int], most: int) -> list[list[int]]:
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, row_tokens: int = ROW_TOKENS, pad: int = PAD) -> DataFrame:
     """(row_id, n_tokens, n_segments, ids binary, positions binary, cu_seqlens array<int>, segments) of all documents."""
-    if row_tokens >= 1 << 16:
-        raise ValueError("positions are 16-bit numbers")
+    if row_tokens > 1 << 16 or not 0 <= pad < 1 << 16:
+        raise ValueError("ids and positions are 16-bit numbers")
     spec = _shipped(df.sparkSession, path or default_path())
     segment = pa.list_(pa.struct([("doc_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int32())]))
     names = ["row_id", "n_tokens", "n_segments", "ids", "positions", "cu_seqlens", "segments"]
@@ -101,9 +101,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, made, held, pieces = _codec(spec.value), TaskContext.get().partitionId() << 32, 0, []
+        if max(codec.token_of) >= 1 << 16:
+            raise ValueError("a vocabulary of more than 65,536 ids does not fit into 16-bit numbers")
         for b in slices(batches, "text"):
-            for doc, text in zip(column(b, "id").to_pylist(), column(b, "text").to_pylist(), strict=True):
-                ids = codec.encode(text or "").astype("<u2")
+            encoded = codec.encode_all([t or "" for t in column(b, "text").to_pylist()])
+            for doc, ids in zip(column(b, "id").to_pylist(), encoded, strict=True):
+                ids = ids.astype("<u2")
                 for at in range(0, len(ids), row_tokens):
                     pieces.append((doc, at, ids[at : at + row_tokens]))
                 held += len(ids)

@@ -31,13 +31,13 @@ def test_hashes_of_words():
     assert [len(p) for p in per] == [3, 3, 0, 0, 1, 2, 2, 6] and per[0] == per[1] and per[4][0] == per[5][1] and per[6][0] != per[6][1]
     v, at = words.shingles(*byte_spans(pa.array(texts, pa.string())), 3)
     assert np.diff(at).tolist() == [1, 1, 0, 0, 1, 1, 1, 2]
-    long = pa.array(["w" * 10 + " " + "y" * 10, "z " * 50])
-    words_before, words.PIECE = words.PIECE, 7
-    try:
-        pieces = words.word_hashes(*byte_spans(long))[0]
-    finally:
-        words.PIECE = words_before
-    assert pieces.tolist() == words.word_hashes(*byte_spans(long))[0].tolist()
+    morse = ""
+    for k in range(1024):
+        morse += "ab"[k.bit_count() & 1]
+    odd = [morse, morse.translate(str.maketrans("ab", "ba")), *("x" * n for n in (7, 8, 9, 16, 17, 63, 64, 65, 66, 300)), "x" * 8 + "\0", "x" * 64 + "y", "x" * 65 + "y"]
+    assert len(set(words.word_hashes(*byte_spans(pa.array(odd)))[0].tolist())) == len(odd)
+    alone = [words.word_hashes(*byte_spans(pa.array([w.upper()])))[0][0] for w in odd]
+    assert alone == words.word_hashes(*byte_spans(pa.array(odd)))[0].tolist()
 
 
 def test_quality_held_out(spark, sf_dir):
@@ -69,6 +69,50 @@ def test_risk_turns_back_when_negative():
     assert scorer(good).mean() > 0.8 and scorer(bad).mean() < 0.4
 
 
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.9])
+def test_prior_comes_from_positives_and_unlabelled(prior):
+    rng = np.random.default_rng(int(prior * 10))
+    positive = rng.normal(0, 1, (2000, 6)) + 1.5
+    hidden = rng.random(4000) < prior
+    unlabelled = rng.normal(0, 1, (4000, 6)) + np.where(hidden, 1.5, -1.5)[:, None]
+    estimate = quality.estimate_prior(positive, unlabelled)
+    assert abs(estimate - prior) < 0.05
+    told = quality.fit_nnpu(positive, unlabelled, estimate)(unlabelled) >= 0.5
+    assert (told == hidden).mean() > 0.97
+
+
+def test_risk_by_brute_force():
+    """No point of a grid has a lower non-negative risk than the weights that training ends with."""
+    rng = np.random.default_rng(2)
+    positive = rng.normal(1, 1, (300, 1))
+    unlabelled = np.concatenate([rng.normal(1, 1, (150, 1)), rng.normal(-1, 1, (150, 1))])
+    got = quality.fit_nnpu(positive, unlabelled, 0.5, steps=4000, rate=0.005, decay=0.0)
+
+    def risk(w, b):
+        loss = lambda x, sign: quality.sigmoid(-sign * ((x - got.mean) / got.scale @ w + b)).mean()
+        return 0.5 * loss(positive, 1) + max(0.0, loss(unlabelled, -1) - 0.5 * loss(positive, -1))
+
+    reached = risk(got.weight, got.bias)
+    grid = [(np.array([w]), b) for w in np.linspace(-6, 6, 25) for b in np.linspace(-3, 3, 25)]
+    assert reached <= min(risk(w, b) for w, b in grid if abs(w[0]) <= abs(got.weight[0])) + 0.01
+
+
+def test_features_piece_by_piece(monkeypatch):
+    texts = pa.array(["ab" * 50, "", None, "x y y z" * 30, "É\n!"], pa.string())
+    whole = quality.features(*byte_spans(texts))
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert np.array_equal(whole, quality.features(*byte_spans(texts)))
+
+
+def test_names_that_clash(spark):
+    docs = documents(spark, [(k, "some words here " * 5, "en", "s") for k in range(6)])
+    assert quality.score(docs, None).columns == [*[c for c in docs.columns if c != "score"], "score"]
+    assert quality.score(docs, None).filter("score = 0.5").count() == 6
+    told = langid.identify(docs, langid.train(docs))
+    assert told.filter("lang_pred = 'en'").count() == 6 and sorted(told.columns) == sorted(docs.columns)
+
+
 def test_language_held_out(spark, sf_dir, table):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     got = langid.op9_langid(spark, sf_dir).join(table.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL").collect()
@@ -143,6 +187,52 @@ def test_mixing_totals(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    rows = [(None if k % 3 == 0 else k % 7, " ".join("w" * rng.randint(1, 9)), None, "ab"[k % 2]) for k in range(60)]
+    rows += [(None, "the same row", None, "a")] * 7 + [(5, "again", None, None)] * 3 + [(None, None, None, None)]
+    docs = documents(spark, rows)
+    want, got = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.source] += r.size * r.times
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns
+    copies = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    for (_, text, source), n in copies.items():
+        got[source] += len((text or "").split()) * n
+    of_source = lambda s: sum(len((t or "").split()) for _, t, _, x in rows if x == s)
+    target = water_fill({s: of_source(s) for s in ("a", "b", None)}, {"a": 1.0, "b": 2.0, None: 3.0})
+    assert all(abs(got[s] - target[s]) <= 1 and abs(want[s] - target[s]) <= 1 for s in target), (got, want, target)
+    there = Counter((i, t, s) for i, t, _, s in rows)
+    assert all(n <= 3 * there[key] for key, n in copies.items())
+    assert copies == Counter((r.doc_id, r.text, r.source) for r in mixing.apply_mix(docs.repartition(5)).collect())
+
+
+def test_op10_over_the_table(spark, sf_dir):
+    """Each source's words are as near to its target as any choice of whole documents comes, none twice unless all are needed."""
+    rows = mixing.op10_mixing(spark, sf_dir).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    sizes, taken, targets, lengths = Counter(), Counter(), {}, {}
+    for r in rows:
+        d = docs[r.doc_id]
+        assert r.size == len((d.text or "").encode().split())
+        sizes[d.source] += r.size
+        taken[d.source] += r.taken
+        targets[d.source] = r.target
+        lengths.setdefault(d.source, []).append(r.size)
+        assert 0 <= r.taken <= 3 * r.size
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    want = water_fill(sizes, {s: 1.0 + i % 3 for i, s in enumerate(order)})
+    for s in order:
+        assert abs(targets[s] - want[s]) < 1e-6
+        sums = 1
+        for n in [n for n in lengths[s] for _ in range(3 if want[s] >= sizes[s] else 1) if n]:
+            sums |= sums << n
+        least = min(abs(k - want[s]) for k in range(sums.bit_length()) if sums >> k & 1)
+        assert abs(taken[s] - want[s]) <= least + 1e-6, s
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_fit_is_exact_where_it_can_be(seed):
     rng = random.Random(seed)
@@ -174,7 +264,7 @@ def test_fit_of_few_long_documents(counts, budget, want):
     assert mixing.fit(counts, budget, {n: n for n in counts}) == want
     if len(counts) == 1 and want:
         plan = mixing._plan_source(mixing.pd.DataFrame({"source": ["a"], "size": list(counts), "n": list(counts.values()), "source_size": [sum(n * c for n, c in counts.items())], "target": [float(budget)]}))
-        assert dict(zip(plan["size"], plan["want"], strict=True)) == want
+        assert {n: p * counts[n] + w for n, p, w in zip(plan["size"], plan["passes"], plan["want"], strict=True)} == want
 
 
 # --- top-k

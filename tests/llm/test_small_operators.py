@@ -6,6 +6,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,17 +44,29 @@ def test_bpe_equals_the_library(spark, library):
 
 def test_bpe_parts(spark, library):
     codec = bpe.ForcedBoundaryBPE(open(bpe.default_path(), encoding="utf-8").read())
-    for word in ("zqxjk" * 40, "antidisestablishment", "qqqq'x"):
-        parts = codec.fragments(word.encode())
-        assert b"".join(parts) == word.encode()
-        assert all(not codec.joined[a[-1], b[0]] for a, b in zip(parts, parts[1:], strict=False))
-    for text in ("a" * 500, "ab" * 300, "thethethe" * 50):  # the heap and the plain loop agree
-        ids = [codec.inner[b] for b in text.encode()]
-        assert codec._merge_long(list(ids)) == [t for t in _plain_merge(codec, list(ids))]
+    words = ["zqxjk" * 40, "antidisestablishment", "qqqq", "a" * 500, "ab" * 300, "thethethe" * 50, "ab" * 15, "a", "ж" * 30, "aaaaaaa", "lossless"]
+    for got in (codec._words(set(words)), {w: codec._words({w})[w] for w in words}):  # side by side and each alone
+        for word in words:
+            ids = [*(codec.inner[b] for b in word.encode()[:-1]), codec.final[word.encode()[-1]]]
+            assert np.frombuffer(got[word], np.int32).tolist() == _plain_merge(codec, ids), word
+    for text in ("a" * 500, "ab" * 300, "thethethe" * 50):
+        ids = [int(codec.inner[b]) for b in text.encode()]
+        assert codec._merge_long(list(ids)) == _plain_merge(codec, list(ids))
     back = bpe.decode(bpe.encode(documents(spark, ["hello there"])), id_col="id").first()
     assert back.decoded == "hello</w> there</w>"
 
 
+def test_bpe_store(monkeypatch, library):
+    codec = bpe.ForcedBoundaryBPE(open(bpe.default_path(), encoding="utf-8").read())
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 4)
+    texts = ["one, two three four", "five six seven, eight two", "", "one two <|endoftext|> nine", "привет one, two"]
+    for _ in range(3):
+        for t in texts:
+            assert codec.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert max(map(len, codec.store.young)) <= 4 and len(codec.store.young) <= 5 + 5
+
+
 def _plain_merge(codec, ids):
     while True:
         found = [(codec.ranks[a << 32 | b], i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (a << 32 | b) in codec.ranks]
@@ -145,11 +158,31 @@ def test_formatted_reads_back(spark):
 def test_ties_nulls_and_empty_conversations(spark):
     rows = [(1, 5, "user", "b"), (1, 5, "user", "a"), (1, None, "assistant", None), (1, 9, None, "c"), (None, 1, "user", "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: json.loads(r.record)["messages"] for r in chat.conversations_to_records(df).collect()}
-    assert [(m["role"], m["text"]) for m in got[1]] == [("assistant", ""), ("user", "a"), ("user", "b"), ("user", "c")]
+    got = {r.conv_id: r.turns for r in chat.canonical(chat.conversations_to_records(df)).collect()}
+    assert [(m.role, m.text) for m in got[1]] == [("assistant", ""), ("user", "a"), ("user", "b"), ("user", "c")]
+    assert [(m.role, m.text) for m in got[None]] == [("user", "n")]
     assert chat.format_chats(chat.conversations_to_records(df.limit(0))).count() == 0
 
 
+def test_roles_of_rows_stay(spark, duck, tmp_path):
+    said = [("human", "a"), ("gpt", "b"), ("", "c"), (None, "d"), ("Assistant", "e"), ("user", "x" * 300_000)]
+    rows = [(k, n, r, t) for k in range(24) for n, (r, t) in enumerate(said[k % 5 : k % 5 + 2])]
+    rows += [(100 + k, n, r, t) for k in range(24) for n, (r, t) in enumerate([("user", "q"), ("assistant", None)])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.op3_chat(spark, str(tmp_path)).collect()}
+    duck.execute(f"CREATE OR REPLACE TEMP VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    try:
+        for conv, n_turns, turns, loss_chars, loss, chars in duck.execute(chat.OP3_SQL).fetchall():
+            r = got.pop(conv)
+            assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) == (n_turns, turns, loss_chars, loss, chars)
+    finally:
+        duck.execute("DROP VIEW temp.conversations")
+    assert not got
+    layouts = chat.canonical(chat.conversations_to_records(df).withColumn("turns", F.lit(1))).groupBy("fingerprint").count().collect()
+    assert {r.fingerprint for r in layouts} == {chat.fingerprint(n) for n in (["prompt", "response"], ["messages[].role", "messages[].text"], ["messages[].role", "messages[].content"], ["dialog[].speaker", "dialog[].utterance"])}
+
+
 def test_op3_over_the_table(spark, sf_dir):
     rows = {r.conv_id: r for r in chat.op3_chat(spark, sf_dir).collect()}
     said = {}
@@ -215,6 +248,12 @@ def test_broken_media():
     for cut in (1, 5, 60, 300, len(data) - 3):
         parsed = matroska.Parsed(data[:cut])
         assert parsed.error
+    data = matroska.mux(bytes(range(256)) * 2000)  # 889 packets in four clusters
+    whole = matroska.Parsed(data).packets
+    for cut in (len(data) - 3, len(data) - 200, len(data) * 2 // 3, len(data) // 5):
+        parsed = matroska.Parsed(data[:cut])
+        least = sum(p.offset + p.size <= cut for p in whole) - matroska.LACE  # all but those of the block that is cut
+        assert "passes the end" in parsed.error and parsed.packets == whole[: len(parsed.packets)] and len(parsed.packets) >= max(1, least)
     assert matroska.Parsed(b"").error is None and matroska.Parsed(b"\0\0").error
 
 
@@ -230,6 +269,14 @@ def test_media_columns(spark):
     packets = matroska.packets(stored)
     assert packets.filter("id = 5").count() == -(-40000 // 576)
     assert packets.filter("cued").groupBy("id").count().filter("id = 1").first()["count"] == 1
+    short = matroska.packets(stored.filter("id = 5").withColumn("id", F.col("id").cast("smallint")))
+    assert short.schema["id"].dataType.simpleString() == "smallint" and {r.id for r in short.collect()} == {5}
+    moved = stored.filter("id = 5").first().media
+    at = matroska.Parsed(bytes(moved)).cues[0][2]
+    cue = matroska.uint(matroska.CUE_CLUSTER_POSITION, at - moved.index(matroska.uint(matroska.TIMESTAMP_SCALE, 1_000_000)) + 5)
+    assert cue in bytes(moved)  # a cue that leads elsewhere marks nothing
+    astray = bytes(moved).replace(cue, matroska.uint(matroska.CUE_CLUSTER_POSITION, at - moved.index(matroska.uint(matroska.TIMESTAMP_SCALE, 1_000_000)) + 6))
+    assert matroska.packets(spark.createDataFrame([(1, bytearray(astray))], "id int, media binary")).filter("cued").count() == 0
     assert matroska.packets(stored.limit(0)).count() == 0 and matroska.packets(stored.withColumn("media", F.lit(None).cast("binary"))).count() == 0
 
 
