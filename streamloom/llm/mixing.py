@@ -11,7 +11,10 @@ part is ranked, so neither a hot source nor a hot length meets in one task. The
 counts of its lengths, never its documents.
 
 Null texts have size 0 and are taken 0 times; a null source is a source, last in order. Documents of equal id and size
-are ranked as equals and share a rank by their order in the bucket; repeated rows count each. Empty tables give none.
+are ranked as equals and share a rank by their order in the bucket; repeated rows count each. A text of any length is one
+length among its source's. Empty tables give none. Other columns are not read by ``mix`` and kept by ``apply_mix``, which
+tells rows apart by all their columns: rows that share an id, or have none, are taken each as often as the mix says, and
+rows that are alike in everything share what is taken of them.
 """
 
 from __future__ import annotations
@@ -93,17 +96,31 @@ def fit(counts: dict[int, int], budget: int, order: dict[int, int]) -> dict[int,
                 taken[n] += 1
                 rest -= n
                 progress = True
-    left = [(n, counts[n] - taken[n]) for n in by_seed if counts[n] > taken[n]]
+    best, off = taken, rest
+    while True:
+        found = _nearest([(n, counts[n] - taken[n]) for n in by_seed if counts[n] > taken[n]], rest)
+        now = abs(rest - sum(n * k for n, k in found.items()))
+        if now < off:
+            best, off = {n: t + found.get(n, 0) for n, t in taken.items()}, now
+        # Not met: documents are handed back, so that more sums are open, until the rest is as large as may be.
+        goal, taken = 2 * max(rest, 1), dict(taken)
+        while off and rest < min(goal, FIT_WORDS) and any(taken.values()):
+            for n in by_seed:
+                if taken[n] and rest < goal:
+                    taken[n] -= 1
+                    rest += n
+        if not off or rest < goal:
+            return {n: t for n, t in best.items() if t}
+
+
+def _nearest(left: list[tuple[int, int]], rest: int) -> dict[int, int]:
+    """Which of (length, documents left) to take so that their words come nearest to ``rest``."""
     # Taking none more is ``rest`` words off, so the nearest sum is at most twice ``rest``.
     if rest > 2 * FIT_WORDS:
         # All documents left are longer than rest - FIT_WORDS / 2: any two are further off than the best one or none.
         one = min((n for n, _ in left), key=lambda n: (abs(n - rest), n), default=0)
-        more = {one: 1} if abs(one - rest) < rest else {}
-    else:
-        more = _knapsack([(n, c) for n, c in left if n <= 2 * rest], rest, 2 * rest)
-    for n, k in more.items():
-        taken[n] += k
-    return {n: t for n, t in taken.items() if t}
+        return {one: 1} if abs(one - rest) < rest else {}
+    return _knapsack([(n, c) for n, c in left if n <= 2 * rest], rest, 2 * rest)
 
 
 def _knapsack(items: list[tuple[int, int]], target: int, reach: int) -> dict[int, int]:
@@ -128,13 +145,19 @@ def _knapsack(items: list[tuple[int, int]], target: int, reach: int) -> dict[int
 
 
 def _plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each length of a source: whole passes over it, and how many of its documents are taken once more."""
+    """For each length of a source: how often all of its documents are taken, and how many of them once more."""
     size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
     passes = int(min(MAX_EPOCHS, target // size)) if size else 0
     counts = {int(n): int(c) for n, c in zip(pdf["size"], pdf["n"], strict=True) if n > 0}
     order = {n: (n * 2654435761 + SEED) % (1 << 32) for n in counts}
     more = fit(counts, round(target - passes * size), order) if passes < MAX_EPOCHS else {}
-    return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "passes": passes, "want": [more.get(int(n), 0) for n in pdf["size"]]})
+    takes = {n: c * passes + more.get(n, 0) for n, c in counts.items()}
+    off = lambda t: abs(sum(n * k for n, k in t.items()) - target)
+    if passes and off(takes) > 0.5:  # takes that are less even may come nearer
+        uneven = fit({n: MAX_EPOCHS * c for n, c in counts.items()}, round(target), order)
+        takes = min(takes, uneven, key=off)
+    each = [divmod(takes.get(int(n), 0), counts.get(int(n), 1)) for n in pdf["size"]]
+    return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "passes": [p for p, _ in each], "want": [w for _, w in each]})
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
@@ -169,11 +192,15 @@ def _few(sources: DataFrame, most: int = 10_000) -> bool:
 
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, with the same columns."""
-    id_name, times = free_name(docs, "mix_id"), free_name(docs, "mix_times")
-    plan = mix(docs).filter("times > 0").groupBy("doc_id").agg(F.max("times").alias(times)).withColumnRenamed("doc_id", id_name)
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan[id_name])).drop(id_name)
-    copy = free_name(out, "mix_copy")
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(copy, times)
+    mark, times, rows, copy = (free_name(docs, f"mix_{n}") for n in ("mark", "times", "rows", "copy"))
+    marked = docs.withColumn(mark, F.xxhash64(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
+    plan = mix(marked, id_col=mark).groupBy(F.col("doc_id").alias(mark)).agg(F.sum("times").alias(times), F.count("*").alias(rows)).filter(F.col(times) > 0)
+    out = marked.join(plan, mark)
+    # Rows that are alike share their takes evenly; the join has put them in order already.
+    place = F.row_number().over(Window.partitionBy(mark).orderBy(mark))
+    share = F.floor(F.col(times) / F.col(rows)) + (place <= F.col(times) % F.col(rows)).cast("int")
+    out = out.withColumn(copy, share).filter(F.col(copy) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))).drop(mark, times, rows, copy)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
