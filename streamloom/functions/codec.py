@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: What percent encoding escapes besides controls, DEL and everything outside ASCII.
 ESCAPED = ' "#<>&=%'
-_ESCAPED_HEX = [f"{ord(c):02X}" for c in ESCAPED] + ["7F"]
+#: The marks of ASCII that it does not escape, but form encoding does.
+KEPT = "!$'()+,/:;?@[\\]^`{|}~"
 #: Between a date range's id and what follows; quoted strings of a playlist cannot hold it.
 SEPARATOR = '"'
 CONTEXT_TYPES = ("SEGMENT", "MAP", "PART", "SCTE35", "ASSET_LIST", "DATERANGE_SCHEDULE")
@@ -25,12 +26,14 @@ def let(value: Column, use) -> Column:
 def percent_encode(value) -> Column:
     """Upper-case escapes of controls, space, ``" # < > & = %``, DEL and non-ASCII bytes; texts without them as they are."""
     value = _col(value)
-    pairs = F.regexp_extract_all(F.hex(F.encode(value, "UTF-8")), F.lit(".."), F.lit(0))
-    by_byte = F.array_join(F.transform(pairs, lambda b: F.when((b < "20") | (b > "7F") | b.isin(_ESCAPED_HEX), F.concat(F.lit("%"), b)).otherwise(F.unhex(b).cast("string"))), "")
+    # Form encoding escapes more: what it writes for a space is put right, and the other marks are put back.
+    form = F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))
+    for c in KEPT:
+        form = F.replace(form, F.lit(f"%{ord(c):02X}"), F.lit(c))
     printable = F.replace(value, F.lit("%"), F.lit("%25"))
     for c in ESCAPED.replace("%", ""):
         printable = F.replace(printable, F.lit(c), F.lit(f"%{ord(c):02X}"))
-    return F.when(value.rlike(r"[^\x20-\x7e]"), by_byte).otherwise(printable)
+    return F.when(value.rlike(r"[^\x20-\x7e]"), form).otherwise(printable)
 
 
 def lossy_utf8(data) -> Column:
@@ -43,8 +46,10 @@ def percent_decode(value) -> Column:
     value = _col(value)
     tokens = F.regexp_extract_all(value, F.lit(r"(?s)%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
     as_hex = F.transform(tokens, lambda t: F.when((F.length(t) == 3) & t.startswith("%") & t.rlike("^%[0-9A-Fa-f]{2}$"), F.substring(t, 2, 2)).otherwise(F.hex(F.encode(t, "UTF-8"))))
-    ascii_only = F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
-    return F.when(~value.contains("%"), value).when(~value.rlike("%(?![0-7][0-9A-Fa-f])"), ascii_only).otherwise(lossy_utf8(F.unhex(F.array_join(as_hex, ""))))
+    # Form decoding is right if nothing is broken: it gives NULL for bad escapes and U+FFFD for bytes that are no UTF-8.
+    form = F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+    slow = lossy_utf8(F.unhex(F.array_join(as_hex, "")))
+    return F.when(~value.contains("%"), value).when(~value.rlike("%(?![0-7][0-9A-Fa-f])"), form).when(F.coalesce(~form.contains("\ufffd"), F.lit(False)), form).otherwise(slow)
 
 
 def hex_encode(data) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,9 +94,10 @@ def box_name(fourcc: str) -> str | None:
 def properties(data: bytes, box: Box) -> tuple[str, list]:
     """Name and fields of a box; a box that cannot be read raises."""
     size = [("size", "Extends to end of file" if box.to_end else box.body_size + 8)]
-    body = data[box.body_offset : box.body_offset + box.body_size]
     if box.fourcc == "mdat":
         return "MediaDataBox", size
+    # Of a container only what stands before its children is copied.
+    body = data[box.body_offset : box.body_offset + (box.body_size if box.head_size < 0 else min(box.body_size, box.head_size))]
     if box.head_size < 0:
         name, fields = describe(box.fourcc, body)
         return name, size + fields
@@ -134,19 +136,38 @@ def box_rows(df: DataFrame, id_col: str = "media_id", content_col: str = "conten
     types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary(), pa.string()]
     wanted = set(fourccs) if fourccs else None
 
+    def boxes_of(media: str | None, data: bytes) -> Iterator[tuple]:
+        for x in walk(data):
+            if wanted is None or x.fourcc in wanted or x.error:
+                leaf = x.head_size < 0 and x.fourcc != "mdat" and not x.error
+                yield media, *x[:7], box_name(x.fourcc), data[x.body_offset : x.body_offset + x.body_size] if leaf else None, x.error
+
+    return _media(df, id_col, content_col).mapInArrow(_gathered(boxes_of, names, types), f"media_id string, {BOX_DDL}, box_name string, body binary, error string")
+
+
+#: Rows and bytes of an output batch, about.
+OUT_ROWS, OUT_BYTES = 20_000, 16 << 20
+
+
+def _gathered(rows_of, names: list[str], types: list[pa.DataType]):
+    """Runs ``rows_of(media, data)`` on every file; output batches hold the rows of many files, but not more than they should."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for b in batches:
-            for k in range(b.num_rows):
-                media, data = b.column(0)[k].as_py(), b.column(1)[k].as_py() or b""
-                rows = []
-                for x in walk(data):
-                    if wanted is None or x.fourcc in wanted or x.error:
-                        leaf = x.head_size < 0 and x.fourcc != "mdat" and not x.error
-                        rows.append((media, *x[:7], box_name(x.fourcc), data[x.body_offset : x.body_offset + x.body_size] if leaf else None, x.error))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for media, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    out += rows_of(media, data or b"")
+                    held += len(data or b"")
+                    if len(out) >= OUT_ROWS or held >= OUT_BYTES:
+                        if out:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return _media(df, id_col, content_col).mapInArrow(run, f"media_id string, {BOX_DDL}, box_name string, body binary, error string")
+    return run
 
 
 def box_properties(df: DataFrame, id_col: str = "media_id", content_col: str = "content") -> DataFrame:
@@ -156,26 +177,23 @@ def box_properties(df: DataFrame, id_col: str = "media_id", content_col: str = "
     types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), texts, pa.list_(texts), pa.string()]
     names = [c.split()[0] for c in ddl.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                media, data = b.column(0)[k].as_py(), b.column(1)[k].as_py() or b""
-                out = []
-                for x in walk(data):
-                    head = (media, x.box_index, x.fourcc, x.depth)
-                    try:
-                        if x.error:
-                            raise Malformed(x.error)
-                        name, fields = properties(data, x)
-                        for n, (key, value) in enumerate(fields):
-                            table = value if isinstance(value, Table) else None
-                            out.append((*head, name, n, key, None if table is not None or value is None else render(value), table.headers if table is not None else None, [[render(v) for v in r] for r in table.rows] if table is not None else None, None))
-                    except (Malformed, BadHeader, IndexError, UnicodeDecodeError, ValueError) as e:
-                        out.append((*head, box_name(x.fourcc), 0, None, None, None, None, str(e)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    return _media(df, id_col, content_col).mapInArrow(run, ddl)
+    def properties_of(media: str | None, data: bytes) -> Iterator[tuple]:
+        for x in walk(data):
+            head, rows = (media, x.box_index, x.fourcc, x.depth), []
+            try:
+                if x.error:
+                    raise Malformed(x.error)
+                name, fields = properties(data, x)
+                for n, (key, value) in enumerate(fields):
+                    if isinstance(value, Table):
+                        rows.append((*head, name, n, key, None, value.headers, [[render(v) for v in r] for r in value.rows], None))
+                    else:
+                        rows.append((*head, name, n, key, None if value is None else render(value), None, None, None))
+            except (Malformed, BadHeader, IndexError, UnicodeDecodeError, ValueError) as e:
+                rows.append((*head, box_name(x.fourcc), 0, None, None, None, None, str(e)))
+            yield from rows
+
+    return _media(df, id_col, content_col).mapInArrow(_gathered(properties_of, names, types), ddl)
 
 
 def strict(rows: DataFrame) -> DataFrame:
@@ -227,22 +245,48 @@ def view(rows: DataFrame, fourcc: str) -> DataFrame:
 
 def track_runs(rows: DataFrame) -> DataFrame:
     """One row per sample of every ``trun``: media_id, box_index, sample, duration, size, flags, cts."""
-    body = F.col("body")
-    flags, count = unsigned(body, 1, 3), unsigned(body, 4, 4)
-    bit = lambda n: F.when(flags.bitwiseAND(n) != 0, 4).otherwise(0)
-    width, start = bit(0x100) + bit(0x200) + bit(0x400) + bit(0x800), F.lit(8) + bit(1) + bit(4)
-    runs = rows.filter("fourcc = 'trun'").select("media_id", "box_index", "body", flags.alias("_f"), count.alias("_n"), width.alias("_w"), start.alias("_s")).filter("_n > 0")
-    samples = runs.withColumn("sample", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
-    base = F.col("_s") + (F.col("sample") - 1) * F.col("_w")
-    has = lambda n: F.col("_f").bitwiseAND(n) != 0
-    upto = lambda *bits: sum((F.when(has(n), 4).otherwise(0) for n in bits), F.lit(0))
-    read = lambda off: F.conv(F.hex(F.substr(body, (base + off + 1).cast("int"), F.lit(4))), 16, 10).cast("bigint")
-    first = F.conv(F.hex(F.substr(body, (F.lit(9) + F.when(has(1), 4).otherwise(0)).cast("int"), F.lit(4))), 16, 10).cast("bigint")
-    cts = read(upto(0x100, 0x200, 0x400))
-    return samples.select(
-        "media_id", "box_index", "sample",
-        F.when(has(0x100), read(F.lit(0))).alias("duration"),
-        F.when(has(0x200), read(upto(0x100))).alias("size"),
-        F.when(has(0x400), read(upto(0x100, 0x200))).when(has(4) & (F.col("sample") == 1), first).alias("flags"),
-        F.when(has(0x800), F.when((unsigned(body, 0, 1) > 0) & (cts >= 1 << 31), cts - (1 << 32)).otherwise(cts)).alias("cts"),
-    )
+    names = ["media_id", "box_index", "sample", "duration", "size", "flags", "cts"]
+    optional = (("duration", 0x100), ("size", 0x200), ("flags", 0x400), ("cts", 0x800))
+
+    def run_of(body: bytes) -> dict[str, np.ndarray] | None:
+        """The numbers of each field that the run has; None for a body that ends before its samples do."""
+        if len(body) < 8:
+            return None
+        flags, count = int.from_bytes(body[1:4], "big"), int.from_bytes(body[4:8], "big")
+        start = 8 + 4 * bool(flags & 1) + 4 * bool(flags & 4)
+        there = [name for name, bit in optional if flags & bit]
+        if start + 4 * len(there) * count > len(body) or (not there and count > 1 << 20):
+            return None
+        table = np.frombuffer(body, ">u4", count * len(there), start).reshape(count, -1).astype(np.int64)
+        out = {"n": np.full(count, 0)} | dict(zip(there, table.T, strict=True))
+        if "cts" in out and body[0]:
+            out["cts"] = out["cts"].astype(np.uint32).view(np.int32).astype(np.int64)
+        if flags & 4 and "flags" not in out and count:
+            out["first"] = int.from_bytes(body[start - 4 : start], "big")
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                runs = [run_of(x or b"") for x in part.column(2).to_pylist()]
+                counts = np.array([0 if r is None else len(r["n"]) for r in runs], np.int64)
+                if not counts.sum():
+                    continue
+                owner = pa.array(np.repeat(np.arange(len(runs)), counts))
+                runs = [r for r, n in zip(runs, counts, strict=True) if n]
+                columns = []
+                for name, _ in optional:
+                    has = np.repeat([name in r for r in runs], [len(r["n"]) for r in runs])
+                    values = np.concatenate([r.get(name, r["n"]) for r in runs])
+                    if name == "flags":
+                        begin = np.cumsum([0, *(len(r["n"]) for r in runs[:-1])])
+                        first = [(a, r["first"]) for a, r in zip(begin, runs, strict=True) if "first" in r]
+                        for a, value in first:
+                            values[a], has[a] = value, True
+                    columns.append(pa.array(values, pa.int64(), mask=~has))
+                sample = np.concatenate([np.arange(1, len(r["n"]) + 1) for r in runs])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), pa.array(sample), *columns], names)
+
+    runs = rows.filter("fourcc = 'trun'").select("media_id", "box_index", "body")
+    return runs.mapInArrow(run, "media_id string, box_index int, sample long, duration long, size long, flags long, cts long")

@@ -41,6 +41,8 @@ def link_rows(playlists: DataFrame) -> DataFrame:
 
     ``playlists`` may have ``definitions_query``, the raw parameter that the viewer was called with.
     """
+    # The base is the playlist's own address as a url: worked out once for each, before its lines.
+    playlists = playlists.withColumn("base_url", urls.resolve(F.col("playlist_url"), F.lit("")))
     rows = state.definitions(state.scan(lex.with_attributes(lex.lines(playlists), *PLAYLIST_TAGS, state.MAP, state.PART, DATERANGE)))
     if "definitions_query" not in rows.columns:
         rows = rows.withColumn("definitions_query", F.lit(None).cast("string"))
@@ -57,8 +59,7 @@ def link_rows(playlists: DataFrame) -> DataFrame:
     rows = rows.withColumn("_l", F.explode(F.filter(found, lambda c: c["link_type"].isNotNull())))
     rows = rows.select("*", "_l.*", F.col("_id").alias("daterange_id")).drop("_l", "attrs", "_id", "_class", "_target")
     needs = F.col("link_type") != "SCTE35"
-    base = urls.resolve(F.col("playlist_url"), F.lit(""))
-    rows = rows.withColumns({"base_url": base, "resolved": urls.resolve(F.col("playlist_url"), F.when(needs, urls.replace_variables("text", "definitions")))})
+    rows = rows.withColumn("resolved", urls.resolve(F.col("playlist_url"), F.when(needs, urls.replace_variables("text", "definitions"))))
     sequence = (F.col("media_sequence"), "range_start", "range_end")
     kind = F.col("link_type")
     plain = (

@@ -1,11 +1,11 @@
 """The state of a playlist at each line as window columns: media sequence, part index, byte-range carries, definitions.
 
-All windows partition by ``playlist_url`` first, so that one exchange serves them all; a playlist is one partition's sort.
+All windows of the scan partition by ``playlist_url`` and order by ``line_no``: one exchange and one sort serve them all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.operators import lex
@@ -25,14 +25,14 @@ def _before(*more: str):
     return _over(*more).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _count(flag: str, window) -> Column:
-    return F.coalesce(F.sum(F.col(flag).cast("long")).over(window), F.lit(0))
-
-
 def scan(rows: DataFrame) -> DataFrame:
     """Adds to lines: is_media, media_sequence, part_index, range_start, range_end and error flags of empty ranges.
 
-    Ranges stand at the lines they belong to: segment uris, maps and parts. A range of length 0 is NULL, ``empty_range``.
+    Ranges stand at the lines they belong to: segment uris, maps and parts. A range of length 0 is NULL, ``empty_range``, and
+    so is one whose end is no 63-bit number.
+
+    Every state is a running sum, from a base that some lines set anew: at such a line the base is the value it sets less the
+    sum so far, and the state is the last base plus the sum. So all windows share one order, and a playlist is sorted once.
     """
     if "attrs" not in rows.columns:
         rows = lex.with_attributes(rows, MAP, PART)
@@ -40,42 +40,38 @@ def scan(rows: DataFrame) -> DataFrame:
     named = lambda name: tag & (F.col("tag_name") == name)
     seg_len, seg_off = lex.length_and_offset(F.col("value"))
     att_len, att_off = lex.length_and_offset(lex.first_quoted(F.col("attrs"), "BYTERANGE"))
-    sequence = lex.byte_count(F.col("value"))
+    ranged = tag & F.col("tag_name").isin(MAP, PART)
     rows = rows.withColumns({
         "_uri": F.col("kind") == "uri",
-        "_mseq": F.coalesce(named("-X-MEDIA-SEQUENCE") & sequence.isNotNull(), F.lit(False)),
-        "_mval": F.when(named("-X-MEDIA-SEQUENCE"), sequence),
-        "_br": F.coalesce(named("-X-BYTERANGE") & seg_len.isNotNull(), F.lit(False)),
+        "_mval": F.when(named("-X-MEDIA-SEQUENCE"), lex.byte_count(F.col("value"))),
         "_part": F.coalesce(named(PART), F.lit(False)),
         "_map": F.coalesce(named(MAP), F.lit(False)),
-        "_len": F.when(named("-X-BYTERANGE"), seg_len).when(tag & F.col("tag_name").isin(MAP, PART), att_len),
-        "_off": F.when(named("-X-BYTERANGE"), seg_off).when(tag & F.col("tag_name").isin(MAP, PART), att_off),
+        "_len": F.when(named("-X-BYTERANGE"), seg_len).when(ranged, att_len),
+        "_off": F.when(named("-X-BYTERANGE"), seg_off).when(ranged, att_off),
         "_media": F.coalesce(tag & F.col("tag_name").isin(*lex.MEDIA_TAGS), F.lit(False)),
+        "_br": F.coalesce(named("-X-BYTERANGE") & seg_len.isNotNull(), F.lit(False)),
     })
-    rows = rows.withColumns({"_before": _count("_uri", _before()), "_mgrp": _count("_mseq", _upto()), "is_media": F.max("_media").over(_upto())})
-    rows = rows.withColumns({
-        "media_sequence": F.coalesce(F.max("_mval").over(Window.partitionBy("playlist_url", "_mgrp")), F.lit(0)) + _count("_uri", _before("_mgrp")),
-        "part_index": _count("_part", _before("_before")),
-        "_nbr": _count("_br", _before("_before")),
-    })
-    part_range = F.col("_part") & F.col("_len").isNotNull()
+    rows = rows.withColumn("_pr", F.col("_part") & F.col("_len").isNotNull())
+    count = lambda flag: F.coalesce(F.count_if(F.col(flag)).over(_before()), F.lit(0))
+    total = lambda flag: F.coalesce(F.try_sum(F.when(F.col(flag), F.col("_len"))).over(_before()), F.lit(0))
+    rows = rows.withColumns({"_uris": count("_uri"), "_parts": count("_part"), "_brs": count("_br"), "_seglen": total("_br"), "_partlen": total("_pr"), "is_media": F.max("_media").over(_upto())})
+    last = lambda value, window: F.coalesce(F.last(value, ignorenulls=True).over(window), F.lit(0))
+    base = lambda flag, total: F.try_subtract(F.when(flag, F.coalesce("_off", F.lit(0))).otherwise(F.lit(0)), F.col(total))
+    part_anchor = (F.col("_pr") & F.col("_off").isNotNull()) | (F.col("_part") & ~F.col("_pr")) | F.col("_uri")
     rows = rows.withColumns({
-        "_sanchor": (F.col("_br") & F.col("_off").isNotNull()) | (F.col("_uri") & (F.col("_nbr") == 0)),
-        "_panchor": (part_range & F.col("_off").isNotNull()) | (F.col("_part") & ~part_range) | F.col("_uri"),
+        "media_sequence": F.try_add(last(F.try_subtract(F.col("_mval"), F.col("_uris")), _upto()), F.col("_uris")),
+        "part_index": F.col("_parts") - last(F.when(F.col("_uri"), F.col("_parts")), _before()),
+        "_nbr": F.col("_brs") - last(F.when(F.col("_uri"), F.col("_brs")), _before()),
+        "_pstart": F.try_add(last(F.when(part_anchor, base(F.col("_pr"), "_partlen")), _upto()), F.col("_partlen")),
     })
-    rows = rows.withColumns({"_sgrp": _count("_sanchor", _upto()), "_pgrp": _count("_panchor", _upto())})
-
-    def start(flag: Column, group: str) -> Column:
-        anchor = F.max(F.when(flag, F.col("_off"))).over(Window.partitionBy("playlist_url", group))
-        return F.coalesce(anchor, F.lit(0)) + F.coalesce(F.sum(F.when(flag, F.col("_len"))).over(_before(group)), F.lit(0))
-
-    rows = rows.withColumns({"_sstart": start(F.col("_br"), "_sgrp"), "_pstart": start(part_range, "_pgrp")})
-    last = F.max_by(F.struct(F.col("_sstart").alias("start"), F.col("_len").alias("length")), F.when(F.col("_br"), F.col("line_no"))).over(Window.partitionBy("playlist_url", "_before"))
-    own = F.struct(F.col("_pstart").alias("start"), F.col("_len").alias("length"))
-    mapped = F.struct(F.col("_off").alias("start"), F.col("_len").alias("length"))
-    rows = rows.withColumn("_range", F.when(F.col("_uri") & (F.col("_nbr") > 0), last).when(part_range, own).when(F.col("_map") & F.col("_off").isNotNull() & F.col("_len").isNotNull(), mapped))
-    some = F.col("_range.length") > 0
-    rows = rows.withColumns({"range_start": F.when(some, F.col("_range.start")), "range_end": F.when(some, F.col("_range.start") + F.col("_range.length") - 1), "empty_range": F.coalesce(F.col("_range.length") == 0, F.lit(False))})
+    seg_anchor = (F.col("_br") & F.col("_off").isNotNull()) | (F.col("_uri") & (F.col("_nbr") == 0))
+    rows = rows.withColumn("_sstart", F.try_add(last(F.when(seg_anchor, base(F.col("_br"), "_seglen")), _upto()), F.col("_seglen")))
+    pair = lambda start: F.struct(F.col(start).alias("start"), F.col("_len").alias("length"))
+    bound = F.last(F.when(F.col("_br"), pair("_sstart")), ignorenulls=True).over(_before())
+    mapped = F.col("_map") & F.col("_off").isNotNull() & F.col("_len").isNotNull()
+    rows = rows.withColumn("_range", F.when(F.col("_uri") & (F.col("_nbr") > 0), bound).when(F.col("_pr"), pair("_pstart")).when(mapped, pair("_off")))
+    end = F.when(F.col("_range.length") > 0, F.try_add(F.col("_range.start"), F.col("_range.length") - 1))
+    rows = rows.withColumns({"range_start": F.when(end.isNotNull(), F.col("_range.start")), "range_end": end, "empty_range": F.coalesce(F.col("_range.length") == 0, F.lit(False))})
     return rows.drop(*(c for c in rows.columns if c.startswith("_")))
 
 

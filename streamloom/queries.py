@@ -187,9 +187,9 @@ def context_roundtrip(spark, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     url = F.concat(F.lit("https://example.com/"), "l_partkey", F.lit(".mp4?a=1&b="), "l_suppkey", F.lit(",2"))
     span = (F.when(F.col("l_linestatus") == "O", F.col("l_partkey")), F.when(F.col("l_linestatus") == "O", F.col("l_partkey") + F.col("l_quantity").cast("bigint")))
-    kinds = {k: codec.encode_segment(k, url, F.col("l_orderkey"), *span, F.col("l_linenumber")) for k in ("SEGMENT", "MAP", "PART")}
-    encoded = F.when(F.col("l_returnflag") == "A", kinds["SEGMENT"]).when(F.col("l_returnflag") == "N", kinds["MAP"]).otherwise(kinds["PART"])
-    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", encoded.alias("e")).withColumn("d", codec.percent_decode("e"))
+    kinds = {k: codec.segment_context(k, url, F.col("l_orderkey"), *span, F.col("l_linenumber")) for k in ("SEGMENT", "MAP", "PART")}
+    plain = F.when(F.col("l_returnflag") == "A", kinds["SEGMENT"]).when(F.col("l_returnflag") == "N", kinds["MAP"]).otherwise(kinds["PART"])
+    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", plain.alias("p")).withColumn("e", codec.percent_encode("p")).withColumn("d", codec.percent_decode("e"))
     rows = codec.decode_contexts(rows, "d", "c")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "c.context_type", "c.url", F.col("c.media_sequence").cast("bigint").alias("media_sequence"), "c.part_index", F.col("c.range_start").cast("bigint").alias("range_start"), F.col("c.range_end").cast("bigint").alias("range_end"))
 
