@@ -7,7 +7,11 @@ places are folded into one table for speed. Window logits are averaged by the by
 Training takes a bounded sample (``MAX_TEXTS`` texts, smallest hashes of their ids, ``SAMPLE_CHARS`` characters of each
 from a hashed place) of rows with a language whose crc32(doc_id as text) mod 5 is not 0. Prediction covers whole texts.
 Null texts and texts without a letter are ``und`` with score 0; so is all if nothing could be learned. Ties go to the
-language that sorts first. Other columns are kept; the new names evade theirs.
+language that sorts first. Repeated rows are told each; an empty table gives none. Windows pass the network ``CHUNK`` at a
+time, whatever a text's length. Other columns are kept, and columns that have the new names are replaced.
+
+The network has an output for each language, so their number is bounded: beyond ``MAX_LANGUAGES`` different values, the most
+frequent are learned, and texts of the others are told as one of these.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from streamloom.llm.common import byte_spans, column, free_name, held_out, map_arrow, plus, slices, table
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-MAX_TEXTS, MAX_LANGUAGES, SAMPLE_CHARS = 6000, 200, 600
+MAX_TEXTS, MAX_LANGUAGES, SAMPLE_CHARS = 6000, 2000, 600
 UNKNOWN = "und"
 #: Updates that training makes at least.
 LEAST_STEPS = 400
@@ -157,7 +161,8 @@ def train(docs: DataFrame) -> ByteCNN | None:
 
 
 def identify(df: DataFrame, net: ByteCNN | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """``df`` with each whole text's language and its probability."""
+    """``df`` with each whole text's language and its probability, in place of any columns of these names."""
+    df = df.drop(lang_name, score_name)
     shipped, keep = df.sparkSession.sparkContext.broadcast(net), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

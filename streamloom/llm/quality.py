@@ -1,14 +1,19 @@
 """Quality classifier by positive-unlabelled learning: non-negative unbiased risk, a linear scorer in numpy.
 
-Positives are texts marked 1; the unlabelled are texts at large, whatever their marks; the class prior is the share of
-marks 1 in the labelled rows. The risk is ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``; while the bracket is
-negative, the step goes the other way. Features: square roots of the frequencies of byte classes and of pairs of them,
-and the share of words that equal the word before, over the whole text.
+Positives are texts marked 1; the unlabelled are texts at large, whatever their marks; marks 0 are never read. The class
+prior is estimated from these two alone: a first scorer ranks both, and since every positive is among the unlabelled too,
+the share of the unlabelled above any bound is at least the prior times the share of the positives above it. The least such
+ratio over bounds that hold enough positives is the estimate. The risk is
+``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``; while the bracket is negative, the step goes the other way. Features:
+square roots of the frequencies of byte classes and of pairs of them, and the share of words that equal the word before,
+over the whole text.
 
 Training reads a bounded sample (``MAX_POSITIVE``, ``MAX_UNLABELLED`` rows, smallest hashes of their ids), only of rows
-whose crc32(doc_id as text) mod 5 is not 0. Scoring covers every whole text. Null or empty texts have no features and
-get the score of the bias; null ids never train. Ties: none. With no positives or no unlabelled rows every score is
-0.5. Repeated label rows of a document count once (the largest mark). Other columns are kept; the score's name evades theirs.
+whose crc32(doc_id as text) mod 5 is not 0. Scoring covers every whole text, piece by piece (``PIECE`` bytes), so that a very
+long one takes no more memory than its words' hashes. Null or empty texts have no features and get the score of the bias;
+null ids never train. Ties of hashes go by id. With no positives or no unlabelled rows every score is 0.5; an empty table
+gives none. Repeated label rows of a document count once (the largest mark); repeated rows are scored each. Other columns
+are kept, and a column that has the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from streamloom.llm.words import word_hashes
 
 MAX_POSITIVE, MAX_UNLABELLED = 2500, 5000
 THRESHOLD = 0.3
+#: Bytes whose pairs are counted at a time.
+PIECE = 4 << 20
 KINDS = 24
 SIZE = KINDS + KINDS * KINDS + 1
 
@@ -47,13 +54,17 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(raw):
         return out
     length = np.diff(offsets)
-    row = np.repeat(np.arange(n, dtype=np.int32), length)  # a slice's counters fit: rows * 576 stays far below 2^31
-    kind = KIND[raw].astype(np.int32)
     per = np.maximum(length, 1)[:, None]
-    out[:, :KINDS] = np.sqrt(np.bincount(row * KINDS + kind, minlength=n * KINDS).reshape(n, KINDS) / per)
-    same = row[1:] == row[:-1]
-    pair = row[1:][same] * (KINDS * KINDS) + kind[:-1][same] * KINDS + kind[1:][same]
-    out[:, KINDS:-1] = np.sqrt(np.bincount(pair, minlength=n * KINDS * KINDS).reshape(n, -1) / per)
+    single, pairs = np.zeros(n * KINDS, np.int64), np.zeros(n * KINDS * KINDS, np.int64)
+    for at in range(0, len(raw), PIECE):
+        end = min(at + PIECE + 1, len(raw))  # one byte more, for the pair across
+        row = np.searchsorted(offsets, np.arange(at, end), "right") - 1
+        kind = KIND[raw[at:end]].astype(np.int64)
+        single += np.bincount((row * KINDS + kind)[:PIECE], minlength=len(single))
+        same = row[1:] == row[:-1]
+        pairs += np.bincount((row[1:] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:])[same], minlength=len(pairs))
+    out[:, :KINDS] = np.sqrt(single.reshape(n, KINDS) / per)
+    out[:, KINDS:-1] = np.sqrt(pairs.reshape(n, -1) / per)
     h, of = word_hashes(raw, offsets)
     again = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
     out[:, -1] = np.sqrt(np.bincount(of[1:][again], minlength=n) / np.maximum(np.bincount(of, minlength=n), 1))
@@ -72,7 +83,7 @@ class Scorer:
         return sigmoid((x - self.mean) / self.scale @ self.weight + self.bias)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1200, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Scorer:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 3000, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Scorer:
     """Adam on the non-negative risk with the sigmoid loss."""
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 0.02
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
@@ -92,6 +103,25 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return Scorer(mean.astype(np.float32), scale.astype(np.float32), w[:-1].astype(np.float32), float(w[-1]))
 
 
+#: The least share of the positives that a bound of the prior's estimate must hold.
+LEAST_SHARE = 0.25
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, as far as the ranking of a first scorer tells them apart."""
+    first = fit_nnpu(positive[::2], unlabelled[::2], 0.5, steps=600)
+    p, u = np.sort(first(positive[1::2])), np.sort(first(unlabelled[1::2]))
+    if not len(p) or not len(u):
+        return 0.5
+    bounds = np.unique(np.quantile(p, np.linspace(0, 1 - LEAST_SHARE, 96)))
+    above = lambda x: 1 - np.searchsorted(x, bounds) / len(x)
+    share_p, share_u = above(p), (above(u) * len(u) + 0.5) / (len(u) + 1)
+    ratio = share_u / np.maximum(share_p, LEAST_SHARE)
+    # One standard error more keeps a chance gap among the unlabelled from passing for the prior.
+    error = ratio * np.sqrt((1 - share_u) / (len(u) * share_u) + (1 - share_p) / (len(p) * np.maximum(share_p, LEAST_SHARE)))
+    return float(np.clip(np.min(ratio + error), 0.01, 0.99))
+
+
 def _feature_rows(df: DataFrame) -> DataFrame:
     """(part, x binary): float32 features of (part, text) rows, made where the texts are."""
 
@@ -111,21 +141,21 @@ def _smallest(ids: DataFrame, n: int, most: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     """A scorer from a bounded sample of the training folds; None if a part of it is empty."""
-    marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    prior, n_trusted = marks.agg(F.avg(F.col("quality").cast("double")), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
+    marks = labels.filter("quality = 1 AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).select("doc_id").distinct()
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    trusted = _smallest(marks.filter("quality = 1").select("doc_id"), n_trusted, MAX_POSITIVE).select("doc_id", F.lit(1).alias("part"))
+    trusted = _smallest(marks, marks.count(), MAX_POSITIVE).select("doc_id", F.lit(1).alias("part"))
     web = _smallest(ids, ids.count(), MAX_UNLABELLED).select("doc_id", F.lit(0).alias("part"))
     # Both lists are bounded by the limits above, so they are broadcast.
     chosen = docs.sparkSession.createDataFrame([tuple(r) for part in (trusted, web) for r in part.collect()], "doc_id long, part int").distinct()
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = _feature_rows(sample).collect()
     parts = [np.frombuffer(b"".join(sorted(bytes(r.x) for r in rows if r.part == k)), np.float32).reshape(-1, SIZE) for k in (1, 0)]
-    return fit_nnpu(parts[0], parts[1], min(max(prior, 0.01), 0.99)) if all(map(len, parts)) else None
+    return fit_nnpu(parts[0], parts[1], estimate_prior(parts[0], parts[1])) if all(map(len, parts)) else None
 
 
 def score(df: DataFrame, scorer: Scorer | None, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``df`` with each whole text's score, 0 to 1."""
+    """``df`` with each whole text's score, 0 to 1, in place of any column of that name."""
+    df = df.drop(name)
     shipped, keep = df.sparkSession.sparkContext.broadcast(scorer), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
