@@ -41,14 +41,19 @@ def lossy_utf8(data) -> Column:
     return F.make_valid_utf8(_col(data).cast("string"))
 
 
+def _decoded_bytes(value: Column) -> Column:
+    """The bytes of a text with escapes; broken ones stand for themselves."""
+    tokens = F.regexp_extract_all(value, F.lit(r"(?s)%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
+    as_hex = F.transform(tokens, lambda t: F.when((F.length(t) == 3) & t.startswith("%") & t.rlike("^%[0-9A-Fa-f]{2}$"), F.substring(t, 2, 2)).otherwise(F.hex(F.encode(t, "UTF-8"))))
+    return F.unhex(F.array_join(as_hex, ""))
+
+
 def percent_decode(value) -> Column:
     """Valid escapes become bytes, ``+`` and broken escapes stay, bytes that are no UTF-8 become U+FFFD."""
     value = _col(value)
-    tokens = F.regexp_extract_all(value, F.lit(r"(?s)%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
-    as_hex = F.transform(tokens, lambda t: F.when((F.length(t) == 3) & t.startswith("%") & t.rlike("^%[0-9A-Fa-f]{2}$"), F.substring(t, 2, 2)).otherwise(F.hex(F.encode(t, "UTF-8"))))
     # Form decoding is right if nothing is broken: it gives NULL for bad escapes and U+FFFD for bytes that are no UTF-8.
     form = F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
-    slow = lossy_utf8(F.unhex(F.array_join(as_hex, "")))
+    slow = lossy_utf8(_decoded_bytes(value))
     return F.when(~value.contains("%"), value).when(~value.rlike("%(?![0-7][0-9A-Fa-f])"), form).when(F.coalesce(~form.contains("\ufffd"), F.lit(False)), form).otherwise(slow)
 
 
@@ -185,7 +190,7 @@ def decode_contexts(df: DataFrame, source: str, out: str = "context") -> DataFra
     return df.select(*(k for k in keep if k != out), context.alias(out))
 
 
-#: Error code -> text.
+#: Error code -> text.
 CONTEXT_ERRORS = {
     "UnknownContextType": "unknown context type",
     "EmptyContextValue": "context contained no value after type declaration",
@@ -221,4 +226,6 @@ def decode_definitions(query_value) -> Column:
     def last_of_each(entries: Column) -> Column:
         return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["name"] == e["name"])))
 
-    return let(percent_decode(query_value), lambda once: F.when(~once.contains("\ufffd"), read(once)))
+    value = _col(query_value)
+    sound = ~value.contains("%") | F.is_valid_utf8(_decoded_bytes(value).cast("string"))
+    return F.when(sound, let(percent_decode(value), read))

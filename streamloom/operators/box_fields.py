@@ -35,6 +35,10 @@ class Malformed(ValueError):
     pass
 
 
+class TooMany(Malformed):
+    """More entries than a reader takes."""
+
+
 class Reader:
     """Big-endian numbers and bit fields; reading past the end is an error."""
 
@@ -163,7 +167,7 @@ def read_layout(layout: str, r: Reader) -> Fields:
     return out
 
 
-#: FourCC -> (name, layout) of boxes of fixed shape.
+#: FourCC -> (name, layout) of boxes of fixed shape.
 FIXED: dict[str, tuple[str, str]] = {
     "blin": ("StereoCameraSystemBaselineBox", "F baseline_value:u32"),
     "btrt": ("BitRateBox", "buffer_size_db:u32 max_bitrate:u32 avg_bitrate:u32"),
@@ -669,20 +673,20 @@ def _tenc(r):
     return out + ([("default_crypt_byte_block", crypt), ("default_skip_byte_block", skip)] if version else [])
 
 
-#: Limits that a sample encryption box must keep.
+#: Limits that a sample encryption box must keep.
 MOST_SAMPLES = MOST_SUBSAMPLES = 4096
 
 
-def sample_encryption(body: bytes, iv_size: int | None = None) -> list[tuple[str, list[tuple[int, int]]]]:
+def sample_encryption(body: bytes, iv_size: int | None = None, most_samples: int = MOST_SAMPLES, most_subsamples: int = MOST_SUBSAMPLES) -> list[tuple[str, list[tuple[int, int]]]]:
     """(iv, [(clear, protected)]) of each sample. Without a known IV size, 0, 8 and 16 are tried for an exact fit."""
     r = Reader(body)
     _, flags = r.full()
     count = r.u(4)
-    if count > MOST_SAMPLES:
-        raise Malformed(f"{count} samples; at most {MOST_SAMPLES} are read")
+    if count > most_samples:
+        raise TooMany(f"{count} samples; at most {most_samples} are read")
     if not count:
         return []
-    start = r.bit
+    start, crowded = r.bit, None
     if not flags & 2:
         sizes = [iv_size] if iv_size is not None else [r.left // count] if r.left % count == 0 else []
     else:
@@ -697,21 +701,26 @@ def sample_encryption(body: bytes, iv_size: int | None = None) -> list[tuple[str
                 parts = []
                 if flags & 2:
                     n = r.u(2)
-                    if n > MOST_SUBSAMPLES:
-                        raise Malformed(f"{n} subsamples")
+                    if n > most_subsamples:
+                        raise TooMany(f"{n} subsamples; at most {most_subsamples} are read")
                     parts = [(r.u(2), r.u(4)) for _ in range(n)]
                 out.append((f"0x{iv.hex()}" if iv else "", parts))
+        except TooMany as e:
+            crowded = e  # unless another size fits
+            continue
         except Malformed:
             continue
         if not r.left:
             return out
-    raise Malformed("Unsupported size")
+    raise crowded or Malformed("Unsupported size")
 
 
 @box("senc", "SampleEncryptionBox")
 def _senc(r):
     try:
         samples = sample_encryption(r.rest())
+    except TooMany:
+        raise
     except Malformed:
         return [("IV", "Unsupported size")]
     if not samples:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from streamloom.operators.box_fields import FIXED, VARIABLE, Malformed, Mask, Reader, Table, describe, render
 from streamloom.operators.drm import BadHeader
 
-#: FourCC -> name of boxes that only hold boxes.
+# Fixed values, down to ``AUDIO``: FourCC -> name of boxes that only hold boxes, then of sample entries.
 CONTAINERS = {
     "meta": "MetaBox", "iprp": "ItemPropertiesBox", "ipco": "ItemPropertyContainerBox", "ilst": "MetadataItemList", "moov": "MovieBox", "udta": "UserDataBox", "trak": "TrackBox", "mdia": "MediaBox",
     "minf": "MediaInformationBox", "stbl": "SampleTableBox", "stsd": "SampleDescriptionBox", "dinf": "DataInformationBox", "edts": "EditBox", "mvex": "MovieExtendsBox", "moof": "MovieFragmentBox", "traf": "TrackFragmentBox",

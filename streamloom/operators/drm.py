@@ -70,23 +70,23 @@ def with_system_name(df: DataFrame, system_col: str = "system_id") -> DataFrame:
     return joined.withColumn("system_ref", F.coalesce("system_name", codec.lossy_utf8(system_col))).drop("_hex", "system_hex", "system_name")
 
 
-def parse_pssh(body: bytes) -> dict[str, Any]:
+def parse_pssh(body: bytes, most_keys: int = MOST_KEYS, most_data: int = MOST_DATA) -> dict[str, Any]:
     """system_id, key_ids and data of a box body (version and flags first)."""
     if len(body) < 24:
         raise BadHeader("header is cut off")
     version, system, at, keys = body[0], body[4:20], 20, []
     if version:
         (count,) = struct.unpack_from(">I", body, at)
-        if count > MOST_KEYS:
-            raise BadHeader(f"{count} key ids; at most {MOST_KEYS} are read")
+        if count > most_keys:
+            raise BadHeader(f"{count} key ids; at most {most_keys} are read")
         at += 4
         keys = [body[at + 16 * k : at + 16 * k + 16] for k in range(count)]
         at += 16 * count
     if at + 4 > len(body):
         raise BadHeader("header is cut off")
     (size,) = struct.unpack_from(">I", body, at)
-    if size > MOST_DATA:
-        raise BadHeader(f"{size} bytes of data; at most {MOST_DATA} are read")
+    if size > most_data:
+        raise BadHeader(f"{size} bytes of data; at most {most_data} are read")
     if at + 4 + size > len(body):
         raise BadHeader("data is cut off")
     return {"system_id": system, "key_ids": keys, "data": body[at + 4 : at + 4 + size]}

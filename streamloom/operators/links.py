@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from streamloom.functions import codec, urls
 from streamloom.operators import lex, state
 
+# Tags, attributes and classes of the playlist format.
 PLAYLIST_TAGS = ("-X-MEDIA", "-X-I-FRAME-STREAM-INF", "-X-IMAGE-STREAM-INF")
 DATERANGE = "-X-DATERANGE"
 LINK_ATTRIBUTES = ("SCTE35-OUT", "SCTE35-IN", "SCTE35-CMD", "X-ASSET-URI", "X-ASSET-LIST", "X-URI")

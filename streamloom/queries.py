@@ -64,13 +64,13 @@ def playlist_parts(spark, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS raw FROM documents WHERE text <> '')
+WITH l AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\r?\\n')) AS raw FROM documents)
 SELECT doc_id, count(*) FILTER (WHERE raw = '') AS n_blank, count(*) FILTER (WHERE raw LIKE '#EXT%') AS n_tag, count(*) FILTER (WHERE raw LIKE '#%' AND raw NOT LIKE '#EXT%') AS n_comment,
        count(*) FILTER (WHERE raw <> '' AND raw NOT LIKE '#%') AS n_uri FROM l GROUP BY doc_id
 """)
 def line_classes(spark, sf_dir: str) -> DataFrame:
     """Kinds of the lines of every document, read as the body of a playlist."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("playlist_url"), F.concat(F.lit("#EXTM3U\n"), "text").alias("body")).filter("body <> '#EXTM3U\n'")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("playlist_url"), F.concat(F.lit("#EXTM3U\n"), F.coalesce("text", F.lit(""))).alias("body"))
     kind = lambda k: F.sum((F.col("kind") == k).cast("bigint"))
     rows = lex.lines(docs).groupBy("playlist_url").agg(kind("blank").alias("n_blank"), (kind("tag") - 1).alias("n_tag"), kind("comment").alias("n_comment"), kind("uri").alias("n_uri"))
     return rows.withColumnRenamed("playlist_url", "doc_id")
@@ -203,10 +203,10 @@ def definitions_roundtrip(spark, sf_dir: str) -> DataFrame:
     return back.select("c_custkey", F.try_element_at("m", F.lit("name")).alias("name"), F.try_element_at("m", F.lit("# <seg>&")).alias("segment"))
 
 
-@query("SELECT page_id, url FROM pages WHERE url IS NOT NULL")
+@query("SELECT page_id, url FROM pages")
 def variables(spark, sf_dir: str) -> DataFrame:
     """Urls with host and path as variables, put together again."""
-    p = table(spark, sf_dir, "pages").filter("url IS NOT NULL")
+    p = table(spark, sf_dir, "pages")
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
     pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
     text = F.when(host != "", F.replace("url", host, F.lit("{$HOST}"))).otherwise(F.col("url"))
@@ -411,11 +411,13 @@ def sample_encryption(spark, sf_dir: str) -> DataFrame:
     return rows.select(F.col("media_id").cast("bigint").alias("o_orderkey"), F.substring(F.col("rows")[0][1], 3, 16).alias("iv"), F.col("rows")[1][1].alias("clear_and_protected"))
 
 
-@query("SELECT p_partkey, lower(lpad(hex(p_partkey), 32, '0')) AS key_id, 'Widevine Content Protection' AS system_ref, lower(hex(encode(p_name))) AS content_key FROM part WHERE octet_length(encode(p_name)) < 128")
+@query("SELECT p_partkey, lower(lpad(hex(p_partkey), 32, '0')) AS key_id, 'Widevine Content Protection' AS system_ref, lower(hex(encode(p_name))) AS content_key FROM part")
 def protection_headers(spark, sf_dir: str) -> DataFrame:
     """A Widevine header per part: its key id, and the name carried as a key id of the message."""
-    p = table(spark, sf_dir, "part").filter(F.octet_length("p_name") < 128)
-    message = F.concat(raw("12"), be(F.octet_length("p_name"), 1), F.encode("p_name", "UTF-8"))
+    p, size = table(spark, sf_dir, "part"), F.octet_length("p_name")
+    # A length is written seven bits a byte, the lowest first; names of up to 2^14 bytes need two.
+    length = F.when(size < 128, be(size, 1)).otherwise(F.concat(be(size % 128 + 128, 1), be(F.shiftright(size, 7), 1)))
+    message = F.concat(raw("12"), length, F.encode("p_name", "UTF-8"))
     body = F.concat(raw("01000000"), raw(drm.WIDEVINE.hex()), be(1, 4), be("p_partkey", 16), be(F.length(message), 4), message)
     rows = boxes.box_properties(p.select(F.col("p_partkey").cast("string").alias("media_id"), box("pssh", body).alias("content")))
     value = lambda key, c: F.first(F.when(F.col("key") == key, c), ignorenulls=True)
