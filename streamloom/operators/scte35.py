@@ -244,6 +244,26 @@ def scte35_json(message: pd.Series) -> pd.Series:
     return message.map(lambda m: show(decode_text(m)))
 
 
+@lazy_udf("decoded string, error string")
+def scte35_shown(message: pd.Series) -> pd.DataFrame:
+    """The decoded message as indented JSON, or why it cannot be decoded."""
+    got = [decode_text(m) or {} for m in message]
+    return pd.DataFrame({"decoded": [json.dumps(g, indent=2) if g and "error" not in g else None for g in got], "error": [g.get("error") for g in got]}, dtype=object)
+
+
+def table(contexts: DataFrame) -> DataFrame:
+    """Adds id, type, decoded, error and detail to rows with daterange_id, command_type and message: what is shown of a message."""
+    rows = contexts.drop("error").withColumn("_shown", scte35_shown(F.col("message")))
+    why = F.col("_shown.error")
+    return rows.withColumns({
+        "id": F.col("daterange_id"),
+        "type": F.concat(F.lit("SCTE35-"), "command_type"),
+        "decoded": F.col("_shown.decoded"),
+        "error": F.when(why.startswith("Hex"), "Error reading hex string").when(why.isNotNull(), "Error parsing SCTE35 data"),
+        "detail": why,
+    }).drop("_shown")
+
+
 def messages(contexts: DataFrame) -> DataFrame:
     """Adds the decoded ``splice`` to rows with daterange_id, command_type and message."""
     return contexts.withColumn("splice", scte35_decode(F.col("message")))

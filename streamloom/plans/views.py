@@ -104,7 +104,7 @@ def media_boxes(responses: DataFrame) -> DataFrame:
 
 
 def scte35_view(contexts: DataFrame) -> DataFrame:
-    return scte35.messages(contexts)
+    return scte35.table(contexts)
 
 
 def asset_list_view(responses: DataFrame, json_col: str = "json") -> DataFrame:

@@ -172,7 +172,7 @@ def asset_ranges(spark, sf_dir: str) -> DataFrame:
     tag = F.concat(
         F.lit("#EXT-X-DATERANGE:"),
         F.when(F.col("k") % 4 != 0, text('ID="d', F.col("k"), '",')).otherwise(""),
-        text('X-ASSET-URI="ad/', F.col("k"), '.m3u8",X-ASSET-LIST="list?n=', F.col("k"), '",SCTE35-IN=0xFC01,SCTE35-CMD="0xFC', F.col("k"), '"'),
+        text(f'CLASS="{links.SCHEDULE}",X-URI="s', F.col("k"), '",X-ASSET-URI="ad/', F.col("k"), '.m3u8",X-ASSET-LIST="list?n=', F.col("k"), '",SCTE35-IN=0xFC01,SCTE35-CMD="0xFC', F.col("k"), '"'),
     )
     return synth.bodies(o.select(text(HLS, F.col("c"), "/live.m3u8").alias("playlist_url"), F.col("k").alias("ord"), F.array(tag).alias("lines")))
 
@@ -183,6 +183,7 @@ b AS (SELECT *, k % 4 <> 0 AS has_id, '?playlist_url=https://example.com/hls/' |
 l AS (
   SELECT c, k, line_no, 'X-ASSET-URI' AS attribute, 'PLAYLIST' AS link_type, '?playlist_url=https://example.com/hls/' || c || '/ad/' || k || '.m3u8' AS href FROM b
   UNION ALL SELECT c, k, line_no, 'X-ASSET-LIST', 'ASSET_LIST', head || 'ASSET_LIST,d' || k || '%22https://example.com/hls/' || c || '/list?n%3D' || k FROM b WHERE has_id
+  UNION ALL SELECT c, k, line_no, 'X-URI', 'DATERANGE_SCHEDULE', head || 'DATERANGE_SCHEDULE,d' || k || '%22https://example.com/hls/' || c || '/s' || k FROM b WHERE has_id
   UNION ALL SELECT c, k, line_no, 'SCTE35-IN', 'SCTE35', head || 'SCTE35,IN,d' || k || '%220xFC01' FROM b WHERE has_id
   UNION ALL SELECT c, k, line_no, 'SCTE35-CMD', 'SCTE35', head || 'SCTE35,CMD,d' || k || '%220xFC' || k FROM b WHERE has_id)
 """
@@ -410,9 +411,46 @@ def url_join_shapes(spark, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", urls.resolve(base, pick(1)).alias("resolved"))
 
 
+@query("""
+SELECT p_partkey, [true, false, true, false, true, true, false, false][p_partkey % 8 + 1] AS probed, [true, false, true, false, false, true, false, false][p_partkey % 8 + 1] AS is_mp4 FROM part
+""")
+def mp4_probes(spark, sf_dir: str) -> DataFrame:
+    """Which bodies pass for media: brands that can be read, a fragment on sight, and boxes before them, read into or passed over."""
+    fine, odd, fragment = box("ftyp", content("'isom' 1:4 'iso5'")), box("ftyp", content("'isom' 1:4 'iso'")), box("moof", content("#00"))
+    hidden, behind = box("free", fragment), F.concat(box("free", content("")), fragment)
+    cases = [fine, odd, fragment, box("mdat", content("#0000")), hidden, behind, content("#00000008"), content("")]
+    p = table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*cases), (F.col("p_partkey") % 8).cast("int")).alias("c"))
+    return p.select("p_partkey", classify.is_mp4_probe(F.col("c")).alias("probed"), classify.is_mp4(F.col("c")).alias("is_mp4"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 < 2 THEN 200 END AS status, CASE WHEN event_id % 3 < 2 THEN 0 END AS n_bytes, CASE WHEN event_id % 3 = 2 THEN 'TypeError: no http address: blob:' || user_id END AS error FROM events
+""")
+def fetches_without_request(spark, sf_dir: str) -> DataFrame:
+    """An empty address is an empty answer; one that no request can go to is an error. Neither is asked for."""
+    url = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 2, text("blob:", F.col("user_id")))
+    rows = readers.fetch(table(spark, sf_dir, "events").select("event_id", url.alias("url")))
+    return rows.select("event_id", "status", F.length("content").alias("n_bytes"), F.col("fetch_error.error").alias("error"))
+
+
 # --- messages and headers
 
 
+@query("""
+SELECT o_orderkey, 'd' || o_orderkey AS id, 'SCTE35-' || ['OUT', 'IN', 'CMD'][o_orderkey % 3 + 1] AS type, CASE WHEN o_orderkey % 4 = 3 THEN '0xFC3' ELSE '0xFC301100000000000000FFFFFF0000004F253396' END AS message,
+  CASE WHEN o_orderkey % 4 <> 3 THEN 'splice_null' END AS decoded_command, CASE WHEN o_orderkey % 4 <> 3 THEN true END AS crc_ok, CASE WHEN o_orderkey % 4 = 3 THEN 'Error reading hex string' END AS error FROM orders
+""")
+def splice_tables(spark, sf_dir: str) -> DataFrame:
+    """Requests for splice messages as the table that is shown: id, type, message, and the message decoded."""
+    k = F.col("o_orderkey")
+    kind = F.get(F.array(*map(F.lit, ("OUT", "IN", "CMD"))), (k % 3).cast("int"))
+    # A published example of a message: splice_null with its checksum.
+    message = F.when(k % 4 == 3, "0xFC3").otherwise("0xFC301100000000000000FFFFFF0000004F253396")
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", text("SCTE35,", kind, ",d", k, '"', message).alias("asked"))
+    rows = views.scte35_view(codec.decode_contexts(asked, "asked").select("o_orderkey", "context.*"))
+    return rows.select("o_orderkey", "id", "type", "message", F.get_json_object("decoded", "$.command").alias("decoded_command"), (F.get_json_object("decoded", "$.crc_ok") == "true").alias("crc_ok"), "error")
+
+
 @query("""
 SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'splice_insert' WHEN 1 THEN 'splice_schedule' WHEN 2 THEN 'time_signal' WHEN 3 THEN 'private_command' END AS command,
   CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey END AS splice_event_id, CASE o_orderkey % 6 WHEN 0 THEN o_orderkey * 3 WHEN 2 THEN 8589934591 END AS pts_time, CASE WHEN o_orderkey % 6 = 0 THEN o_custkey END AS break_duration,
