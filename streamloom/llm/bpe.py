@@ -24,6 +24,7 @@ from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +32,17 @@ from streamloom.llm.common import column, map_arrow, slices, table
 
 #: A tokenizer file larger than this is refused rather than broadcast.
 MAX_FILE_BYTES = 64 << 20
-#: Runs and words that a Python worker's stores remember in each of two generations (some 60 MB), and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+#: Runs and words that a Python worker's stores remember in each of two generations (some 30 MB), and the longest of them.
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 64
+#: Bytes of text that are encoded at a time: the more, the more often a run's ids are found with its first one.
+TEXT_BYTES = 8 << 20
 #: Fragments of more bytes than this are merged with a heap.
 LONG = 40
 #: The rank of pairs that do not merge.
 NEVER = np.int64(1 << 62)
 #: Texts of these characters need no library normaliser: they are composed already, and their classes never changed.
-SIMPLE = re.compile("[\\t\\n\\r\\x20-\\x7e\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u017e\\u2013\\u2014\\u2018-\\u201e\\u2026]*")
+SIMPLE_CHARS = "\\t\\n\\r\\x20-\\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e\u2013\u2014\u2018-\u201e\u2026"
+SIMPLE, SIMPLE_PATTERN = re.compile(f"[{SIMPLE_CHARS}]*"), f"^[{SIMPLE_CHARS}]*$"
 #: The word pattern of the file, and the same over SIMPLE texts in terms of the standard library.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SIMPLE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -251,14 +255,40 @@ class ForcedBoundaryBPE:
         made |= {r: ids_of[r[1:]] if r[1] != " " else np.int32(self.special[r[2:]]).tobytes() for r in marked}
         return ids_of | made
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        runs = [self._runs(t) for t in texts]
-        ids_of = self.store.take(set(chain.from_iterable(runs)), self._learn).__getitem__
-        return [np.frombuffer(b"".join(map(ids_of, r)), np.int32) for r in runs]
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array (null: none)."""
+        texts = pc.fill_null(texts, "")
+        simple = pc.match_substring_regex(texts, SIMPLE_PATTERN).to_numpy(zero_copy_only=False)
+        if self.specials is not None:
+            for k in np.flatnonzero(pc.match_substring(texts, "<").to_numpy(zero_copy_only=False) & simple).tolist():
+                simple[k] = not self.specials.search(texts[k].as_py())
+        out: list = [None] * len(texts)
+        # Simple texts are cut, and their distinct runs found, by Arrow: no run becomes an object of its own.
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pa.array(simple))))
+        runs = lists.flatten().dictionary_encode()
+        names, code = runs.dictionary.to_pylist(), runs.indices.to_numpy()
+        ids_of = self.store.take(set(names).difference([""]), self._learn)
+        ids_of[""] = b""  # what stands beside outer white space
+        found = list(map(ids_of.__getitem__, names))
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, begin = np.frombuffer(b"".join(found), np.int32), np.cumsum(length) - length
+        each = length[code]
+        ends = np.cumsum(each)
+        flat = pool[np.repeat(begin[code] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(lists).to_numpy())].tolist()
+        at = 0
+        for k, end in zip(np.flatnonzero(simple).tolist(), upto, strict=True):
+            out[k], at = flat[at:end], end
+        if len(upto) < len(out):
+            odd = [k for k, v in enumerate(out) if v is None]
+            parts = [self._runs(texts[k].as_py()) for k in odd]
+            ids_of = self.store.take(set(chain.from_iterable(parts)), self._learn).__getitem__
+            for k, part in zip(odd, parts, strict=True):
+                out[k] = np.frombuffer(b"".join(map(ids_of, part)), np.int32)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text]))[0]
 
     def decode(self, ids) -> str:
         """Tokens joined by one space, special ones kept; ids outside the vocabulary give nothing."""
@@ -306,8 +336,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec.value)
-        for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([column(b, "id"), _lists(codec.encode_all([t or "" for t in column(b, "text").to_pylist()]))], ["id", "ids"])
+        for b in slices(batches, "text", TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([column(b, "id"), _lists(codec.encode_all(column(b, "text")))], ["id", "ids"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
@@ -319,8 +349,8 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec.value)
-        for b in slices(batches, "text"):
-            ids = codec.encode_all([t or "" for t in column(b, "text").to_pylist()])
+        for b in slices(batches, "text", TEXT_BYTES):
+            ids = codec.encode_all(column(b, "text"))
             yield pa.RecordBatch.from_arrays([column(b, "id"), _lists(ids), pa.array([codec.decode(i) for i in ids], pa.string())], ["id", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -7,9 +7,11 @@ Every task packs its own documents in buffers of ``BUFFER_TOKENS`` ids, so nothi
 A row holds its padded ids and the position of each id in its piece as little-endian 16-bit numbers (a row of the packed
 matrices), the cumulative lengths of its segments, and where each segment came from: document, offset in it, length.
 
-Null and empty texts have no ids and stand in no row. Repeated rows are packed each. Ties of length go by order of
-arrival. A very long text fills rows of its own and one remainder. An empty table gives no rows; other columns are not
-read. Row ids are unique in a run; the same input split alike gives the same rows.
+Null and empty texts have no ids and stand in no row; a text without an id is packed, its segments' document is null.
+Repeated rows are packed each. Ties of length go by order of arrival. A very long text is held whole once, as any row of a
+table is, fills rows of its own and leaves one remainder; buffers are emptied behind it. An empty table gives no rows; other
+columns are not read. Row ids are unique in a run; the same input split alike gives the same rows. Vocabularies of more than
+65,536 ids are refused.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm.bpe import _codec, _shipped, default_path
+from streamloom.llm.bpe import TEXT_BYTES, _codec, _shipped, default_path
 from streamloom.llm.common import column, map_arrow, slices, table
 
 ROW_TOKENS, BUFFER_TOKENS, PAD = 2048, 2 << 20, 49407
@@ -103,8 +105,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
         codec, made, held, pieces = _codec(spec.value), TaskContext.get().partitionId() << 32, 0, []
         if max(codec.token_of) >= 1 << 16:
             raise ValueError("a vocabulary of more than 65,536 ids does not fit into 16-bit numbers")
-        for b in slices(batches, "text"):
-            encoded = codec.encode_all([t or "" for t in column(b, "text").to_pylist()])
+        for b in slices(batches, "text", TEXT_BYTES):
+            encoded = codec.encode_all(column(b, "text"))
             for doc, ids in zip(column(b, "id").to_pylist(), encoded, strict=True):
                 ids = ids.astype("<u2")
                 for at in range(0, len(ids), row_tokens):

@@ -12,7 +12,12 @@ too few. As in the SQL, a component that does not fit into 64 bits is an error,
 
 Null vectors, vectors with null or non-finite components, and rows without an id take no part. Vectors meet only vectors of their own length. Ties go to the smaller id. Rows that repeat an id are
 candidates each, but never of a query of that id; a query id that repeats asks once, with its smallest vector.
-An empty table gives no rows.
+An empty table gives no rows. A vector of any length is one row, and a box holds two of them. Other columns are not read, so
+none can clash.
+
+The work is queries times shards: a query's block asks every shard, and in many dimensions boxes rule few shards out. So the
+shuffle holds each shard once for each block of ``BLOCK_QUERIES`` queries, and grows with the square of the table where a fixed
+share of it asks.
 """
 
 from __future__ import annotations

@@ -377,6 +377,24 @@ def test_classes_of_odd_tables(spark):
     assert jaccard.classes(docs.limit(0)).count() == 0
 
 
+def test_ids_on_different_texts(spark):
+    """An id's texts link all they are like; ``one_of_each`` keeps one of each kind of text."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    texts = [[word() for _ in range(60)] for _ in range(6)]
+    near = lambda t: " ".join([*t[:-1], word()])
+    rows = [(10, near(texts[0])), (11, near(texts[0])), (11, near(texts[1])), (12, near(texts[1])), (13, near(texts[2])), (9, near(texts[3])), (9, near(texts[4])), (9, near(texts[4])), (14, near(texts[4])), (15, near(texts[5])), (9, None), (16, "")]
+    docs = documents(spark, [(i, t, None, None) for i, t in rows])
+    got = {(r.doc_id, r.component_id) for r in jaccard.classes(docs).filter("n_shingles > 0").collect()}
+    assert got == {(10, 10), (11, 10), (12, 10), (13, 13), (9, 9), (14, 9), (15, 15)}
+    kept = sorted((str(r.doc_id), r.text or "") for r in jaccard.one_of_each(docs).collect())
+    assert [i for i, _ in kept] == ["10", "11", "13", "15", "16", "9", "9", "9"]
+    like = lambda t, k: sum(w in texts[k] for w in t.split()) > 50
+    for k, least in ((0, "10"), (1, "11"), (2, "13"), (3, "9"), (4, "9"), (5, "15")):
+        assert [i for i, t in kept if like(t, k)] == [least]
+    assert kept == sorted((str(r.doc_id), r.text or "") for r in jaccard.one_of_each(docs.repartition(7)).collect())
+
+
 def test_no_linked_pair_misses_a_key():
     rng = random.Random(8)
     for percent, k in ((90, 3), (80, 5)):

@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from streamloom.llm import bpe, packing
 
 
@@ -54,6 +56,9 @@ def test_documents_come_back_whole(spark, monkeypatch):
     want = {r.id: r.ids for r in bpe.encode(df).collect() if r.ids}
     assert unpacked(packing.pack(df, row_tokens=64).collect()) == want
     assert packing.pack(df.limit(0)).count() == 0
+    nameless = packing.pack(df.withColumn("doc_id", F.lit(None).cast("long")), row_tokens=64)
+    assert nameless.agg(F.sum("n_tokens")).first()[0] == sum(map(len, want.values()))
+    assert {s.doc_id for r in nameless.collect() for s in r.segments} == {None}
 
 
 def test_op2_over_the_table(spark, sf_dir):
