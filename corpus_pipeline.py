@@ -1,4 +1,11 @@
-"""The corpus pipeline: quality, language, near duplicates, mixture, token ids. Each stage reads what the last one wrote."""
+"""The corpus pipeline: quality, language, near duplicates, mixture, token ids. Each stage reads what the last one wrote.
+
+All stages but the last keep the columns of their input, whatever others there are and however they are called. Null texts count
+as empty, are no language, and so go at the second stage; null ids never train, are no near duplicate of anything, and are mixed
+and encoded like others. Repeated rows are judged alike; of rows that are alike in id and text one stays after near duplicates.
+Ties are settled by ids, then by hashes of rows, so reruns agree. Whole texts are read, of any length. An empty table passes
+through every stage and gives an empty result.
+"""
 
 from __future__ import annotations
 

@@ -32,12 +32,17 @@ from streamloom.llm.common import column, map_arrow, slices, table
 
 #: A tokenizer file larger than this is refused rather than broadcast.
 MAX_FILE_BYTES = 64 << 20
-#: Runs and words that a Python worker's stores remember in each of two generations (some 30 MB), and the longest of them.
+#: Runs that a Python worker's store remembers in each of two generations (some 30 MB), and the longest of them.
 CACHE_ENTRIES, CACHE_CHARS = 150_000, 64
 #: Bytes of text that are encoded at a time: the more, the more often a run's ids are found with its first one.
 TEXT_BYTES = 8 << 20
 #: Fragments of more bytes than this are merged with a heap.
 LONG = 40
+#: Kinds of the bytes of SIMPLE texts that words end between; the marks outside ASCII are three bytes from 0xE2 on.
+LETTER, DIGIT, MARK = range(3)
+KINDS = np.full(256, LETTER, np.uint8)
+KINDS[:128] = [LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else MARK for b in range(128)]
+KINDS[0xE2] = MARK
 #: The rank of pairs that do not merge.
 NEVER = np.int64(1 << 62)
 #: Texts of these characters need no library normaliser: they are composed already, and their classes never changed.
@@ -62,16 +67,8 @@ class Store:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def known(self, wanted: set[str]) -> dict[str, bytes]:
-        """What the store has of them."""
-        out = {}
-        for part in (self.old, self.young):
-            found = part.keys() & wanted
-            out.update(zip(found, map(part.__getitem__, found), strict=True))
-        return out
-
     def take(self, wanted: set[str], make) -> dict[str, bytes]:
-        """Everything wanted, and what was made on the way; what the store lacks is made, long texts each time."""
+        """Everything wanted; what the store lacks is made, long texts each time."""
         if len(self.young) >= CACHE_ENTRIES:
             self.young, self.old = {}, self.young
         texts = list(wanted)
@@ -117,7 +114,7 @@ class ForcedBoundaryBPE:
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.specials = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.joined = self._pairs_inside_tokens()
-        #: Ids as 32-bit numbers, one after the other, of runs and of words in them.
+        #: Ids of runs as 32-bit numbers, one after the other.
         self.store = Store()
 
     def _pairs_inside_tokens(self) -> np.ndarray:
@@ -136,25 +133,33 @@ class ForcedBoundaryBPE:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.rank_of_pair[at], NEVER)
 
-    def _words(self, wanted: set[str]) -> dict[str, bytes]:
-        """The ids of each word (none is empty)."""
-        words = list(wanted)
-        if not words:
-            return {}
-        encoded = [w.encode() for w in words]
-        ends = np.cumsum([len(w) for w in encoded])
-        raw = np.frombuffer(b"".join(encoded), np.uint8)
-        ids = self.inner[raw]
-        ids[ends - 1] = self.final[raw[ends - 1]]
-        cut = np.ones(len(raw), bool)
-        cut[1:] = ~self.joined[raw[:-1], raw[1:]]
-        cut[ends[:-1]] = True
-        place, ids = self._merge(ids, cut)
-        upto = np.searchsorted(place, ends) * 4
-        out, data, at = {}, ids.astype(np.int32).tobytes(), 0
-        for word, end in zip(words, upto.tolist(), strict=True):
-            out[word] = data[at:end]
-            at = end
+    def _learn(self, runs: set[str]) -> dict[str, bytes]:
+        """The ids of runs: all are cut into words and fragments, and merged, at once."""
+        out = {r: np.int32(self.special[r[2:]]).tobytes() for r in runs if r.startswith("  ")}
+        odd = [r for r in runs if r[0] == " " and r not in out or "'" in r]
+        plain = list(runs.difference(odd).difference(out))
+        # Words of these are known or need the pattern; those of all others begin where the kind of character changes.
+        words = [[r[1:]] if r[0] == " " else SIMPLE_WORDS.findall(r) for r in odd]
+        pieces = [w.encode() for w in chain(plain, chain.from_iterable(words))]
+        if not pieces:
+            return out
+        ends = np.cumsum(list(map(len, pieces)))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        start = np.zeros(len(raw), bool)
+        start[0], start[ends[:-1]] = True, True
+        upto = int(ends[len(plain) - 1]) if plain else 0
+        kind = KINDS[raw[:upto]]
+        lead = np.flatnonzero(raw[:upto] == 0xE2)
+        kind[lead + 1], kind[lead + 2] = MARK, MARK
+        start[1:upto] |= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        ids, last = self.inner[raw], np.append(np.flatnonzero(start)[1:], len(raw)) - 1
+        ids[last] = self.final[raw[last]]
+        start[1:] |= ~self.joined[raw[:-1], raw[1:]]
+        place, ids = self._merge(ids, start)
+        n_pieces = np.cumsum([1] * len(plain) + list(map(len, words)))
+        data, at = ids.astype(np.int32).tobytes(), 0
+        for run, end in zip(chain(plain, odd), (np.searchsorted(place, ends[n_pieces - 1]) * 4).tolist(), strict=True):
+            out[run], at = data[at:end], end
         return out
 
     def _merge(self, ids: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,19 +247,6 @@ class ForcedBoundaryBPE:
         pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
         return [" " + bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in pieces]
 
-    def _learn(self, runs: set[str]) -> dict[str, bytes]:
-        """The ids of runs that the store lacks, and of words in them."""
-        mixed = [r for r in runs if not r.isalpha()]
-        plain = [r for r in mixed if r[0] != " "]
-        words = list(map(SIMPLE_WORDS.findall, plain))
-        marked = [r for r in mixed if r[0] == " "]
-        wanted = runs.difference(mixed).union(*words, (r[1:] for r in marked if r[1] != " "))
-        known = self.store.known(wanted)
-        ids_of = known | self._words(wanted.difference(known))
-        made = {r: b"".join([ids_of[w] for w in ws]) for r, ws in zip(plain, words, strict=True)}
-        made |= {r: ids_of[r[1:]] if r[1] != " " else np.int32(self.special[r[2:]]).tobytes() for r in marked}
-        return ids_of | made
-
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string array (null: none)."""
         texts = pc.fill_null(texts, "")

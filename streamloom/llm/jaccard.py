@@ -15,11 +15,13 @@ d = (a + b)(100 - percent) / (100 + percent) elements.
 4. Around hubs whose documents are not all connected yet, the remaining pairs of different components pass the bitmaps
    block by block, and those left are searched too. Then no linked pair of different components is left.
 
-Documents with equal sets are one node from the start. Results are classes, never all pairs within a group.
+A node is a distinct set, named by a hash of all its elements: documents with equal sets are one node from the start.
+Results are classes, never all pairs within a group.
 
 Null and empty texts have no shingles and link with nothing; a null id links with nothing and has a null component.
-Repeated rows are kept; rows of different texts under one id are one node. Very long texts have larger sets and more
-segments; nothing is cut off. Empty tables give empty results. Other columns are kept by ``one_of_each``.
+Repeated rows are kept by ``classes``; different texts under one id link as one document there, while ``one_of_each`` asks
+only whether texts are alike. Very long texts have larger sets and more segments; nothing is cut off. Ties of ids go by a hash
+of the row. Empty tables give empty results. Other columns are kept by ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -153,28 +155,32 @@ def can_link(na, nb, differ, rule: Rule):
 # --- stages
 
 
+def set_ids(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each set: of two independent sums over its elements and their number."""
+    n, sums = np.diff(offsets), []
+    for salt in (U(0x2545F4914F6CDD1D), U(0x5851F42D4C957F2D)):
+        acc = np.concatenate([np.zeros(1, U), np.cumsum(mix(values ^ salt))])
+        sums.append(acc[offsets[1:]] - acc[offsets[:-1]])
+    return mix(mix(sums[0] + n.astype(U)) ^ sums[1]).view(np.int64)
+
+
 def _sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n, fp1, fp2, bits, keys) of each text's set; fp1 and fp2 stand for the set."""
+    """(doc_id, mark, n, node, bits, keys) of each row's set; ``mark`` passes through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
             values, offsets = shingles(*byte_spans(column(b, "text")), rule.words)
             n = np.diff(offsets)
-            marks = []
-            for salt in (U(0x2545F4914F6CDD1D), U(0x5851F42D4C957F2D)):
-                acc = np.concatenate([np.zeros(1, U), np.cumsum(mix(values ^ salt))])
-                sums = acc[offsets[1:]] - acc[offsets[:-1]]
-                marks.append(pa.array(sums.view(np.int64)))
             bits = [bitmap(values[a:z]) if z > a else b"" for a, z in zip(offsets, offsets[1:], strict=False)]
             keys, rows = keys_of(values, offsets, rule)
             at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(n)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n.astype(np.int64)), *marks, pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64)))], ["doc_id", "n", "fp1", "fp2", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "mark"), pa.array(n.astype(np.int64)), pa.array(set_ids(values, offsets)), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64)))], ["doc_id", "mark", "n", "node", "bits", "keys"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, fp1 long, fp2 long, bits binary, keys array<long>")
+    return map_arrow(docs.select("doc_id", "mark", "text"), run, "doc_id long, mark long, n long, node long, bits binary, keys array<long>")
 
 
 def _hub_pairs(postings: DataFrame) -> DataFrame:
-    """(a, b): for each key its first document with each of the others. ``postings``: (key, doc_id), not null."""
+    """(a, b): for each key its first node with each of the others. ``postings``: (key, node), not null."""
     names, ddl = ["cut", "key", "hub", "doc"], "cut boolean, key long, hub long, doc long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +193,7 @@ def _hub_pairs(postings: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            k, d = column(b, "key").to_numpy(), column(b, "doc_id").to_numpy()
+            k, d = column(b, "key").to_numpy(), column(b, "node").to_numpy()
             new = np.ones(len(k), bool)
             new[1:] = k[1:] != k[:-1]
             new[0] = key is None or k[0] != key
@@ -207,7 +213,7 @@ def _hub_pairs(postings: DataFrame) -> DataFrame:
         if key is not None and not in_first:  # the last key may go on in the next task
             yield rows(True, np.array([key]), np.array([hub]), np.array([hub]))
 
-    dealt = postings.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    dealt = postings.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     return map_arrow(dealt, run, ddl)
 
 
@@ -219,11 +225,6 @@ def _settled(found: DataFrame) -> DataFrame:
     return found.filter("NOT cut").select(F.col("hub").alias("a"), F.col("doc").alias("b")).unionByName(across).filter("a <> b").distinct()
 
 
-def _of_set(df: DataFrame, name: str, node_of: DataFrame, out: str) -> DataFrame:
-    """Adds df[name]'s node: ``node_of`` holds those that are not their own."""
-    return df.join(node_of.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")), df[name] == F.col("_id"), "left").withColumn(out, F.coalesce("_node", name)).drop("_id", "_node")
-
-
 def _with_node(df: DataFrame, name: str, nodes: DataFrame, **columns: str) -> DataFrame:
     """Joins ``nodes`` on df[name]; ``columns``: new name -> column of nodes."""
     right = nodes.select(F.col(nodes.columns[0]).alias("_node"), *(F.col(c).alias(new) for new, c in columns.items()))
@@ -306,16 +307,17 @@ def merge_skip(lists: list[list[int]], least: int) -> dict[int, int]:
     return out
 
 
-def _sets(ids: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, elements binary): the sets of the documents in ``ids`` (one column, distinct), made where the texts are.
+def _sets(nodes: DataFrame, sketch: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(node, elements binary): the sets of ``nodes`` (one column, distinct), made where the texts are.
 
-    A bitmap of the ids' hashes goes to the tasks that read the texts; only sets of documents that it shows are sent on
-    and joined. Its size follows the number of ids up to a bound, beyond which more documents pass it, not fewer.
+    A bitmap of the hashes of one text for each node goes to the tasks that read the texts; only sets of texts that it shows are
+    sent on and joined. Its size follows the number of nodes up to a bound, beyond which more texts pass it, not fewer.
     """
-    n = ids.count()
+    texts = sketch.join(nodes, sketch["node"] == nodes[nodes.columns[0]], "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
+    n = nodes.count()
     bits = min(MOST_BITS, max(1 << 20, 1 << (16 * n).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c, F.lit(77)), F.lit(bits))
-    marked = ids.select(place(ids.columns[0]).alias("place")).groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bits"))
+    place = F.pmod(F.xxhash64("mark", F.lit(77)), F.lit(bits))
+    marked = texts.select(place.alias("place")).groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bits"))
     shipped = docs.sparkSession.sparkContext.broadcast({int(r["bucket"]) - 1: bytes(r["bits"]) for r in marked.collect()})
     per = 8 * 4096
 
@@ -328,10 +330,12 @@ def _sets(ids: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             shown = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
             for b in slices(iter([whole.filter(pa.array(shown.astype(bool)))]), "text", 1 << 20):
                 values, offsets = shingles(*byte_spans(column(b, "text")), rule.words)
-                yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([values[x:y].tobytes() for x, y in zip(offsets, offsets[1:], strict=False)], pa.binary())], ["doc_id", "elements"])
+                yield pa.RecordBatch.from_arrays([column(b, "mark"), pa.array(set_ids(values, offsets)), pa.array([values[x:y].tobytes() for x, y in zip(offsets, offsets[1:], strict=False)], pa.binary())], ["mark", "node", "elements"])
 
-    made = map_arrow(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("place")), run, "doc_id long, elements binary")
-    return made.join(ids.select(F.col(ids.columns[0]).alias("asked")), F.col("doc_id") == F.col("asked"), "left_semi")
+    made = map_arrow(docs.filter("doc_id IS NOT NULL").select("mark", "text", place.alias("place")), run, "mark long, node long, elements binary")
+    # Of the rows that share a text, one is enough; most are dropped before anything is sent on.
+    asked = texts.select(F.col("node").alias("asked"), F.col("mark").alias("asked_mark"))
+    return made.join(asked, (F.col("node") == F.col("asked")) & (F.col("mark") == F.col("asked_mark")), "left_semi").dropDuplicates(["node"]).select("node", "elements")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -340,8 +344,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     member = pairs.join(hubs, F.col("a") == F.col("hub")).select(F.col("b").alias("doc"), "hub", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.lit(True).alias("member"))
     head = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("hub").alias("doc"), "hub", "block", F.lit(False).alias("member"))
     asked = member.unionByName(head)
-    made = sets.join(asked, F.col("doc_id") == F.col("doc")).select("hub", "block", "member", "doc_id", "elements")
-    names = ["hub", "block", "member", "doc_id", "elements"]
+    made = sets.join(asked, F.col("node") == F.col("doc")).select("hub", "block", "member", "doc", "elements")
+    names = ["hub", "block", "member", "doc", "elements"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heads, members, ids, held = None, [], [], [], 0
@@ -370,7 +374,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _ends(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents that are in a pair."""
+    """The nodes that are in a pair."""
     return scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
 
 
@@ -418,49 +422,61 @@ def _rest_pairs(pairs: DataFrame, roots: DataFrame, info: DataFrame, rule: Rule)
     return found.distinct()
 
 
-def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """(doc_id, n_shingles, component_id) of every row; component_id: the smallest doc_id reachable by links."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    docs = docs.select("doc_id", "text")
+def _linked(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n, node) of every row, node null without shingles or id; and the links (a, b) between nodes."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     sketch = scratch.save(_sketches(docs, rule))
     sets = sketch.filter("n > 0 AND doc_id IS NOT NULL")
-    # The smallest id of each set that several rows have is their node; any other row is its own.
-    same = sets.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
-    same = same.select(F.col("n").alias("n2"), apart("fp1").alias("x1"), F.col("fp2").alias("x2"), "least")
-    named = sketch.select("doc_id", "n", "fp1", "fp2").join(same, (F.col("n") == F.col("n2")) & (F.col("fp1") == F.col("x1")) & (F.col("fp2") == F.col("x2")), "left")
-    named = scratch.save(named.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("node")))
-    node_of = scratch.save(named.filter("node <> doc_id").groupBy("doc_id").agg(F.min("node").alias("node")))
-    found = scratch.save(_hub_pairs(sets.select(F.explode("keys").alias("key"), "doc_id")))
-    pairs = _of_set(_of_set(_settled(found), "a", node_of, "node_a"), "b", node_of, "node_b")
-    pairs = scratch.save(pairs.filter("node_a <> node_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    named = scratch.save(sketch.select("doc_id", "mark", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node")))
+    found = scratch.save(_hub_pairs(sets.select(F.explode("keys").alias("key"), "node")))
+    pairs = scratch.save(_settled(found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     scratch.drop(found)
-    info = scratch.save(sets.select("doc_id", "n", "bits").join(node_of.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"]))
+    info = scratch.save(sets.select("node", "n", "bits").dropDuplicates(["node"]))
     scratch.drop(sketch)
+    known = named.filter("node IS NOT NULL").select("node", "mark")
     likely = scratch.save(_by_bitmap(pairs, info, rule))
-    # One id may stand for several sets, and equal sets for several ids: they link without a search.
-    alike = named.filter("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    first = _verified(likely, scratch.save(_sets(_ends(likely, scratch), docs, rule)), rule)
-    links = scratch.save(first)
-    roots = components(links, scratch)
-    more = scratch.save(_rest_pairs(pairs, roots, info, rule).join(likely, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(more, scratch.save(_sets(_ends(more, scratch), docs, rule)), rule)).unionByName(alike)
-    roots = components(links, scratch)
-    scratch.keep(named, roots)
-    out = named.join(roots.select("node", "root").withColumnRenamed("node", "of"), F.col("doc_id") == F.col("of"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    first = scratch.save(_verified(likely, scratch.save(_sets(_ends(likely, scratch), known, docs, rule)), rule))
+    more = scratch.save(_rest_pairs(pairs, components(first, scratch), info, rule).join(likely, ["a", "b"], "left_anti"))
+    second = _verified(more, scratch.save(_sets(_ends(more, scratch), known, docs, rule)), rule)
+    return named, scratch.save(first.unionByName(second))
+
+
+def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
+    """(doc_id, n_shingles, component_id) of every row; component_id: the smallest doc_id reachable by links."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    named, links = _linked(docs, rule, scratch)
+    # An id that stands on different sets links them: each with the least of them.
+    several = named.filter("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    several = several.select(apart("doc_id").alias("of"), "least")
+    alike = named.filter("node IS NOT NULL").join(several, F.col("doc_id") == F.col("of")).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    roots = components(links.unionByName(alike), scratch)
+    rooted = named.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
+    rooted = scratch.save(rooted)
+    least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component")).select(apart("root").alias("of"), "component")
+    scratch.keep(rooted)
+    out = rooted.join(least, F.col("root") == F.col("of"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """The rows of each class's smallest id, with the same columns; rows without id stay.
+    """One row of each class of alike texts: the one of the smallest id, with the same columns. Rows without id stay.
 
-    If the id repeats, the row whose columns have the smallest hash is kept: any order of the rows gives the same.
+    Rows without shingles stay too, one of each id. Of rows with the same id and text, the one whose columns have the smallest
+    hash is kept: any order of the rows gives the same.
     """
-    name = free_name(docs, "kept_id")
-    kept = classes(docs, rule).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    rows = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(name))
+    scratch, name, mark = Scratch(docs.sparkSession, "distinct"), free_name(docs, "kept_id"), free_name(docs, "kept_mark")
+    named, links = _linked(docs, rule, scratch)
+    roots = components(links, scratch)
+    rooted = named.filter("doc_id IS NOT NULL").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    first = F.min(F.struct("doc_id", "mark"))
+    kept = rooted.filter("node IS NOT NULL").groupBy(F.coalesce("root", "node")).agg(first.alias("r"))
+    kept = kept.select("r").unionByName(rooted.filter("node IS NULL").groupBy("doc_id").agg(first.alias("r")).select("r"))
+    kept = scratch.save(kept.select(F.col("r.doc_id").alias(name), F.col("r.mark").alias(mark)).distinct())
+    scratch.keep(kept)
+    rows = docs.filter("doc_id IS NOT NULL").join(kept, (F.col("doc_id") == F.col(name)) & (F.xxhash64("text") == F.col(mark)))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    first = rows.groupBy(name).agg(F.min_by(whole, F.xxhash64(whole)).alias("_row")).select("_row.*")
-    return first.unionByName(docs.filter("doc_id IS NULL"))
+    best = rows.groupBy(name, mark).agg(F.min_by(whole, F.xxhash64(whole)).alias("_row")).select("_row.*")
+    return best.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

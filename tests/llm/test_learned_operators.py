@@ -465,3 +465,21 @@ def test_pipeline(spark, sf_dir):
     assert counts[0] >= counts[1] >= counts[2] >= counts[3] > 0 and counts[4] == counts[5]
     total = corpus_pipeline.run(spark, sf_dir)
     assert total.count() == counts[5] and {"doc_id", "n_tokens"} <= set(total.columns)
+
+
+def test_pipeline_on_odd_tables(spark, sf_dir):
+    """Nulls in any column, repeated rows, clashing names, an empty table: every stage keeps its columns and nothing fails."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = documents(spark, [(None, "one two three four five six", "en", None), (None, None, None, None), (-1, "", "en", "s"), (-2, "the cat sat on the mat " * 9, None, None), (-2, "the cat sat on the mat " * 9, None, None), (-3, "1 2 3", "xx", "")])
+    named = {"score": F.lit("a"), "lang_pred": F.lit(1), "kept_id": F.lit(2), "mix_mark": F.lit(3), "mark": F.lit(4), "node": F.lit(5), "size": F.lit(6), "id": F.lit(7), "text2": F.lit(None).cast("string")}
+    wide = docs.select(*docs.columns).unionByName(odd.select(*docs.columns)).withColumns(named)
+    for table in (wide, wide.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before, table = table, stage(spark, table, sf_dir).cache()
+            n = table.count()
+            if k < 4:
+                assert table.columns == before.columns and (n > 0) == (before.count() > 0)
+                if n:
+                    assert {tuple(r) for r in table.select("score", "lang_pred", "kept_id", "mix_mark").distinct().collect()} == {("a", 1, 2, 3)}
+            else:
+                assert n == before.count()

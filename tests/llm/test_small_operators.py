@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,10 +46,11 @@ def test_bpe_equals_the_library(spark, library):
 def test_bpe_parts(spark, library):
     codec = bpe.ForcedBoundaryBPE(open(bpe.default_path(), encoding="utf-8").read())
     words = ["zqxjk" * 40, "antidisestablishment", "qqqq", "a" * 500, "ab" * 300, "thethethe" * 50, "ab" * 15, "a", "ж" * 30, "aaaaaaa", "lossless"]
-    for got in (codec._words(set(words)), {w: codec._words({w})[w] for w in words}):  # side by side and each alone
+    asked = {f" {w}" for w in words}  # a space marks a word as it is
+    for got in (codec._learn(asked), {w: codec._learn({w})[w] for w in asked}):  # side by side and each alone
         for word in words:
             ids = [*(codec.inner[b] for b in word.encode()[:-1]), codec.final[word.encode()[-1]]]
-            assert np.frombuffer(got[word], np.int32).tolist() == _plain_merge(codec, ids), word
+            assert np.frombuffer(got[f" {word}"], np.int32).tolist() == _plain_merge(codec, ids), word
     for text in ("a" * 500, "ab" * 300, "thethethe" * 50):
         ids = [int(codec.inner[b]) for b in text.encode()]
         assert codec._merge_long(list(ids)) == _plain_merge(codec, list(ids))
@@ -56,6 +58,18 @@ def test_bpe_parts(spark, library):
     assert back.decoded == "hello</w> there</w>"
 
 
+def test_bpe_runs_equal_the_library(library):
+    """Runs of all kinds of characters that stand side by side."""
+    codec = bpe.ForcedBoundaryBPE(open(bpe.default_path(), encoding="utf-8").read())
+    rng = random.Random(5)
+    chars = ["a", "b", "the", "ing", "é", "ß", "ž", "Ł", "1", "23", "_", ".", ",", "'", "'s", "'re", "'ll", "-", "–", "—", "’", "“", "…", "&", "<", ">", " ", "\n", "  "]
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["'", "''", "'s's", "–", "é–é", "…'t", "\t", " x ", "5'd6"]
+    got = codec.encode_all(pa.array([*texts, None]))
+    assert got[-1].tolist() == []
+    for text, ids in zip(texts, got, strict=False):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_bpe_store(monkeypatch, library):
     codec = bpe.ForcedBoundaryBPE(open(bpe.default_path(), encoding="utf-8").read())
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
