@@ -58,11 +58,12 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     single, pairs = np.zeros(n * KINDS, np.int64), np.zeros(n * KINDS * KINDS, np.int64)
     for at in range(0, len(raw), PIECE):
         end = min(at + PIECE + 1, len(raw))  # one byte more, for the pair across
-        row = np.searchsorted(offsets, np.arange(at, end), "right") - 1
-        kind = KIND[raw[at:end]].astype(np.int64)
+        here = np.maximum(np.minimum(offsets[1:], end) - np.maximum(offsets[:-1], at), 0)
+        row = np.repeat(np.arange(n, dtype=np.int32), here)  # a slice's counters fit: rows * 576 stays far below 2^31
+        kind = KIND[raw[at:end]].astype(np.int32)
         single += np.bincount((row * KINDS + kind)[:PIECE], minlength=len(single))
         same = row[1:] == row[:-1]
-        pairs += np.bincount((row[1:] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:])[same], minlength=len(pairs))
+        pairs += np.bincount(row[1:][same] * (KINDS * KINDS) + kind[:-1][same] * KINDS + kind[1:][same], minlength=len(pairs))
     out[:, :KINDS] = np.sqrt(single.reshape(n, KINDS) / per)
     out[:, KINDS:-1] = np.sqrt(pairs.reshape(n, -1) / per)
     h, of = word_hashes(raw, offsets)
