@@ -12,8 +12,10 @@ d = (a + b)(100 - percent) / (100 + percent) elements.
 3. T-occurrence search decides each hub's pairs: over the hub's inverted lists, the short ones are merged with a heap
    (skipping what cannot reach the required overlap less the number of long ones), the long ones are probed by binary
    search (DivideSkip).
-4. Around hubs whose documents are not all connected yet, the remaining pairs of different components pass the bitmaps
-   block by block, and those left are searched too. Then no linked pair of different components is left.
+4. Around hubs whose documents are not all connected yet, the bitmaps compare documents of different components block by
+   block. Those that they don't tell apart, directly or by way of others, are a team; pairs are never written down. Each
+   team's sets are searched together until no two of its components link, and a link is kept only where it connects two
+   of them. Then no linked pair of different components is left.
 
 A node is a distinct set, named by a hash of all its elements: documents with equal sets are one node from the start.
 Results are classes, never all pairs within a group.
@@ -29,6 +31,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -378,8 +381,60 @@ def _ends(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
 
 
-def _rest_pairs(pairs: DataFrame, roots: DataFrame, info: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different components, around hubs with several of them, that the bitmaps don't exclude."""
+def teams(root: np.ndarray, n: np.ndarray, bits: np.ndarray, rule: Rule, most: int = STAR_BYTES // 16) -> list[np.ndarray]:
+    """Places of the sets that bitmaps (rows of 64-bit numbers) don't tell from one of another root, or from a chain of such.
+
+    A team of more than ``most`` elements is cut into parts, and every two parts are a team.
+    """
+    label, out = np.arange(len(root)), []
+    for x in range(len(root)):
+        others = np.flatnonzero((root[x + 1 :] != root[x]) & (label[x + 1 :] != label[x])) + x + 1
+        others = others[100 * np.minimum(n[others], n[x]) >= rule.percent * np.maximum(n[others], n[x])]
+        if len(others):
+            differ = np.bitwise_count(bits[others] ^ bits[x]).sum(1, dtype=np.int64)
+            _unite(label, x, others[can_link(n[others], n[x], differ, rule)])
+    order = np.argsort(label, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        if len(places) > 1:
+            part = np.cumsum(n[places]) // most
+            parts = np.split(places, np.flatnonzero(np.diff(part)) + 1)
+            out += [places] if len(parts) == 1 else map(np.concatenate, combinations(parts, 2))
+    return out
+
+
+def _unite(label: np.ndarray, x: int, others: np.ndarray) -> None:
+    """Gives the labels (below their number) of ``others`` up for that of ``x``."""
+    gone = np.zeros(len(label), bool)
+    gone[label[others]] = True
+    label[gone[label]] = label[x]
+
+
+def stack(raw: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit numbers, as wide as the least of them."""
+    width = min(map(len, raw))
+    return np.stack([fold(np.frombuffer(r, np.uint8), width) for r in raw]).view(np.uint64)
+
+
+def connect(sets: list[np.ndarray], root: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Places of pairs that link, as many as it takes to connect all roots that linked pairs connect."""
+    n, bits, out = np.array([len(s) for s in sets], np.int64), stack([bitmap(s) for s in sets]), []
+    label = np.unique(root, return_inverse=True)[1]
+    for x in range(len(sets)):
+        others = np.flatnonzero(label[x + 1 :] != label[x]) + x + 1
+        differ = np.bitwise_count(bits[others] ^ bits[x]).sum(1, dtype=np.int64)
+        others = others[can_link(n[others], n[x], differ, rule)]
+        if len(others):
+            hits = others[t_occurrence(sets[x], [sets[y] for y in others], rule)]
+            out += [(x, int(hits[k])) for k in np.unique(label[hits], return_index=True)[1]]
+            _unite(label, x, hits)
+    return out
+
+
+def _rest_teams(pairs: DataFrame, roots: DataFrame, info: DataFrame, rule: Rule) -> DataFrame:
+    """(team, doc, root): documents of different components, around hubs with several of them, that the bitmaps don't tell apart.
+
+    A team is named by a hash of its documents, so one that is met around several hubs is searched once.
+    """
     root = lambda df, name: df.join(roots.select(F.col("node").alias(f"{name}_node"), F.col("root").alias(f"{name}_root")), F.col(name) == F.col(f"{name}_node"), "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name)).drop(f"{name}_node")
     known = root(root(pairs.select("a", "b"), "a"), "b")
     hubs = known.groupBy("a").agg(F.max(F.col("a_root") != F.col("b_root")).alias("open"), F.ceil((F.count("*") + 1) / SIDE).cast("int").alias("sides"), F.count("*").alias("n_pairs")).filter("open AND n_pairs > 1").select(apart("a").alias("hub"), "sides")
@@ -393,20 +448,12 @@ def _rest_pairs(pairs: DataFrame, roots: DataFrame, info: DataFrame, rule: Rule)
         now, rows = None, []
 
         def done() -> pa.RecordBatch:
-            found: set[tuple[int, int]] = set()
-            width = min(len(r[3]) for r in rows)
-            bits = np.stack([fold(np.frombuffer(r[3], np.uint8), width) for r in rows])
-            bits = bits.view(np.uint64)
             ids, root, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-            for x in range(len(rows)):
-                others = np.flatnonzero(root[x + 1 :] != root[x]) + x + 1
-                others = others[100 * np.minimum(n[others], n[x]) >= rule.percent * np.maximum(n[others], n[x])]
-                if len(others):
-                    differ = np.bitwise_count(bits[others] ^ bits[x]).sum(1, dtype=np.int64)
-                    for y in others[can_link(n[others], n[x], differ, rule)]:
-                        found.add((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
-            out = sorted(found)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            found = teams(root, n, stack([r[3] for r in rows]), rule)
+            places = np.concatenate([np.zeros(0, np.int64), *found])
+            offsets = np.cumsum([0, *map(len, found)])
+            names = np.repeat(set_ids(ids[places].view(U), offsets), np.diff(offsets))
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids[places]), pa.array(root[places])], ["team", "doc", "root"])
 
         for b in batches:
             for hub, i, j, *row in zip(*(column(b, c).to_pylist() for c in ("hub", "i", "j", "doc", "root", "n", "bits")), strict=True):
@@ -418,12 +465,36 @@ def _rest_pairs(pairs: DataFrame, roots: DataFrame, info: DataFrame, rule: Rule)
         if now:
             yield done()
 
-    found = map_arrow(blocks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "doc"), run, "a long, b long")
+    found = map_arrow(blocks.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "doc"), run, "team long, doc long, root long")
     return found.distinct()
 
 
+def _connected(found: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) that connect, in each team (team, doc, root), all roots that linked pairs of it connect."""
+    made = sets.join(found, F.col("node") == F.col("doc")).select("team", "doc", "root", "elements")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            out = connect([np.frombuffer(r[2], U) for r in rows], np.array([r[1] for r in rows], np.int64), rule)
+            return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][0] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            for team, *row in zip(*(column(b, c).to_pylist() for c in ("team", "doc", "root", "elements")), strict=True):
+                if team != now:
+                    if rows:
+                        yield done()
+                    now, rows = team, []
+                rows.append(row)
+        if rows:
+            yield done()
+
+    return map_arrow(made.repartition("team").sortWithinPartitions("team", "doc"), search, "a long, b long").distinct()
+
+
 def _linked(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark, n, node) of every row, node null without shingles or id; and the links (a, b) between nodes."""
+    """(doc_id, mark, n, node) of every row, node null without shingles or id; and links (a, b) that connect all linked nodes."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     sketch = scratch.save(_sketches(docs, rule))
     sets = sketch.filter("n > 0 AND doc_id IS NOT NULL")
@@ -436,8 +507,8 @@ def _linked(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, D
     known = named.filter("node IS NOT NULL").select("node", "mark")
     likely = scratch.save(_by_bitmap(pairs, info, rule))
     first = scratch.save(_verified(likely, scratch.save(_sets(_ends(likely, scratch), known, docs, rule)), rule))
-    more = scratch.save(_rest_pairs(pairs, components(first, scratch), info, rule).join(likely, ["a", "b"], "left_anti"))
-    second = _verified(more, scratch.save(_sets(_ends(more, scratch), known, docs, rule)), rule)
+    more = scratch.save(_rest_teams(pairs, components(first, scratch), info, rule))
+    second = _connected(more, scratch.save(_sets(scratch.save(more.select("doc").distinct()), known, docs, rule)), rule)
     return named, scratch.save(first.unionByName(second))
 
 

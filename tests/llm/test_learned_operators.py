@@ -367,6 +367,44 @@ def test_classes_equal_brute_force(spark, k, percent, seed):
     assert got == brute_classes(rows, k, percent)
 
 
+def test_links_of_a_large_group_grow_in_proportion(spark):
+    """Copies about the limit of likeness: many pairs are like each other, but not like their hub, and none of them is written down."""
+    rng, n = random.Random(3), 1000
+    rows = [(k, " ".join(f"w{k}x{i}" if i in drop else f"b{i}" for i in range(100)), None, None) for k in range(n) for drop in [rng.sample(range(100), rng.randint(5, 7))]]
+    docs, rule = documents(spark, rows), jaccard.Rule(1, 80)
+    scratch = Scratch(spark, "test")
+    links = jaccard._linked(docs, rule, scratch)[1]
+    assert links.count() < 6 * n
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs, rule).collect()} == brute_classes(rows, 1, 80)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_teams_lose_no_link(seed):
+    rng = random.Random(seed)
+    rule, most = jaccard.Rule(1, 80), 300
+    sets = []
+    for base in range(3):
+        for _ in range(20):
+            drop = rng.sample(range(60), rng.randint(1, 8))
+            sets.append(np.array(sorted({hash((base, i, rng.random() if i in drop else 0)) & (1 << 64) - 1 for i in range(60)}), np.uint64))
+    root = np.array([rng.randrange(40) for _ in sets], np.int64)
+    size = np.array([len(s) for s in sets], np.int64)
+    linked = [(x, y) for x in range(len(sets)) for y in range(x) if 100 * (both := len(np.intersect1d(sets[x], sets[y]))) >= 80 * (len(sets[x]) + len(sets[y]) - both)]
+
+    def classes(pairs):
+        label = root.copy()
+        for x, y in pairs:
+            label[label == label[x]] = label[y]
+        return {tuple(np.flatnonzero(label == c)) for c in label}
+
+    found = jaccard.teams(root, size, jaccard.stack([jaccard.bitmap(s) for s in sets]), rule, most)
+    assert all(size[places].sum() <= 2 * (most + 60) for places in found) and len(found) > 3
+    links = [(places[x], places[y]) for places in found for x, y in jaccard.connect([sets[k] for k in places], root[places], rule)]
+    assert set(map(frozenset, links)) <= set(map(frozenset, linked)) and classes(links) == classes(linked)
+    alone = jaccard.connect(sets, root, rule)
+    assert len(alone) < len(sets) and classes(alone) == classes(linked)
+
+
 def test_classes_of_odd_tables(spark):
     rows = [(1, "a b c d e f", None, None), (1, "a b c d e f", None, None), (None, "a b c d e f", None, None), (7, "a b c d e f", None, None), (9, "z " * 30000, None, None)]
     docs = documents(spark, rows)
