@@ -19,8 +19,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain, compress
-from operator import not_
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +42,8 @@ KINDS[:128] = [LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else MA
 KINDS[0xE2] = MARK
 #: The rank of pairs that do not merge.
 NEVER = np.int64(1 << 62)
+#: Slots of the hash of pairs; what stands in one without a pair, and in one of several.
+SLOT_BITS, NO_PAIR, SHARED = 19, np.int64(-1), np.int64(-2)
 #: Texts of these characters need no library normaliser: they are composed already, and their classes never changed.
 SIMPLE_CHARS = "\\t\\n\\r\\x20-\\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e\u2013\u2014\u2018-\u201e\u2026"
 SIMPLE, SIMPLE_PATTERN = re.compile(f"[{SIMPLE_CHARS}]*"), f"^[{SIMPLE_CHARS}]*$"
@@ -58,29 +59,30 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
 
 
+def slots(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
 class Store:
     """Ids by text in two generations: what is met goes to the young one; when that is full, the old one is forgotten."""
 
     def __init__(self):
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def take(self, wanted: set[str], make) -> dict[str, bytes]:
-        """Everything wanted; what the store lacks is made, long texts each time."""
+    def take(self, wanted: list[str], make) -> list[bytes]:
+        """The ids of each text wanted; what the store lacks is made, long texts each time."""
         if len(self.young) >= CACHE_ENTRIES:
-            self.young, self.old = {}, self.young
-        texts = list(wanted)
-        found = list(map(self.young.get, texts))
-        out = dict(zip(texts, found, strict=True))
-        lacking = set(compress(texts, map(not_, found)))
-        again = self.old.keys() & lacking
-        back = dict(zip(again, map(self.old.__getitem__, again), strict=True))
-        out |= back
-        self.young |= back
-        if lacking := lacking.difference(again):
-            made = make(lacking)
-            out |= made
-            self.young |= made if max(map(len, made)) <= CACHE_CHARS else {t: ids for t, ids in made.items() if len(t) <= CACHE_CHARS}
+            self.young, self.old = {"": b""}, self.young
+        out = list(map(self.young.get, wanted))
+        if lacking := [k for k, ids in enumerate(out) if ids is None]:
+            texts = [wanted[k] for k in lacking]
+            found = list(map(self.old.get, texts))
+            made = make({t for t, ids in zip(texts, found, strict=True) if ids is None})
+            found = [made[t] if ids is None else ids for t, ids in zip(texts, found, strict=True)]
+            for k, ids in zip(lacking, found, strict=True):
+                out[k] = ids
+            self.young.update(zip(texts, found, strict=True) if max(map(len, texts)) <= CACHE_CHARS else ((t, ids) for t, ids in zip(texts, found, strict=True) if len(t) <= CACHE_CHARS))
         return out
 
 
@@ -102,6 +104,11 @@ class ForcedBoundaryBPE:
         pairs = np.array(list(self.ranks), np.int64)
         by_pair = np.argsort(pairs)
         self.pairs, self.rank_of_pair = pairs[by_pair], np.array(list(self.ranks.values()), np.int64)[by_pair]
+        #: Pairs by a hash; a slot that several share says so, and these are found by bisection.
+        slot = slots(self.pairs)
+        self.slot_pair, self.slot_rank = np.full(1 << SLOT_BITS, NO_PAIR), np.full(1 << SLOT_BITS, NEVER)
+        self.slot_pair[slot], self.slot_rank[slot] = self.pairs, self.rank_of_pair
+        self.slot_pair[np.bincount(slot, minlength=1 << SLOT_BITS) > 1] = SHARED
         self.special = {t["content"]: t["id"] for t in raw["added_tokens"]}
         self.token_of = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
         self.alphabet = byte_alphabet()
@@ -128,21 +135,29 @@ class ForcedBoundaryBPE:
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; NEVER for pairs that do not merge."""
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.rank_of_pair[at], NEVER)
+        slot = slots(key)
+        pair = self.slot_pair[slot]
+        rank = np.where(pair == key, self.slot_rank[slot], NEVER)
+        if len(shared := np.flatnonzero(pair == SHARED)):
+            key = key[shared]
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            rank[shared] = np.where(self.pairs[at] == key, self.rank_of_pair[at], NEVER)
+        return rank
 
     def _learn(self, runs: set[str]) -> dict[str, bytes]:
         """The ids of runs: all are cut into words and fragments, and merged, at once."""
-        out = {r: np.int32(self.special[r[2:]]).tobytes() for r in runs if r.startswith("  ")}
-        odd = [r for r in runs if r[0] == " " and r not in out or "'" in r]
-        plain = list(runs.difference(odd).difference(out))
+        odd = [r for r in runs if "'" in r or r[0] == " "]
+        plain = list(runs.difference(odd))
+        out = {r: np.int32(self.special[r[2:]]).tobytes() for r in odd if r.startswith("  ")}
+        odd = [r for r in odd if r not in out]
         # Words of these are known or need the pattern; those of all others begin where the kind of character changes.
         words = [[r[1:]] if r[0] == " " else SIMPLE_WORDS.findall(r) for r in odd]
-        pieces = [w.encode() for w in chain(plain, chain.from_iterable(words))]
+        pieces = [*plain, *chain.from_iterable(words)]
         if not pieces:
             return out
-        ends = np.cumsum(list(map(len, pieces)))
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        raw = np.frombuffer("".join(pieces).encode(), np.uint8)
+        first = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))  # bytes that characters begin with
+        ends = first[np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))]
         start = np.zeros(len(raw), bool)
         start[0], start[ends[:-1]] = True, True
         upto = int(ends[len(plain) - 1]) if plain else 0
@@ -256,10 +271,8 @@ class ForcedBoundaryBPE:
         # Simple texts are cut, and their distinct runs found, by Arrow: no run becomes an object of its own.
         lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pa.array(simple))))
         runs = lists.flatten().dictionary_encode()
-        names, code = runs.dictionary.to_pylist(), runs.indices.to_numpy()
-        ids_of = self.store.take(set(names).difference([""]), self._learn)
-        ids_of[""] = b""  # what stands beside outer white space
-        found = list(map(ids_of.__getitem__, names))
+        names, code = runs.dictionary.to_numpy(zero_copy_only=False).tolist(), runs.indices.to_numpy()
+        found = self.store.take(names, self._learn)  # the empty one is what stands beside outer white space
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool, begin = np.frombuffer(b"".join(found), np.int32), np.cumsum(length) - length
         each = length[code]
@@ -272,7 +285,8 @@ class ForcedBoundaryBPE:
         if len(upto) < len(out):
             odd = [k for k, v in enumerate(out) if v is None]
             parts = [self._runs(texts[k].as_py()) for k in odd]
-            ids_of = self.store.take(set(chain.from_iterable(parts)), self._learn).__getitem__
+            names = list(set(chain.from_iterable(parts)))
+            ids_of = dict(zip(names, self.store.take(names, self._learn), strict=True)).__getitem__
             for k, part in zip(odd, parts, strict=True):
                 out[k] = np.frombuffer(b"".join(map(ids_of, part)), np.int32)
         return out

@@ -70,6 +70,17 @@ def test_bpe_runs_equal_the_library(library):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ranks_of_pairs():
+    """Pairs are found by a hash; those of slots that several share are the only ones bisected, and few."""
+    codec = bpe.ForcedBoundaryBPE(open(bpe.default_path(), encoding="utf-8").read())
+    rng = np.random.default_rng(4)
+    pairs = np.concatenate([codec.pairs, codec.pairs + 1, codec.pairs - 1, rng.integers(0, 49408, 50000) << 32 | rng.integers(0, 49408, 50000)])
+    want = [codec.ranks.get(k, bpe.NEVER) for k in pairs.tolist()]
+    assert codec._ranks(pairs >> 32, pairs & 0xFFFFFFFF).tolist() == want
+    shared = codec.slot_pair[bpe.slots(codec.pairs)] == bpe.SHARED
+    assert 0 < shared.mean() < 0.15
+
+
 def test_bpe_store(monkeypatch, library):
     codec = bpe.ForcedBoundaryBPE(open(bpe.default_path(), encoding="utf-8").read())
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
