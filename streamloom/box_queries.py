@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.operators import box_fields, boxes
-from streamloom.plans.synth import be, table
+from streamloom.plans.synth import be, dealt, table
 from streamloom.registry import query
 
 P_SQL = "SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS s, coalesce(p_name, '') AS n FROM part"
@@ -78,8 +78,13 @@ def shown(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.coalesce(F.col("value"), whole))
 
 
+def parts(spark, sf_dir: str) -> DataFrame:
+    """What the expressions of a case see, dealt over tasks."""
+    return dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("bigint").alias("s"), F.coalesce("p_name", F.lit("")).alias("n")), "k")
+
+
 def properties(spark, sf_dir: str, cases: list[Case]) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("bigint").alias("s"), F.coalesce("p_name", F.lit("")).alias("n"))
+    p = parts(spark, sf_dir)
     files = p.select("k", F.concat(*(box(c.fourcc, content(c.body)) for c in cases)).alias("content"))
     rows = shown(boxes.box_properties(files, id_col="k"))
     return rows.select(F.col("media_id").cast("bigint").alias("p_partkey"), "box_index", "fourcc", "box_name", "ordinal", "key", F.coalesce("value", "error").alias("value"))
@@ -394,7 +399,7 @@ SELECT k AS p_partkey, unnest([{_TREE_SQL}, struct_pack(box_index := CAST({len(_
 """)
 def box_containers(spark, sf_dir: str) -> DataFrame:
     """Places, depths and indented lines of a tree with every container, in order, and media data behind it."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("bigint").alias("s"), F.coalesce("p_name", F.lit("")).alias("n"))
+    p = parts(spark, sf_dir)
     rows = boxes.outline(boxes.box_rows(p.select("k", F.concat(_tree_content(TREE), box("mdat", content("n"))).alias("content")), id_col="k"))
     return rows.select(F.col("media_id").cast("bigint").alias("p_partkey"), "box_index", "fourcc", "depth", "line", "box_name", "header_offset", "body_size")
 
@@ -406,7 +411,7 @@ SELECT k AS p_partkey, CASE kind WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE
 """)
 def broken_media(spark, sf_dir: str) -> DataFrame:
     """Whole files, files with a header cut off, with a box cut off, and empty ones; the strict view has only whole ones."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("bigint").alias("s"), F.lit("").alias("n"))
+    p = parts(spark, sf_dir).withColumn("n", F.lit(""))
     two = F.concat(box("mfhd", content("#00000000 k:4")), box("tfdt", content("#00000000 k:4")))
     kind = F.col("s") % 4
     data = F.when(kind == 0, two).when(kind == 1, content("#000000")).when(kind == 2, F.substring(two, 1, 31)).otherwise(content(""))

@@ -149,51 +149,109 @@ def box_rows(df: DataFrame, id_col: str = "media_id", content_col: str = "conten
 OUT_ROWS, OUT_BYTES = 20_000, 16 << 20
 
 
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes]]:
+    """(media, data) of each file; few of a batch stand in Python at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            for media, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                yield media, data or b""
+
+
 def _gathered(rows_of, names: list[str], types: list[pa.DataType]):
     """Runs ``rows_of(media, data)`` on every file; output batches hold the rows of many files, but not more than they should."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for media, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    out += rows_of(media, data or b"")
-                    held += len(data or b"")
-                    if len(out) >= OUT_ROWS or held >= OUT_BYTES:
-                        if out:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                        out, held = [], 0
+        for media, data in _files(batches):
+            out += rows_of(media, data)
+            held += len(data)
+            if len(out) >= OUT_ROWS or held >= OUT_BYTES:
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return run
 
 
+#: Boxes that were read are kept, with their properties: so many twice over, of so many bytes at most.
+KEPT_BOXES, KEPT_BYTES = 2048, 512
+#: What a box's own bytes say, of the columns of ``box_properties``.
+_SAID = ("fourcc", "box_name", "ordinal", "key", "value", "headers", "rows", "error")
+
+
+def _said(data: bytes, x: Box) -> list[tuple]:
+    """The rows of a box without its place: the columns of ``_SAID``."""
+    rows = []
+    try:
+        if x.error:
+            raise Malformed(x.error)
+        name, fields = properties(data, x)
+        for n, (key, value) in enumerate(fields):
+            if isinstance(value, Table):
+                rows.append((x.fourcc, name, n, key, None, value.headers, [[render(v) for v in r] for r in value.rows], None))
+            else:
+                rows.append((x.fourcc, name, n, key, None if value is None else render(value), None, None, None))
+    except (Malformed, BadHeader, IndexError, UnicodeDecodeError, ValueError) as e:
+        rows.append((x.fourcc, box_name(x.fourcc), 0, None, None, None, None, str(e)))
+    return rows
+
+
 def box_properties(df: DataFrame, id_col: str = "media_id", content_col: str = "content") -> DataFrame:
-    """Every property of every box in order: key with its text value, or with a table (headers, rows of texts)."""
+    """Every property of every box in order: key with its text value, or with a table (headers, rows of texts).
+
+    Boxes with the same bytes say the same: a batch holds their rows once, and Arrow repeats them for each file.
+    """
     ddl = "media_id string, box_index int, fourcc string, depth int, box_name string, ordinal int, key string, value string, headers array<string>, rows array<array<string>>, error string"
     texts = pa.list_(pa.string())
-    types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), texts, pa.list_(texts), pa.string()]
+    types = dict(zip(_SAID, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), texts, pa.list_(texts), pa.string()), strict=True))
     names = [c.split()[0] for c in ddl.split(", ")]
 
-    def properties_of(media: str | None, data: bytes) -> Iterator[tuple]:
-        for x in walk(data):
-            head, rows = (media, x.box_index, x.fourcc, x.depth), []
-            try:
-                if x.error:
-                    raise Malformed(x.error)
-                name, fields = properties(data, x)
-                for n, (key, value) in enumerate(fields):
-                    if isinstance(value, Table):
-                        rows.append((*head, name, n, key, None, value.headers, [[render(v) for v in r] for r in value.rows], None))
-                    else:
-                        rows.append((*head, name, n, key, None if value is None else render(value), None, None, None))
-            except (Malformed, BadHeader, IndexError, UnicodeDecodeError, ValueError) as e:
-                rows.append((*head, box_name(x.fourcc), 0, None, None, None, None, str(e)))
-            yield from rows
-
-    return _media(df, id_col, content_col).mapInArrow(_gathered(properties_of, names, types), ddl)
+    def batch_of(said: list[tuple], places: list[tuple]) -> pa.RecordBatch:
+        """``places``: (media, box_index, depth, first row in ``said``, number of rows) of each box."""
+        media, index, depth, first, count = zip(*places, strict=True)
+        count = np.array(count, np.int64)
+        end = np.cumsum(count)
+        box = pa.array(np.repeat(np.arange(len(count)), count))
+        row = pa.array(np.arange(end[-1]) + np.repeat(np.array(first, np.int64) - end + count, count))
+        columns = {"media_id": pa.array(media, pa.string()).take(box), "box_index": pa.array(index, pa.int32()).take(box), "depth": pa.array(depth, pa.int32()).take(box)}
+        columns |= {c: pa.array(v, types[c]).take(row) for c, v in zip(_SAID, zip(*said, strict=True), strict=True)}
+        return pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+        older: dict = {}
+        said, places, where, rows, held = [], [], {}, 0, 0
+        for media, data in _files(batches):
+            for x in walk(data):
+                size = 0 if x.fourcc == "mdat" else x.body_size if x.head_size < 0 else min(x.body_size, x.head_size)
+                if x.error or size > KEPT_BYTES:
+                    at = len(said), len(own := _said(data, x))
+                    said += own
+                else:
+                    known = x.fourcc, x.head_size, x.to_end, x.body_size, data[x.body_offset : x.body_offset + size]
+                    at = where.get(known)
+                    if at is None:
+                        own = kept.get(known)
+                        if own is None:
+                            own = kept[known] = older.get(known) or _said(data, x)
+                            if len(kept) >= KEPT_BOXES:
+                                older, kept = kept, {}
+                        at = where[known] = len(said), len(own)
+                        said += own
+                places.append((media, x.box_index, x.depth, *at))
+                rows += at[1]
+            held += len(data)
+            if rows >= OUT_ROWS or held >= OUT_BYTES:
+                if places:
+                    yield batch_of(said, places)
+                said, places, where, rows, held = [], [], {}, 0, 0
+        if places:
+            yield batch_of(said, places)
+
+    return _media(df, id_col, content_col).mapInArrow(run, ddl)
 
 
 def strict(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,20 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that become media files, or lines of playlists, in one task, about.
+TASK_FILES, TASK_LINES = 4_000, 25_000
+
+
+def tasks(df: DataFrame, rows: int) -> int:
+    """How many tasks of about ``rows`` rows; the rows of a Parquet file are counted by its footers."""
+    return max(1, -(-df.count() // rows))
+
+
+def dealt(df: DataFrame, key: str, rows: int = TASK_FILES) -> DataFrame:
+    """The rows dealt over tasks by their key: else each row group is one task, whatever is made of its rows, and a file has few."""
+    return df.repartition(tasks(df, rows), key)
+
+
 def be(value, size: int) -> Column:
     """A number as big-endian bytes."""
     value = F.col(value) if isinstance(value, str) else F.lit(value) if isinstance(value, int) else value

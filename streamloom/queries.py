@@ -9,7 +9,7 @@ from streamloom import box_queries, view_queries  # noqa: F401 - they register t
 from streamloom.functions import codec, urls
 from streamloom.operators import boxes, classify, drm, lex, links, scte35
 from streamloom.plans import synth, views
-from streamloom.plans.synth import be, box, raw, table
+from streamloom.plans.synth import be, box, dealt, raw, table
 from streamloom.registry import ORACLES, QUERIES, query
 from streamloom.sources import readers
 
@@ -161,7 +161,7 @@ def percent_roundtrip(spark, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, CAST(2 * octet_length(encode(coalesce(text, ''))) AS BIGINT) AS digits FROM documents")
 def hex_roundtrip(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", codec.hex_encode(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h"))
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", codec.hex_encode(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h"))
     return docs.select("doc_id", F.sha2(codec.hex_decode("h"), 256).alias("text_sha256"), F.length("h").cast("bigint").alias("digits"))
 
 
@@ -314,7 +314,7 @@ SELECT p_partkey, key, value FROM (
 """)
 def box_properties(spark, sf_dir: str) -> DataFrame:
     """Properties of boxes of several layouts, built from the columns of ``part``."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey")
     size, zero = F.col("p_size"), raw("00000000")
     content = F.concat(
         box("btrt", be(0, 4), be(1, 4), be(F.col("p_partkey") * 3, 4)),
@@ -348,7 +348,7 @@ SELECT p_partkey, CAST(v // 4194304 AS VARCHAR) AS fscod, CAST((v // 2048) % 8 A
        CAST(CASE WHEN code < 19 THEN [32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640][code + 1] ELSE 0 END AS VARCHAR) AS bit_rate FROM c
 """)
 def dac3_bits(spark, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("media_id"), box("dac3", be(F.col("p_partkey") * 7919 % 16777216, 3)).alias("content"))
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").cast("string").alias("media_id"), box("dac3", be(F.col("p_partkey") * 7919 % 16777216, 3)).alias("content"))
     rows = boxes.box_properties(p).groupBy("media_id").pivot("key", ["fscod", "acmod", "bit_rate"]).agg(F.first("value"))
     return rows.select(F.col("media_id").cast("bigint").alias("p_partkey"), "fscod", "acmod", "bit_rate")
 
@@ -379,7 +379,7 @@ def dolby_vision_bits(spark, sf_dir: str) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
     packed = size % 128 * 512 + key % 64 * 8 + 4 + key % 2 * 2 + 1
     body = F.concat(raw("0100"), be(packed, 2), be(size % 16 * 16, 1), raw("00" * 19))
-    rows = boxes.box_properties(table(spark, sf_dir, "part").select(key.cast("string").alias("media_id"), box("dvvC", body).alias("content")))
+    rows = boxes.box_properties(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(key.cast("string").alias("media_id"), box("dvvC", body).alias("content")))
     wanted = ["dv_profile", "dv_level", "el_present_flag", "dv_bl_signal_compatibility_id"]
     return rows.groupBy("media_id").pivot("key", wanted).agg(F.first("value")).select(F.col("media_id").cast("bigint").alias("p_partkey"), *wanted)
 
@@ -405,7 +405,7 @@ SELECT o_orderkey, lower(lpad(hex(o_orderkey), 16, '0')) AS iv, CAST(o_custkey %
 """)
 def sample_encryption(spark, sf_dir: str) -> DataFrame:
     """The only sample of a ``senc`` box per order: its IV and its one subsample."""
-    o = table(spark, sf_dir, "orders")
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     body = F.concat(raw("0000000200000001"), be("o_orderkey", 8), be(1, 2), be(F.col("o_custkey") % 60000, 2), be(F.col("o_orderkey") % 1000, 4))
     rows = boxes.box_properties(o.select(F.col("o_orderkey").cast("string").alias("media_id"), box("senc", body).alias("content"))).filter("rows IS NOT NULL")
     return rows.select(F.col("media_id").cast("bigint").alias("o_orderkey"), F.substring(F.col("rows")[0][1], 3, 16).alias("iv"), F.col("rows")[1][1].alias("clear_and_protected"))
@@ -414,7 +414,7 @@ def sample_encryption(spark, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, lower(lpad(hex(p_partkey), 32, '0')) AS key_id, 'Widevine Content Protection' AS system_ref, lower(hex(encode(p_name))) AS content_key FROM part")
 def protection_headers(spark, sf_dir: str) -> DataFrame:
     """A Widevine header per part: its key id, and the name carried as a key id of the message."""
-    p, size = table(spark, sf_dir, "part"), F.octet_length("p_name")
+    p, size = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey"), F.octet_length("p_name")
     # A length is written seven bits a byte, the lowest first; names of up to 2^14 bytes need two.
     length = F.when(size < 128, be(size, 1)).otherwise(F.concat(be(size % 128 + 128, 1), be(F.shiftright(size, 7), 1)))
     message = F.concat(raw("12"), length, F.encode("p_name", "UTF-8"))

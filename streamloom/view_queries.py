@@ -12,7 +12,7 @@ from streamloom.box_queries import box, content
 from streamloom.functions import codec, urls
 from streamloom.operators import boxes, classify, drm, jsonviews, lex, links, scte35, state
 from streamloom.plans import synth, views
-from streamloom.plans.synth import be, raw, table
+from streamloom.plans.synth import be, dealt, raw, table
 from streamloom.registry import query
 from streamloom.sources import readers
 
@@ -501,7 +501,7 @@ SELECT k AS p_partkey, CASE k % 4
 """)
 def playready_headers(spark, sf_dir: str) -> DataFrame:
     """PlayReady objects in protection headers: records of two header versions, two records, and one without data."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    p = dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s")), "k")
     k, s, turn = F.col("k"), F.col("s"), F.col("k") % 4
     head = f'<WRMHEADER xmlns="{NAMESPACE}" version="4.0.0.0"><DATA>'
     old = text(head, "<PROTECTINFO><KEYLEN>16</KEYLEN><ALGID>AESCTR</ALGID></PROTECTINFO><KID>K", k, "</KID><CHECKSUM>C", s, "</CHECKSUM><LA_URL>http://la/?a=1&amp;b=", k, "</LA_URL><LUI_URL>http://lui/</LUI_URL><DS_ID>D</DS_ID><CUSTOMATTRIBUTES><A x=\"1\">y</A></CUSTOMATTRIBUTES><DECRYPTORSETUP>ONDEMAND</DECRYPTORSETUP></DATA></WRMHEADER>")
@@ -524,7 +524,7 @@ SELECT p_partkey, 'key_id 0=' || lower(lpad(hex(p_partkey), 8, '0')) || ';key_id
 """)
 def widevine_headers(spark, sf_dir: str) -> DataFrame:
     """Widevine messages with every field."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    p = dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s")), "k")
     scheme = F.when(F.col("k") % 3 == 0, raw("48" + varint(1667591779))).when(F.col("k") % 3 == 1, raw("48" + varint(1667392371))).otherwise(raw("4805"))
     entitled = raw("0A0165" "12016B" "1A0179" "220176" "2820")
     message = F.concat(
