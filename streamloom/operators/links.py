@@ -42,8 +42,6 @@ def link_rows(playlists: DataFrame) -> DataFrame:
 
     ``playlists`` may have ``definitions_query``, the raw parameter that the viewer was called with.
     """
-    # The base is the playlist's own address as a url: worked out once for each, before its lines.
-    playlists = playlists.withColumn("base_url", urls.resolve(F.col("playlist_url"), F.lit("")))
     rows = state.definitions(state.scan(lex.with_attributes(lex.lines(playlists), *PLAYLIST_TAGS, state.MAP, state.PART, DATERANGE)))
     if "definitions_query" not in rows.columns:
         rows = rows.withColumn("definitions_query", F.lit(None).cast("string"))
@@ -60,7 +58,8 @@ def link_rows(playlists: DataFrame) -> DataFrame:
     rows = rows.withColumn("_l", F.explode(F.filter(found, lambda c: c["link_type"].isNotNull())))
     rows = rows.select("*", "_l.*", F.col("_id").alias("daterange_id")).drop("_l", "attrs", "_id", "_class", "_target")
     needs = F.col("link_type") != "SCTE35"
-    rows = rows.withColumn("resolved", urls.resolve(F.col("playlist_url"), F.when(needs, urls.replace_variables("text", "definitions"))))
+    # Python stands behind all windows, as the planner takes its output to be dealt over tasks in no known way.
+    rows = rows.withColumns({"resolved": urls.resolve_once(F.col("playlist_url"), F.when(needs, urls.replace_variables("text", "definitions"))), "base_url": urls.normal(F.col("playlist_url"))})
     sequence = (F.col("media_sequence"), "range_start", "range_end")
     kind = F.col("link_type")
     plain = (
@@ -73,10 +72,12 @@ def link_rows(playlists: DataFrame) -> DataFrame:
     )
     # Texts stand in columns of their own before they are encoded, so that each is put together once.
     rows = rows.withColumns({"_plain": plain, "_url": F.when(kind == "PLAYLIST", F.col("resolved")).otherwise(F.col("base_url"))})
+    # A link that has no text to be encoded has no address; filtering by the address itself would work it out twice.
+    rows = rows.filter(F.col("_url").isNotNull() & ((kind == "PLAYLIST") | F.col("_plain").isNotNull()))
     rows = rows.withColumns({"context": codec.percent_encode("_plain"), "_url": codec.percent_encode("_url")})
     own = F.when(F.size("definitions") > 0, F.concat(F.lit("&imported_definitions="), codec.encode_definitions("definitions"))).otherwise("")
     href = F.when(kind == "PLAYLIST", F.concat(F.lit("?playlist_url="), F.col("_url"), own)).otherwise(urls.context_link("_url", "definitions_query", "context", encoded=True))
-    return rows.withColumn("href", href).filter(F.col("href").isNotNull()).drop("kind", "value", "error", "define_error", "_plain", "_url")
+    return rows.withColumn("href", href).drop("kind", "value", "error", "define_error", "_plain", "_url")
 
 
 def highlighted(links: DataFrame, context_type: str, media_sequence: int | None = None, url: str | None = None, part_index: int | None = None, daterange_id: str | None = None, command: str | None = None, first_only: bool = False) -> DataFrame:

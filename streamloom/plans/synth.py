@@ -11,7 +11,7 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of a table that become media files, or lines of playlists, in one task, about.
-TASK_FILES, TASK_LINES = 4_000, 25_000
+TASK_FILES, TASK_LINES = 4_000, 100_000
 
 
 def tasks(df: DataFrame, rows: int) -> int:
@@ -40,23 +40,33 @@ def box(fourcc: str, *body: Column) -> Column:
 
 
 def bodies(lines: DataFrame) -> DataFrame:
-    """(playlist_url, body) of (playlist_url, ord, lines array<string>) rows, behind the header line."""
+    """(playlist_url, body) of (playlist_url, ord, lines array<string>) rows, behind the header line.
+
+    Callers deal the rows over tasks by ``playlist_url`` first; all that is done to a playlist then needs no other exchange.
+    """
     rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", "lines"))), lambda r: r["lines"])
     return lines.groupBy("playlist_url").agg(F.array_join(F.concat(F.array(F.lit("#EXTM3U")), F.flatten(rows)), "\n").alias("body"))
 
 
+def ordered(items: DataFrame, key: str) -> DataFrame:
+    """Line items with ``ord``, their place in their order, which ``key`` tells apart."""
+    order = Window.partitionBy(key).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return items.select(*{key: 0, "l_orderkey": 0}, "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("qty"), "l_returnflag", F.row_number().over(order).alias("ord"))
+
+
 def ordered_lineitem(spark, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("qty"), "l_returnflag", F.row_number().over(order).alias("ord"))
+    return ordered(table(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
 def segment_playlists(spark, sf_dir: str) -> DataFrame:
     """One media playlist per order: line items are segments; the return flag tells how their byte range is given."""
-    rows = ordered_lineitem(spark, sf_dir)
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
+    items = dealt(items.withColumn("playlist_url", F.col("l_orderkey").cast("string")), "playlist_url", TASK_LINES)
+    rows = ordered(items, "playlist_url")
     span = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("#EXT-X-BYTERANGE:"), F.col("qty"), F.lit("@"), F.col("l_partkey"))).when(F.col("l_returnflag") == "N", F.concat(F.lit("#EXT-X-BYTERANGE:"), F.col("qty")))
     first = F.when(F.col("ord") == 1, F.concat(F.lit("#EXT-X-MEDIA-SEQUENCE:"), F.col("l_orderkey") % 1000))
     lines = F.filter(F.array(first, F.lit("#EXTINF:6,"), span, F.concat(F.lit("seg-"), F.col("ord"), F.lit(".m4s"))), lambda x: x.isNotNull())
-    return bodies(rows.select(F.col("l_orderkey").cast("string").alias("playlist_url"), "ord", lines.alias("lines")))
+    return bodies(rows.select("playlist_url", "ord", lines.alias("lines")))
 
 
 def part_playlists(spark, sf_dir: str) -> DataFrame:
@@ -70,7 +80,7 @@ def part_playlists(spark, sf_dir: str) -> DataFrame:
         .when(kind == "error", tag(F.lit("")))
         .otherwise(tag(F.concat(F.lit(',BYTERANGE="'), size, F.lit('"'))))
     )
-    return bodies(e.select(F.col("user_id").cast("string").alias("playlist_url"), F.col("event_id").alias("ord"), F.array(line).alias("lines")))
+    return bodies(dealt(e.select(F.col("user_id").cast("string").alias("playlist_url"), F.col("event_id").alias("ord"), F.array(line).alias("lines")), "playlist_url", TASK_LINES))
 
 
 def fragments(spark, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def _daterange_lines(spark, sf_dir: str) -> DataFrame:
         F.concat(F.lit("X-KEY="), F.col("o_orderkey"), F.lit(",DURATION="), F.col("o_orderkey") % 60),
         F.concat(F.lit(',X-URI="ads/'), F.col("o_custkey"), F.lit("."), ext, F.lit('?a=1&b=2",SCTE35-OUT="0xFC30"')),
     )
-    return o.select(F.concat(F.lit("https://example.com/hls/"), F.col("o_custkey"), F.lit("/live.m3u8")).alias("playlist_url"), F.col("o_orderkey").alias("ord"), F.array(tag).alias("lines"))
+    return dealt(o.select(F.concat(F.lit("https://example.com/hls/"), F.col("o_custkey"), F.lit("/live.m3u8")).alias("playlist_url"), F.col("o_orderkey").alias("ord"), F.array(tag).alias("lines")), "playlist_url", synth.TASK_LINES)
 
 
 @query("""

@@ -42,7 +42,9 @@ def media_playlists(spark, sf_dir: str) -> DataFrame:
         F.lit("#EXTINF:6,"),
         text("{$V}/seg-", F.col("k"), ".m4s?a=", F.col("k"), "&b"),
     )
-    return synth.bodies(first.unionByName(o.select(url.alias("playlist_url"), F.col("k").alias("ord"), block.alias("lines"))))
+    lines = first.unionByName(o.select(url.alias("playlist_url"), F.col("k").alias("ord"), block.alias("lines")))
+    # An order is four lines.
+    return synth.bodies(lines.repartition(synth.tasks(o, synth.TASK_LINES // 4), "playlist_url"))
 
 
 MEDIA_SQL = """
@@ -174,7 +176,7 @@ def asset_ranges(spark, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 4 != 0, text('ID="d', F.col("k"), '",')).otherwise(""),
         text(f'CLASS="{links.SCHEDULE}",X-URI="s', F.col("k"), '",X-ASSET-URI="ad/', F.col("k"), '.m3u8",X-ASSET-LIST="list?n=', F.col("k"), '",SCTE35-IN=0xFC01,SCTE35-CMD="0xFC', F.col("k"), '"'),
     )
-    return synth.bodies(o.select(text(HLS, F.col("c"), "/live.m3u8").alias("playlist_url"), F.col("k").alias("ord"), F.array(tag).alias("lines")))
+    return synth.bodies(dealt(o.select(text(HLS, F.col("c"), "/live.m3u8").alias("playlist_url"), F.col("k").alias("ord"), F.array(tag).alias("lines")), "playlist_url", synth.TASK_LINES))
 
 
 ASSET_SQL = """

@@ -2,8 +2,11 @@
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from streamloom import box_queries
+from streamloom.plans import synth
+from streamloom.queries import QUERIES
 
 PARTS = 9_000
 
@@ -15,3 +18,17 @@ def test_media_of_one_row_group_are_many_tasks(spark, tmp_path):
     assert rows.rdd.getNumPartitions() >= 3
     found = rows.groupBy("p_partkey").count().collect()
     assert sorted(r["p_partkey"] for r in found) == keys and {r["count"] for r in found} == {4}
+
+
+def exchanges(rows):
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return [line.split("Exchange ")[1] for line in plan.split("\n") if "Exchange hashpartitioning(playlist_url" in line]
+
+
+@pytest.mark.parametrize("name", ["playlist_segments", "playlist_summary", "daterange_links", "daterange_assets", "daterange_highlights", "media_links", "media_highlights"])
+def test_playlists_are_dealt_over_tasks_once(spark, sf_dir, name, monkeypatch):
+    monkeypatch.setattr(synth, "TASK_LINES", 800)
+    found = exchanges(QUERIES[name](spark, sf_dir))
+    assert len(found) == 1 and "REPARTITION_BY_NUM" in found[0]
+    rows = 6000 if name.startswith("playlist") else 6000 if name.startswith("media") else 1500
+    assert f", {-(-rows // 800)})" in found[0]
