@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.operators.box_fields import FIXED, VARIABLE, Malformed, Mask, Reader, Table, describe, render
+from streamloom.operators import box_groups
+from streamloom.operators.box_fields import FIXED, VARIABLE, Malformed, Mask, Reader, Table, described, render
 from streamloom.operators.drm import BadHeader
 
 # Fixed values, down to ``AUDIO``: FourCC -> name of boxes that only hold boxes, then of sample entries.
@@ -91,17 +92,28 @@ def box_name(fourcc: str) -> str | None:
     return CONTAINERS.get(fourcc) or VISUAL.get(fourcc) or AUDIO.get(fourcc) or (leaf[0] if leaf else None)
 
 
+def _own(data: bytes, box: Box) -> bytes:
+    """What a box says itself: of a container only what stands before its children is copied."""
+    return data[box.body_offset : box.body_offset + _own_size(box)]
+
+
+def _own_size(box: Box) -> int:
+    return 0 if box.fourcc == "mdat" else box.body_size if box.head_size < 0 else min(box.body_size, box.head_size)
+
+
 def properties(data: bytes, box: Box) -> tuple[str, list]:
     """Name and fields of a box; a box that cannot be read raises."""
+    return _read(box, Reader(_own(data, box)))
+
+
+def _read(box: Box, r: Reader) -> tuple[str, list]:
     size = [("size", "Extends to end of file" if box.to_end else box.body_size + 8)]
     if box.fourcc == "mdat":
         return "MediaDataBox", size
-    # Of a container only what stands before its children is copied.
-    body = data[box.body_offset : box.body_offset + (box.body_size if box.head_size < 0 else min(box.body_size, box.head_size))]
     if box.head_size < 0:
-        name, fields = describe(box.fourcc, body)
+        name, fields = described(box.fourcc, r)
         return name, size + fields
-    fields, r = [], Reader(body)
+    fields = []
     if box.fourcc in WITH_VERSION and box.head_size:
         fields = [("version", r.u(1)), ("flags", Mask(r.take(3)))]
     elif box.fourcc in VISUAL:
@@ -176,8 +188,8 @@ def _gathered(rows_of, names: list[str], types: list[pa.DataType]):
     return run
 
 
-#: Boxes that were read are kept, with their properties: so many twice over, of so many bytes at most.
-KEPT_BOXES, KEPT_BYTES = 2048, 512
+#: Boxes of an output batch of properties, about, and bytes of a box that is read together with others of its kind.
+OUT_BOXES, GROUPED_BYTES = 8_000, 512
 #: What a box's own bytes say, of the columns of ``box_properties``.
 _SAID = ("fourcc", "box_name", "ordinal", "key", "value", "headers", "rows", "error")
 
@@ -202,54 +214,79 @@ def _said(data: bytes, x: Box) -> list[tuple]:
 def box_properties(df: DataFrame, id_col: str = "media_id", content_col: str = "content") -> DataFrame:
     """Every property of every box in order: key with its text value, or with a table (headers, rows of texts).
 
-    Boxes with the same bytes say the same: a batch holds their rows once, and Arrow repeats them for each file.
+    The boxes of many files are read in groups of one kind and size; rows that say the same are written once and repeated by Arrow.
     """
     ddl = "media_id string, box_index int, fourcc string, depth int, box_name string, ordinal int, key string, value string, headers array<string>, rows array<array<string>>, error string"
     texts = pa.list_(pa.string())
     types = dict(zip(_SAID, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), texts, pa.list_(texts), pa.string()), strict=True))
     names = [c.split()[0] for c in ddl.split(", ")]
 
-    def batch_of(said: list[tuple], places: list[tuple]) -> pa.RecordBatch:
-        """``places``: (media, box_index, depth, first row in ``said``, number of rows) of each box."""
-        media, index, depth, first, count = zip(*places, strict=True)
-        count = np.array(count, np.int64)
+    def batch_of(media: list, boxes: list[Box], owner: list[int], bodies: list[bytes | None], said_of) -> pa.RecordBatch:
+        """``bodies``: what the boxes say themselves; None for those whose rows ``said_of`` gives from the file."""
+        said, first, count = [], np.zeros(len(boxes), np.int64), np.zeros(len(boxes), np.int64)
+        alone, groups, several = [], {}, []
+        for k, (x, body) in enumerate(zip(boxes, bodies, strict=True)):
+            if body is None:
+                alone.append(k)
+            else:
+                groups.setdefault((x.fourcc, x.head_size, x.to_end, x.body_size, len(body)), []).append(k)
+        for members in groups.values():
+            x, size = boxes[members[0]], len(bodies[members[0]])
+            members = np.array(members)
+            table = np.frombuffer(b"".join(bodies[k] for k in members), np.uint8).reshape(len(members), size)
+            for part, found in box_groups.read(table, lambda r, x=x: _read(x, r)):
+                if found is None:
+                    alone += members[part].tolist()
+                    continue
+                texts_, tables = box_groups.texts_of(found[1], len(part))
+                several.append((members[part], texts_, tables))
+                first[members[part]], count[members[part]] = len(said), len(found[1])
+                for n, (key, value) in enumerate(found[1]):
+                    is_table = isinstance(value, Table)
+                    rows = [[render(v) for v in r] for r in value.rows] if is_table and n not in tables else None
+                    text = None if is_table or value is None or n in texts_ else render(value)
+                    said.append((x.fourcc, found[0], n, key, text, value.headers if is_table else None, rows, None))
+        where: dict = {}
+        for k in alone:
+            x = boxes[k]
+            known = k if bodies[k] is None else (x.fourcc, x.head_size, x.to_end, x.body_size, bodies[k])
+            at = where.get(known)
+            if at is None:
+                own = said_of(k)
+                at = where[known] = len(said), len(own)
+                said += own
+            first[k], count[k] = at
         end = np.cumsum(count)
+        start = end - count
         box = pa.array(np.repeat(np.arange(len(count)), count))
-        row = pa.array(np.arange(end[-1]) + np.repeat(np.array(first, np.int64) - end + count, count))
-        columns = {"media_id": pa.array(media, pa.string()).take(box), "box_index": pa.array(index, pa.int32()).take(box), "depth": pa.array(depth, pa.int32()).take(box)}
-        columns |= {c: pa.array(v, types[c]).take(row) for c, v in zip(_SAID, zip(*said, strict=True), strict=True)}
+        row = np.arange(end[-1]) + np.repeat(first - start, count)
+        stored = {c: [pa.array(v, types[c])] for c, v in zip(_SAID, zip(*said, strict=True), strict=True)}
+        at = {"value": row.copy(), "rows": row.copy()}
+        for members, *own in several:
+            for c, found in zip(at, own, strict=True):
+                for n, values in found.items():
+                    at[c][start[members] + n] = sum(map(len, stored[c])) + np.arange(len(members))
+                    stored[c].append(values)
+        columns = {"media_id": pa.array([media[k] for k in owner], pa.string()).take(box), "box_index": pa.array([x.box_index for x in boxes], pa.int32()).take(box), "depth": pa.array([x.depth for x in boxes], pa.int32()).take(box)}
+        columns |= {c: pa.concat_arrays(v).take(pa.array(at.get(c, row))) for c, v in stored.items()}
         return pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict = {}
-        older: dict = {}
-        said, places, where, rows, held = [], [], {}, 0, 0
-        for media, data in _files(batches):
+        media, files, boxes, owner, bodies, held = [], [], [], [], [], 0
+        for name, data in _files(batches):
             for x in walk(data):
-                size = 0 if x.fourcc == "mdat" else x.body_size if x.head_size < 0 else min(x.body_size, x.head_size)
-                if x.error or size > KEPT_BYTES:
-                    at = len(said), len(own := _said(data, x))
-                    said += own
-                else:
-                    known = x.fourcc, x.head_size, x.to_end, x.body_size, data[x.body_offset : x.body_offset + size]
-                    at = where.get(known)
-                    if at is None:
-                        own = kept.get(known)
-                        if own is None:
-                            own = kept[known] = older.get(known) or _said(data, x)
-                            if len(kept) >= KEPT_BOXES:
-                                older, kept = kept, {}
-                        at = where[known] = len(said), len(own)
-                        said += own
-                places.append((media, x.box_index, x.depth, *at))
-                rows += at[1]
+                boxes.append(x)
+                owner.append(len(media))
+                bodies.append(None if x.error or _own_size(x) > GROUPED_BYTES else _own(data, x))
+            media.append(name)
+            files.append(data)
             held += len(data)
-            if rows >= OUT_ROWS or held >= OUT_BYTES:
-                if places:
-                    yield batch_of(said, places)
-                said, places, where, rows, held = [], [], {}, 0, 0
-        if places:
-            yield batch_of(said, places)
+            if len(boxes) >= OUT_BOXES or held >= OUT_BYTES:
+                if boxes:
+                    yield batch_of(media, boxes, owner, bodies, lambda k: _said(files[owner[k]], boxes[k]))
+                media, files, boxes, owner, bodies, held = [], [], [], [], [], 0
+        if boxes:
+            yield batch_of(media, boxes, owner, bodies, lambda k: _said(files[owner[k]], boxes[k]))
 
     return _media(df, id_col, content_col).mapInArrow(run, ddl)
 

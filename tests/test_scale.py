@@ -1,10 +1,12 @@
 """Work on a table of one row group is dealt over tasks in proportion to its rows."""
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from streamloom import box_queries
+from streamloom.operators import box_fields, box_groups
 from streamloom.plans import synth
 from streamloom.queries import QUERIES
 
@@ -32,3 +34,24 @@ def test_playlists_are_dealt_over_tasks_once(spark, sf_dir, name, monkeypatch):
     assert len(found) == 1 and "REPARTITION_BY_NUM" in found[0]
     rows = 6000 if name.startswith("playlist") else 6000 if name.startswith("media") else 1500
     assert f", {-(-rows // 800)})" in found[0]
+
+
+def test_boxes_of_one_kind_are_read_together_as_one_by_one():
+    calls = []
+
+    def decode(r):
+        calls.append(1)
+        return box_fields.described("tfhd", r)
+
+    bodies = [bytes.fromhex("00000009") + k.to_bytes(4, "big") + bytes(7) + b"\5" + (2 * k).to_bytes(4, "big") for k in range(100)]
+    table = np.frombuffer(b"".join(bodies), np.uint8).reshape(100, -1)
+    [(members, (_, fields))] = box_groups.read(table, decode)
+    assert len(calls) == 1 and members.tolist() == list(range(100))
+    texts, tables = box_groups.texts_of(fields, 100)
+    assert texts[0].to_pylist() == [str(k) for k in range(100)] and texts[3].to_pylist() == [str(2 * k) for k in range(100)] and not tables
+    # Flags that differ part the group; numbers that decoders cannot reckon with leave boxes to be read one by one.
+    odd = [bytes([0, 0, 0, 8 * (k % 2)]) + k.to_bytes(8, "big") for k in range(100)]
+    found = box_groups.read(np.frombuffer(b"".join(odd), np.uint8).reshape(100, -1), decode)
+    assert sorted(len(m) for m, _ in found) == [50, 50] and all(f for _, f in found)
+    huge = np.frombuffer(b"".join(bytes([1, 0, 0, 0]) + (2**63 + k).to_bytes(8, "big") for k in range(100)), np.uint8).reshape(100, -1)
+    assert [f for _, f in box_groups.read(huge, lambda r: box_fields.described("tfdt", r))] == [None]
